@@ -128,3 +128,64 @@ def runs(sorted_keys: np.ndarray) -> np.ndarray:
     if not len(sorted_keys):
         return np.zeros(1, np.int64)
     return np.concatenate(([0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1, [len(sorted_keys)]))
+
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def tokens(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text) of the maximal runs of bytes for which the table ``inside`` holds, text by text."""
+    own = inside[buf]
+    if not own.any():
+        return (np.zeros(0, np.int64),) * 3
+    edge = np.zeros(len(buf) + 1, bool)
+    edge[offsets] = True
+    before = np.zeros(len(buf), bool)
+    before[1:] = own[:-1]
+    start = np.flatnonzero(own & (~before | edge[:-1]))
+    after = np.zeros(len(buf), bool)
+    after[:-1] = own[1:]
+    end = np.flatnonzero(own & (~after | edge[1:])) + 1
+    return start, end, np.searchsorted(offsets, start, side="right") - 1
+
+
+def grams(words: np.ndarray, text: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place of the first word) of every run of ``k`` words within a text."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h = np.zeros(n, np.uint64)
+    for i in range(k):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n]
+    at = np.flatnonzero(text[:n] == text[k - 1 :])
+    return mix(h[at]), at
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of what is no longer referenced (tables written by ``keep`` stay)."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """(doc_id, label) of every end of a link: label is the smallest id that links reach.
+
+    Labels go along links and are then looked up for the label itself, so long chains shorten by half a round.
+    """
+    from pyspark.sql import functions as F
+
+    both = keep(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
+    labels = keep(both.groupBy("a").agg(F.min("b").alias("n")).select(F.col("a").alias("doc_id"), F.least("a", "n").alias("label")), "labels")
+    for _ in range(rounds):
+        near = both.join(labels, both.b == labels.doc_id).groupBy("a").agg(F.min("label").alias("near"))
+        step = labels.join(near, labels.doc_id == near.a).select("doc_id", "label", F.least("label", "near").alias("low"))
+        up = labels.select(F.col("doc_id").alias("low"), F.col("label").alias("up"))
+        step = keep(step.join(up, "low").select("doc_id", F.col("label").alias("old"), F.col("up").alias("label")), "step")
+        changed = step.where("old <> label").limit(1).count()
+        labels = step.select("doc_id", "label")
+        if not changed:
+            return labels
+    raise RuntimeError(f"labels still change after {rounds} rounds")
