@@ -137,7 +137,7 @@ def votes(text: str, start: int, kind: str, end: int) -> tuple[int, ...]:
         gazetteer = 1 if kind == "phone" or digits[0] not in "01" and digits[3] not in "01" else -1
         shape = -1 if len(set(digits)) <= 2 else 1
     elif kind == "card":
-        checksum = 1
+        strict = checksum = 1
         gazetteer = 1 if digits[0] in "3456" else -1
         shape = -1 if len(set(digits)) <= 2 else 1
     elif kind == "ip":
