@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keep, table
+from .common import table
 
 GRAM, WINDOW = 5, 6
 #: Bits for a position in a packed key; a text may have so many words (2**28).
@@ -72,8 +72,8 @@ def fingerprint(keys: Column) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """Columns next_text and next_keys: of the following row in descending doc_id, after the last the first.
 
-    Rows are dealt into buckets of ids; the first row of each bucket also visits the bucket before it, so that
-    every bucket finds its followers at home and the texts are shuffled once.
+    Rows are dealt into buckets of ids; the first row of each bucket, and its copies, also visit the bucket before
+    it, so that every bucket finds its followers at home and the texts are shuffled once.
     """
     ids = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     low, high, rows = (int(x or 0) for x in ids)
@@ -81,7 +81,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     width = max(1, -(-(high - low + 1) // buckets))
     docs = docs.withColumn("b", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.expr(f"(doc_id - {low}L) div {width}L")).cast("long"))
     # of each bucket its first row in descending order; at most MOST_BUCKETS + 1 rows of two numbers
-    heads = docs.groupBy("b").agg(F.max(F.struct("doc_id", "tie")).alias("head"))
+    heads = docs.select("b", "doc_id", "tie").groupBy("b").agg(F.max(F.struct("doc_id", "tie")).alias("head"))
     every = Window.orderBy("b")
     heads = heads.select(F.col("head.doc_id").alias("hd"), F.col("head.tie").alias("ht"), F.coalesce(F.lead("b").over(every), F.first("b").over(every)).alias("visits"))
     visits = F.broadcast(heads)
@@ -104,10 +104,8 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    # Copies of one row share a tie and would all visit; a number in each row's task tells them apart.
-    base = base.withColumn("tie", F.struct(F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("k")))
-    kept = keep(base.withColumn("keys", selected(F.col("text"), gram, window)), "fingerprints")
-    both = with_next(kept)
+    base = base.withColumn("tie", F.xxhash64("text"))
+    both = with_next(base.withColumn("keys", selected(F.col("text"), gram, window)))
     half = F.expr("length(text) div 2").cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(length(text) div 2 as int))"), F.substring(F.col("next_text"), F.lit(1), half))
     both = both.withColumn("edited", edited)
