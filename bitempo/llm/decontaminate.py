@@ -165,6 +165,15 @@ def _index(items: tuple[tuple[int, str], ...]) -> Index:
     return Index(items)
 
 
+def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[tuple[int, str], ...]]:
+    """The items in blocks of about ``block_bytes``; one empty block if there is none."""
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(total / block_bytes))
+    for b in range(blocks):
+        yield tuple(sorted(((r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()), key=str))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for every document and item that it holds: doc_id, item_id, edits, item_words, start_word, end_word.
 
@@ -176,17 +185,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     """
     prepare(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
     out = None
-    for b in range(blocks):
-        block = tuple(sorted((r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()))
+    for block in blocks_of(benchmark, block_bytes):
         found = src.mapInArrow(_searcher(block), SCHEMA)
         out = found if out is None else out.unionAll(found)
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without a leak, columns as they are; documents with null or empty texts stay."""
+    prepare(docs.sparkSession)
+    for block in blocks_of(benchmark, block_bytes):
+        docs = docs.mapInArrow(_cleaner(block), docs.schema)
+    return docs
+
+
+def _cleaner(block: tuple[tuple[int, str], ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(block)
+        for batch in batches:
+            buf, offsets = texts_of(rows(batch, "text"))
+            stays = np.ones(batch.num_rows, bool)
+            for i, j in slices(np.diff(offsets)):
+                part = buf[offsets[i] : offsets[j]]
+                if len(part):
+                    words, text = words_of(part, offsets[i : j + 1] - offsets[i])
+                    stays[[i + d for d, *_ in index.search(words, text)]] = False
+            yield batch.filter(pa.array(stays))
+
+    return run
+
+
 def _searcher(block: tuple[tuple[int, str], ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(block)

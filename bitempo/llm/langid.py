@@ -188,5 +188,40 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...] | None = None
     return out.select("doc_id", (_fold() == 0).alias("held_out"), "lang_pred", "score")
 
 
+#: A document whose best language is less likely than this is in none of them.
+LEAST_SCORE = 0.3
+
+
+def keep_known(docs: DataFrame, samples: tuple[tuple[str, str], ...] | None = None, least: float = LEAST_SCORE) -> DataFrame:
+    """The documents in one of the learned languages; a null ``lang`` takes the predicted one.
+
+    A document goes if its text is null or has no letter, or if no language stands out (score below
+    ``least``). Where nothing is labelled no document can be told, and all with a letter stay. Columns
+    pass through as they are.
+    """
+    prepare(docs.sparkSession)
+    samples = learn(docs) if samples is None else samples
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = _parser(samples) if samples else None
+        for batch in batches:
+            texts = [t or "" for t in rows(batch, "text").to_pylist()]
+            for i, j in slices(np.array([len(t) + 64 for t in texts], np.int64), 1 << 20):
+                part = texts[i:j]
+                if parser:
+                    langs, score = parser.predict(part)
+                    stays = [p != "und" and s >= least for p, s in zip(langs, score, strict=True)]
+                else:
+                    langs, stays = [None] * len(part), [any(c.isalpha() for c in t) for t in part]
+                out = batch.slice(i, j - i)
+                if "lang" in names and parser:
+                    at = names.index("lang")
+                    out = out.set_column(at, out.schema.field(at), pa.array([a if a is not None else b for a, b in zip(out.column(at).to_pylist(), langs, strict=True)], out.schema.field(at).type))
+                yield out.filter(pa.array(stays, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))

@@ -246,5 +246,15 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
     return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
+def distinct(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One document of each class stays, the one of the smallest doc_id; columns as they are.
+
+    Of repeated rows of a doc_id one stays; rows without doc_id are in no class and all stay.
+    """
+    losers = classes(docs, k, num, den).where("component_id <> doc_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(losers, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).union(docs.where("doc_id is null"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
