@@ -70,7 +70,7 @@ def fingerprint(keys: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Columns next_text and next_keys: of the following row in descending doc_id, after the last the first.
+    """Column next_text: of the following row in descending doc_id, after the last the first.
 
     Rows are dealt into buckets of ids; the first row of each bucket, and its copies, also visit the bucket before
     it, so that every bucket finds its followers at home and the texts are shuffled once.
@@ -91,8 +91,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     guest = F.struct(F.col("visits").alias("at"), F.lit(1).alias("guest"))
     docs = docs.withColumn("place", F.explode(F.when(F.col("visits").isNull(), F.array(home)).otherwise(F.array(home, guest))))
     order = Window.partitionBy("place.at").orderBy("place.guest", F.desc_nulls_last("doc_id"), F.desc("tie"))
-    follow = F.lead(F.struct("text", "keys")).over(order)
-    return docs.withColumn("follow", follow).where("place.guest = 0").select("doc_id", "text", "keys", F.col("follow.text").alias("next_text"), F.col("follow.keys").alias("next_keys"))
+    return docs.withColumn("next_text", F.lead("text").over(order)).where("place.guest = 0").select("doc_id", "text", "next_text")
 
 
 def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -105,7 +104,7 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     base = base.withColumn("tie", F.xxhash64("text"))
-    both = with_next(base.withColumn("keys", selected(F.col("text"), gram, window)))
+    both = with_next(base)  # texts alone are shuffled: a fingerprint is made where it is needed
     half = F.expr("length(text) div 2").cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(length(text) div 2 as int))"), F.substring(F.col("next_text"), F.lit(1), half))
     both = both.withColumn("edited", edited)
@@ -113,9 +112,7 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        "keys",
-        "next_keys",
-        selected(F.col("edited"), gram, window).alias("edited_keys"),
+        *(selected(F.col(c), gram, window).alias(k) for k, c in (("keys", "text"), ("next_keys", "next_text"), ("edited_keys", "edited"))),
     )
     both = both.select("*", *(hashes_of(F.col(k)).alias(k.replace("keys", "hashes")) for k in ("keys", "next_keys", "edited_keys")))
     return both.select(
