@@ -30,6 +30,7 @@ SIZE, GRAM, SPAN = 400, 24, 160
 SURE = SIZE - SPAN + 1
 SHALLOW = 32
 HOT = 2048
+STRETCH = 40
 #: Bytes of contexts that are sorted at once, classes being kept whole.
 CHUNK = 2_000_000
 RID = ["rid_a", "rid_b"]
@@ -222,22 +223,53 @@ def _sorting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(pa.Table.from_batches(held))
 
 
+def _dealt(part: np.ndarray, start: np.ndarray, size: int | np.ndarray, klass: np.ndarray, distance: np.ndarray) -> list[np.ndarray]:
+    """128-bit hashes of strings with their class and distance from the anchor."""
+    one, two = (Rolling(part, seed).spans(start, start + size) for seed in (11, 12))
+    salt = mix(klass + distance.astype(np.uint64))
+    return [mix(one ^ salt).view(np.int64), mix(two + salt).view(np.int64)]
+
+
+def _coring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each stretch of a context's strings, by distance from the anchor, a hash of what they all share."""
+    for batch in batches:
+        buf, at = texts_of(rows(batch, "bytes"))
+        klass = rows(batch, "class").to_numpy().view(np.uint64)
+        rid = [rows(batch, c).to_numpy() for c in RID]
+        copies = rows(batch, "copies").to_numpy()
+        first, last, anchor = (rows(batch, c).to_numpy().astype(np.int64) for c in ("first", "last", "anchor"))
+        low, high = (anchor - last) // STRETCH, (anchor - first) // STRETCH
+        owner = np.repeat(np.arange(len(low)), high - low + 1)
+        stretch = np.arange(len(owner)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1) + low[owner]
+        # strings at distances [d, d + STRETCH) share the bytes from the last start to the first end; a context that
+        # holds any of them holds these
+        begin = anchor[owner] - stretch * STRETCH - first[owner] + at[owner]
+        end = begin + SIZE - STRETCH + 1
+        w1, w2 = _dealt(buf, begin, end - begin, klass[owner], stretch)
+        cols = [*(r[owner] for r in rid), first[owner].astype(np.int32), copies[owner], stretch.astype(np.int32), w1, w2]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [*RID, "first", "copies", "stretch", "w1", "w2"])
+
+
 def _dealing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each string of hot classes with a 128-bit hash of its bytes, class and distance from the anchor."""
+    """Each string of the stretches that are left, with a 128-bit hash of its bytes, class and distance."""
     for batch in batches:
         buf, at = texts_of(rows(batch, "bytes"))
         klass = rows(batch, "class").to_numpy().view(np.uint64)
         rid = [rows(batch, c).to_numpy() for c in RID]
         copies = rows(batch, "copies").to_numpy()
+        alive = np.zeros((len(klass), SPAN // STRETCH), bool)
+        for i, x in enumerate(rows(batch, "alive").to_pylist()):
+            alive[i, x] = True
         first, last, anchor = (rows(batch, c).to_numpy().astype(np.int64) for c in ("first", "last", "anchor"))
         for i, j in slices(np.diff(at), CHUNK // 4):
             base = at[i:j] - at[i]
-            part = buf[at[i] : at[j]]
             owner, start = _windows(first[i:j], last[i:j], base)
-            one, two = (Rolling(part, seed).spans(start, start + SIZE) for seed in (11, 12))
             begin = start - base[owner] + first[i:j][owner]
-            salt = mix(klass[i:j][owner] + (anchor[i:j][owner] - begin).astype(np.uint64))
-            cols = [*(r[i:j][owner] for r in rid), copies[i:j][owner], begin, mix(one ^ salt).view(np.int64), mix(two + salt).view(np.int64)]
+            distance = anchor[i:j][owner] - begin
+            live = alive[i:j][owner, distance // STRETCH]
+            owner, start, begin, distance = owner[live], start[live], begin[live], distance[live]
+            w1, w2 = _dealt(buf[at[i] : at[j]], start, SIZE, klass[i:j][owner], distance)
+            cols = [*(r[i:j][owner] for r in rid), copies[i:j][owner], begin, w1, w2]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [*RID, "copies", "begin", "w1", "w2"])
 
 
@@ -306,7 +338,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     release(spark)
     sortable = cut.where(F.col("n") <= HOT).repartition("class").sortWithinPartitions("class")
     ordered = sortable.mapInArrow(_sorting, "rid_a bigint, rid_b bigint, begin bigint, end bigint")
-    strings = cut.where(F.col("n") > HOT).mapInArrow(_dealing, "rid_a bigint, rid_b bigint, copies bigint, begin bigint, w1 bigint, w2 bigint")
+    crowded = cut.where(F.col("n") > HOT)
+    cores = crowded.mapInArrow(_coring, "rid_a bigint, rid_b bigint, first int, copies bigint, stretch int, w1 bigint, w2 bigint")
+    shared_cores = cores.groupBy("w1", "w2").agg(F.sum("copies").alias("of")).where("of > 1").select("w1", "w2")
+    alive = cores.join(shared_cores, ["w1", "w2"]).groupBy(*RID, "first").agg(F.collect_set("stretch").alias("alive"))
+    strings = crowded.join(alive, [*RID, "first"]).mapInArrow(_dealing, "rid_a bigint, rid_b bigint, copies bigint, begin bigint, w1 bigint, w2 bigint")
     twice = strings.groupBy("w1", "w2").agg(F.sum("copies").alias("of")).where("of > 1").select("w1", "w2")
     hot = strings.where("copies = 1").join(twice, ["w1", "w2"]).groupBy(*RID, "begin").agg(F.lit(1)).select(*RID, "begin", (F.col("begin") + SIZE).alias("end"))
 
