@@ -4,14 +4,16 @@ Word shingles of a document are hashed and dealt into blocks; XOR makes one pari
 whose symmetric difference is at most t differ in at most t blocks: the sketches' Hamming distance in blocks
 is a lower bound of it. Size bands bound t (a link allows sizes within the threshold of each other and a share
 of their sum to differ), so of t + 1 + e blocks at least 1 + e agree, and a join on (band, block, parity word)
-finds every link. A block without shingles says nothing; e spare blocks make up for them, and documents with
-more empty blocks than that meet under one key of their band. Shingles that many documents share would fill
-buckets with strangers, so they all go to a block of their own that isn't joined on; which ones they are is
-estimated from a bounded sample and only moves work, never results.
+finds every link. Shingles that many documents share would fill buckets with strangers, so they all go to a
+block of their own that isn't joined on; which ones they are is estimated from a bounded sample and only moves
+work, never results. A block without shingles says nothing; e spare blocks make up for them. Documents with
+more empty blocks than that are dealt once more with all their shingles, and those with too many empty
+blocks even then meet under one key of their band.
 
 Members of a bucket are compared with one of them, not with each other; as long as a bucket holds members
-of different components that haven't been compared, further ones are taken, and a last step compares
-whatever pairs of different components are left. Every candidate is verified on whole shingle sets.
+of different components that haven't been compared, further ones are taken. What is left is compared in blocks of
+bounded size by parity sketches of ``BITS`` bits, one bit a shingle, whose Hamming distance is a lower bound too.
+Every candidate that passes the bound is verified on whole shingle sets.
 """
 
 from __future__ import annotations
@@ -28,9 +30,11 @@ from pyspark.sql import functions as F
 from .common import LOWER, Rolling, connected, grams, keep, mix, prepare, release, rows, runs, slices, table, texts_of, tokens
 
 #: Bound of the sample that tells frequent shingles, and the share of it that makes one frequent.
-SAMPLE_DOCS, FREQUENT = 4000, 0.004
+SAMPLE_DOCS, FREQUENT = 8000, 0.0005
 #: Rounds of comparing a bucket's members with one of them.
 ROUNDS = 4
+#: Bits of the sketches that candidates are tested by, and members of a bucket that are compared in one go.
+BITS, BLOCK = 256, 2048
 WORD = np.ones(256, bool)
 WORD[[32, *range(9, 14)]] = False
 
@@ -90,40 +94,50 @@ def bands(num: int, den: int) -> Bands:
     return Bands(num, den)
 
 
-def keys_of(h: np.ndarray, owner: np.ndarray, n: int, bands: Bands, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(set size, key of the set, and (key, text) of the blocks) of ``n`` texts."""
+def _dealt(h: np.ndarray, owner: np.ndarray, n: int, group: np.ndarray, bands: Bands, asked: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, their texts, texts with too many empty blocks) of the texts that are asked for, in their group of bands."""
+    blocks, spare = np.array(bands.blocks), np.array(bands.spare)
+    b = np.where(asked & (group >= 0), blocks[np.maximum(group, 0)], 0)
+    live = b[owner] > 0
+    h, owner = h[live], owner[live]
+    block = owner * (1 << 32) + (h >> np.uint64(20)).astype(np.int64) % b[owner]
+    order = np.argsort(block, kind="stable")
+    block = block[order]
+    edge = runs(block)
+    text, keys = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if len(block):
+        word = np.bitwise_xor.reduceat(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5))[order], edge[:-1])
+        text = block[edge[:-1]] >> 32
+        at = (block[edge[:-1]] & 0xFFFFFFFF).astype(np.uint64)
+        keys = mix(word + mix(group[text].astype(np.uint64) << np.uint64(32) | at) + np.uint64(salt))
+    empty = b - np.bincount(text, minlength=n)
+    return keys, text, (b > 0) & (empty > spare[np.maximum(group, 0)])
+
+
+def keys_of(h: np.ndarray, owner: np.ndarray, n: int, bands: Bands, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(set size, key of the set, parity sketch, and (key, text) of the blocks) of ``n`` texts."""
     sizes = np.bincount(owner, minlength=n)
     cut = runs(owner)
     some = owner[cut[:-1]]
     whole = np.zeros((2, n), np.uint64)
+    sketch = np.zeros((n, BITS // 64), np.uint64)
     if len(some):
         whole[0, some] = np.bitwise_xor.reduceat(h, cut[:-1])
         whole[1, some] = np.add.reduceat(mix(h), cut[:-1])
+        bit = (h >> np.uint64(7)) % np.uint64(BITS)
+        for w in range(BITS // 64):
+            sketch[some, w] = np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == w, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), cut[:-1])
     sets = mix(whole[0] + mix(whole[1] ^ sizes.astype(np.uint64)))
     band = bands.of(sizes)
     rare = ~np.isin(h, frequent) if len(frequent) else np.ones(len(h), bool)
-    spread, owner = h[rare], owner[rare]
-    parity, spread = mix(spread ^ np.uint64(0xA5A5A5A5A5A5A5A5)), (spread >> np.uint64(20)).astype(np.int64)
-    blocks, spare = np.array(bands.blocks), np.array(bands.spare)
     keys, texts = [], []
     for group in (band, band - 1):
-        b = np.where((group >= 0) & (sizes > 0), blocks[np.maximum(group, 0)], 0)
-        live = b[owner] > 0
-        block = owner[live] * (1 << 32) + spread[live] % b[owner[live]]
-        order = np.argsort(block, kind="stable")
-        block = block[order]
-        edge = runs(block)
-        text = (block[edge[:-1]] >> 32) if len(block) else np.zeros(0, np.int64)
-        if len(block):
-            word = np.bitwise_xor.reduceat(parity[live][order], edge[:-1])
-            at = (block[edge[:-1]] & 0xFFFFFFFF).astype(np.uint64)
-            keys.append(mix(word + mix(group[text].astype(np.uint64) << np.uint64(32) | at)))
-            texts.append(text)
-        empty = b - np.bincount(text, minlength=n)
-        many = np.flatnonzero((b > 0) & (empty > spare[np.maximum(group, 0)]))
-        keys.append(mix(group[many].astype(np.uint64) + np.uint64(0x7777777700000000)))
-        texts.append(many)
-    return sizes, sets, np.concatenate(keys), np.concatenate(texts)
+        key, text, many = _dealt(h[rare], owner[rare], n, group, bands, sizes > 0, 0)
+        more, again, still = _dealt(h, owner, n, group, bands, many, 0x5555555500000000)
+        last = np.flatnonzero(still)
+        keys += [key, more, mix(group[last].astype(np.uint64) + np.uint64(0x7777777700000000))]
+        texts += [text, again, last]
+    return sizes, sets, sketch, np.concatenate(keys), np.concatenate(texts)
 
 
 def _sketcher(k: int, num: int, den: int, frequent: np.ndarray):
@@ -133,14 +147,63 @@ def _sketcher(k: int, num: int, den: int, frequent: np.ndarray):
             buf, offsets = texts_of(rows(batch, "text"))
             for i, j in slices(np.diff(offsets)):
                 h, owner = shingles(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
-                sizes, sets, keys, texts = keys_of(h, owner, j - i, bands(num, den), frequent)
+                sizes, sets, sketch, keys, texts = keys_of(h, owner, j - i, bands(num, den), frequent)
                 own = np.flatnonzero(sizes > 0)
                 keys, texts = np.concatenate((keys, sets[own])), np.concatenate((texts, own))
                 order = np.argsort(texts, kind="stable")
                 at = np.concatenate(([0], np.cumsum(np.bincount(texts, minlength=j - i)))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(keys[order].view(np.int64)))
-                cols = [ids.slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(sets.view(np.int64)), lists]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "whole", "keys"])
+                words = [pa.array(np.ascontiguousarray(sketch[:, w]).view(np.int64)) for w in range(BITS // 64)]
+                cols = [ids.slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(sets.view(np.int64)), *words, lists]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "whole", *WORDS, "keys"])
+
+    return run
+
+
+WORDS = [f"s{w}" for w in range(BITS // 64)]
+
+
+def _blockwise(num: int, den: int):
+    """Rows come by (key, x, y): pairs of different labels, one of block x and one of block y, that the sketches allow."""
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        doc, label, n, block, x, y = (t.column(c).to_numpy() for c in ("doc_id", "label", "n", "block", "x", "y"))
+        sketch = np.stack([t.column(w).to_numpy() for w in WORDS], 1).view(np.uint64)
+        key = t.column("key").to_numpy()
+        out_a, out_b = [], []
+        cut = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1, [len(key)]))
+        for a, z in zip(cut[:-1], cut[1:], strict=True):
+            own = np.arange(a, z)
+            left, right = own[block[own] == x[a]], own[block[own] == y[a]]
+            for i in left:
+                other = right[right > i] if x[a] == y[a] else right
+                other = other[label[other] != label[i]]
+                total = n[other] + n[i]
+                gap = np.bitwise_count(sketch[other] ^ sketch[i]).sum(1)
+                near = (gap * (den + num) <= total * (den - num)) & (np.minimum(n[other], n[i]) * den >= np.maximum(n[other], n[i]) * num)
+                out_a.append(np.minimum(doc[i], doc[other[near]]))
+                out_b.append(np.maximum(doc[i], doc[other[near]]))
+        none = np.zeros(0, np.int64)
+        pairs = np.unique(np.stack((np.concatenate([none, *out_a]), np.concatenate([none, *out_b])), 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            whole = pa.Table.from_batches(held)
+            same = np.ones(whole.num_rows, bool)
+            for c in ("key", "x", "y"):
+                v = whole.column(c).to_numpy()
+                same &= v == v[-1]
+            stop = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if stop:
+                yield solve(whole.slice(0, stop))
+                held = whole.slice(stop).combine_chunks().to_batches()
+        if held:
+            yield solve(pa.Table.from_batches(held))
 
     return run
 
@@ -196,9 +259,9 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
     every = max(1, src.count() // SAMPLE_DOCS)
     sample = src.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
     counted = sample.mapInArrow(_counter(k), "h bigint").groupBy("h").agg(F.count("*").alias("n"))
-    often = np.array([r.h for r in counted.where(F.col("n") >= max(8, int(FREQUENT * SAMPLE_DOCS))).select("h").collect()], np.int64).view(np.uint64)
+    often = np.array([r.h for r in counted.where(F.col("n") >= max(4, int(FREQUENT * SAMPLE_DOCS))).select("h").collect()], np.int64).view(np.uint64)
     often.sort()
-    sketches = keep(src.mapInArrow(_sketcher(k, num, den, often), "doc_id bigint, n bigint, whole bigint, keys array<bigint>"), "sketches")
+    sketches = keep(src.mapInArrow(_sketcher(k, num, den, often), "doc_id bigint, n bigint, whole bigint, " + "".join(f"{w} bigint, " for w in WORDS) + "keys array<bigint>"), "sketches")
     keyed = sketches.where("doc_id is not null").select("doc_id", F.explode("keys").alias("key"))
 
     shared = keep(keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("members")).where("members > 1").select("key", "hub"), "shared")
@@ -208,40 +271,44 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
     needed = members.select("doc_id").distinct()
     texts = keep(src.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     release(spark)
-    sets = keep(sketches.join(needed, "doc_id", "left_semi").select("doc_id", "n", "whole").dropDuplicates(["doc_id"]), "sets")
+    sets = keep(sketches.join(needed, "doc_id", "left_semi").select("doc_id", "n", "whole", *WORDS).dropDuplicates(["doc_id"]), "sets")
 
     def compare(pairs: DataFrame) -> DataFrame:
         """(a, b, linked) of distinct pairs; texts are only fetched for sets that differ but could link."""
-        left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("whole").alias("wa"))
-        right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("whole").alias("wb"))
-        pairs = keep(pairs.join(left, "a").join(right, "b").withColumn("same", (F.col("na") == F.col("nb")) & (F.col("wa") == F.col("wb"))), "pairs")
-        open_ = pairs.where(~F.col("same") & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)).select("a", "b")
-        with_b = open_.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        left, right = (sets.select(F.col("doc_id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "whole", *WORDS))) for c in "ab")
+        gap = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in WORDS), F.lit(0))
+        could = (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (gap * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
+        equal = (F.col("n_a") == F.col("n_b")) & (F.col("whole_a") == F.col("whole_b"))
+        pairs = keep(pairs.join(left, "a").join(right, "b").select("a", "b", equal.alias("same"), could.alias("could")), "pairs")
+        with_b = pairs.where("could and not same").select("a", "b").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         with_a = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         judged = with_a.select("a", "b", "text_a", "text_b").mapInArrow(_judge(k, num, den), "a bigint, b bigint, linked boolean")
-        out = keep(judged.union(pairs.where("same").select("a", "b", F.lit(True))), "judged")
+        out = keep(judged.union(pairs.where("same").select("a", "b", F.lit(True))).where("linked").select("a", "b"), "judged")
         release(spark)
         return out
 
-    done = compare(members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
-    labels = connected(done.where("linked"))
+    links = compare(members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
+    labels = connected(links)
     rest = members.where("doc_id <> hub").select("key", "doc_id")
     for step in range(ROUNDS + 1):
         rest = rest.join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-        mixed = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("doc_id", "label")).alias("hub")).where("low <> high")
-        rest = keep(rest.join(mixed.select("key", F.col("hub.doc_id").alias("hub"), F.col("hub.label").alias("hub_label")), "key"), "rest")
+        mixed = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), F.min(F.struct("doc_id", "label")).alias("hub")).where("low <> high")
+        rest = keep(rest.join(mixed.select("key", "m", F.col("hub.doc_id").alias("hub"), F.col("hub.label").alias("hub_label")), "key"), "rest")
         if rest.limit(1).count() == 0:
             break
         if step < ROUNDS:
-            pairs = rest.where("doc_id <> hub and label <> hub_label").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
+            pairs = rest.where("doc_id <> hub and label <> hub_label").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
             rest = rest.where("doc_id <> hub").select("key", "doc_id")
-        else:  # whatever is left: members of different components that share a bucket
-            x, y = (rest.select("key", F.col("doc_id").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
-            pairs = x.join(y, "key").where("a < b and label_a <> label_b").select("a", "b")
-        more = compare(pairs.distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"))
-        done = keep(done.union(more), "done")
-        if more.where("linked").limit(1).count():
-            labels = connected(done.where("linked"))
+        else:  # whatever is left, each block of a bucket's members with each other one
+            of = F.ceil(F.col("m") / BLOCK).cast("int")
+            cut = rest.select("key", "doc_id", "label", F.pmod(F.xxhash64("doc_id"), of).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), of - 1)).alias("other"))
+            cut = cut.select("key", "doc_id", "label", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+            cut = cut.join(sets.select("doc_id", "n", *WORDS), "doc_id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+            pairs = cut.mapInArrow(_blockwise(num, den), "a bigint, b bigint").distinct()
+        more = compare(pairs)
+        if more.limit(1).count():
+            links = links.union(more)
+            labels = connected(links)
     out = sketches.select("doc_id", F.col("n").alias("n_shingles")).join(labels, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
