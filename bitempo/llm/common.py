@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Text bytes that a Python worker handles at once (a longer single text is handled alone).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 _M64 = (1 << 64) - 1
 
 
@@ -27,9 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Arrow batches of a bounded number of rows, and workers that can import this package."""
+    """Arrow batches of a bounded size, and workers that can import this package."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     env = spark.sparkContext.environment
     if ROOT not in (env.get("PYTHONPATH", "") + ":" + os.environ.get("PYTHONPATH", "")).split(":"):
         env["PYTHONPATH"] = ROOT + (":" + env["PYTHONPATH"] if env.get("PYTHONPATH") else "")
