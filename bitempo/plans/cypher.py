@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import like_pattern
-from ..model import schema
+from ..model import SCHEMAS
 from ..snapshot import Snapshot
 
 
@@ -35,8 +35,8 @@ class UnsupportedCypher(CypherError):
 
 UNSUPPORTED = {"MERGE", "CREATE", "DELETE", "SET", "REMOVE", "DETACH", "CALL", "OPTIONAL", "UNION", "FOREACH", "UNWIND", "WITH"}
 AGGREGATES = {"count", "collect", "sum", "avg", "min", "max"}
-NODE_COLUMNS = {f.name: f.dataType.simpleString() for f in schema("entities")}
-EDGE_COLUMNS = {f.name: f.dataType.simpleString() for f in schema("edges")}
+NODE_COLUMNS = dict(c.split(" ", 1) for c in SCHEMAS["entities"].split(", "))
+EDGE_COLUMNS = dict(c.split(" ", 1) for c in SCHEMAS["edges"].split(", "))
 _SHAPES = [
     ("space", r"\s+|//[^\n]*"),
     ("text", r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""),
