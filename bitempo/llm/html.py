@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import prepare, rows, table
 
 #: Thresholds of the first pass; a block longer than SHORT characters is judged by its stop words.
-SHORT, LONG = 70, 200
+SHORT, LONG = 70, 140
 LOW_STOPS, HIGH_STOPS = 0.15, 0.25
 MOST_LINKS = 0.33
 #: The commonest function words of the languages that are looked for.
@@ -187,15 +187,15 @@ def neighbours(blocks: list[Block], labels: list[str], marked: bool) -> list[tup
 def main_blocks(blocks: list[Block], marked: bool) -> list[str]:
     """The texts that both passes keep: near-good blocks are decided first, then short ones.
 
-    A near-good block needs one good neighbour (inside an article: one that is not bad), a short one two, a
-    heading a good one after it.
+    A near-good block is bad between two bad ones; a short one needs two good neighbours, a heading a good one
+    after it.
     """
     labels = [first_pass(b, marked) for b in blocks]
     for kind in ("near", "short"):
         beside = neighbours(blocks, labels, marked)
         for i, (b, sides) in enumerate(zip(blocks, beside, strict=True)):
             if labels[i] == kind == "near":
-                labels[i] = "good" if "good" in sides or b.inside and sides != ("bad", "bad") else "bad"
+                labels[i] = "bad" if sides == ("bad", "bad") else "good"
             elif labels[i] == kind:
                 labels[i] = "good" if sides == ("good", "good") or b.heading and sides[1] == "good" else "bad"
     return [b.text for b, label in zip(blocks, labels, strict=True) if label == "good"]

@@ -1,8 +1,9 @@
 """Sharding by proportional stratified interleaving (operator 6), in DataFrame operations only.
 
 Rows are ranked in a seeded shuffle within their source; rank over the source's size is the row's place
-on a common line from 0 to 1, on which every source is spread evenly. The line is cut into shards of
-equal counts, so each shard holds every source in the proportion of the whole.
+on a common line from 0 to 1, on which every source is spread evenly; a seeded phase of each source keeps
+sources of one size from meeting at the same places. The line is cut into shards of equal counts, so each shard
+holds every source in the proportion of the whole.
 
 No rank needs one task for a whole source: a rank is the row's rank within a hash bucket of its source
 plus the sizes of the buckets before, and the same again for places on the common line.
@@ -50,7 +51,8 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_r
     counts = base.groupBy("src", "hb").agg(F.count("*").alias("n"))
     counts = counts.select("src", "hb", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"), F.sum("n").over(own).alias("of"))
     inside = Window.partitionBy("src", "hb").orderBy("h", "doc_id", "text_crc32", "size")
-    place = (F.col("ahead") + F.row_number().over(inside) - 0.5) / F.col("of")
+    phase = (F.pmod(F.xxhash64(F.lit(seed), F.lit("phase"), F.col("src")), F.lit(1 << 20)) + 0.5) / (1 << 20)
+    place = (F.col("ahead") + F.row_number().over(inside) - phase) / F.col("of")
     placed = keep(base.join(counts, ["src", "hb"]).select("doc_id", "size", "text_crc32", "src", "h", place.alias("place")), "placed")
     placed = placed.withColumn("fb", F.floor(F.col("place") * (1 << bits)))
     line = placed.groupBy("fb").agg(F.count("*").alias("n"))

@@ -43,6 +43,8 @@ def selected(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
         )
 
     def of_windows(keys: Column) -> Column:
+        if window == 1:
+            return keys
         n = F.greatest(F.size(keys) - window, F.lit(0))
         return F.when(F.size(keys) == 0, keys).otherwise(F.transform(F.sequence(F.lit(0), n), lambda i: F.least(*(F.coalesce(F.get(keys, i + k), F.get(keys, i)) for k in range(window)))))
 
