@@ -229,3 +229,22 @@ def diff(entities: DataFrame, old: str, new: str, file: str | None = None) -> Da
     changed = a.join(b.withColumnRenamed("h", "h2"), "canonical_name").where("h <> h2").select(F.lit("changed").alias("change"), "canonical_name")
     return added.unionAll(gone).unionAll(changed)
 
+
+
+def changed_files(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(path, content, change) of files (path, content) that were added or changed, and the paths that went."""
+    a = before.select("path", F.sha2("content", 256).alias("_h"))
+    new = now.join(a, "path", "left").where(F.col("_h").isNull() | (F.col("_h") != F.sha2("content", 256)))
+    new = new.select("path", "content", F.when(F.col("_h").isNull(), "added").otherwise("changed").alias("change"))
+    return new.unionAll(before.join(now.select("path"), "path", "left_anti").select("path", F.lit(None).cast("string"), F.lit("removed")))
+
+
+def scan(tables: dict[str, DataFrame], before: DataFrame, now: DataFrame, when: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables, what changed): entities of files that changed or went are closed, those that came are read."""
+    changes = changed_files(before, now)
+    stale = changes.where("change <> 'added'").select(F.col("path").alias("_p"))
+    t = F.lit(when).cast("timestamp_ntz")
+    e = tables["entities"].join(stale, tables["entities"].code_file == stale["_p"], "left")
+    closed = e.withColumn("valid_until", F.when(F.col("_p").isNotNull(), F.coalesce("valid_until", t)).otherwise(F.col("valid_until"))).select(tables["entities"].columns)
+    files = changes.where("change <> 'removed'").select("path", "content")
+    return ingest(dict(tables) | {"entities": closed}, files, when), changes

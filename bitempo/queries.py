@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql.window import Window
 from .functions import numbers as N
 from .functions import text as T
 from .functions.embed import bag_of_words, reembed
-from .model import at, identity, in_scope, moment, same
+from .model import SCHEMAS, at, empty, identity, in_scope, moment, same
 from .operators import catalog as C
 from .operators import code as CO
 from .operators import dml as D
@@ -24,9 +25,12 @@ from .operators import scans as S
 from .operators import vectors as V
 from .oracle import with_base
 from .plans.cypher import cypher
+from .plans.views import Views
 from .snapshot import Snapshot
-from .sources import testdata
+from .sources import files, testdata
+from .sources.store import Store, cut, open_readonly, shared_folder
 from .sources.testdata import NOW
+from .streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -140,7 +144,6 @@ def _(t) -> DataFrame:
     spark = t("region").sparkSession
     first = spark.createDataFrame([("ann", "old"), ("bob", "old")], "name string, description string").withColumn("capabilities", F.lit(None).cast("array<string>"))
     then = spark.createDataFrame([("ann", "new"), ("bob", None), ("eve", None)], "name string, description string").withColumn("capabilities", F.lit(None).cast("array<string>"))
-    from .model import empty
 
     return D.put_agents(D.put_agents(empty(spark, "agents"), first, NOW), then, NOW).select("name", "description")
 
@@ -469,8 +472,6 @@ def _(t) -> DataFrame:
 
 
 def _ingested(t, rows: list[tuple[str, str]]) -> DataFrame:
-    from .model import SCHEMAS, empty
-
     spark = t("region").sparkSession
     items = spark.createDataFrame(rows, "content string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     out = I.ingest({n: empty(spark, n) for n in SCHEMAS}, items, NOW, unique=I.UNIQUE)
@@ -494,9 +495,6 @@ def _files(t) -> DataFrame:
 
 
 def _code(t) -> Snapshot:
-    from .model import SCHEMAS, empty
-    from .sources.store import cut
-
     spark = t("region").sparkSession
     out = CO.ingest({n: empty(spark, n) for n in SCHEMAS}, _files(t), NOW)
     return Snapshot(cut(out["entities"]), cut(out["edges"]), out["sources"])
@@ -525,8 +523,6 @@ on_tables("gr8_codebase_map")(lambda t: G.codebase_map(_code(t), budget=20, roun
 
 @on_tables("co11_diff", "SELECT * FROM (VALUES ('added', 'logout'), ('changed', 'login')) t(change, canonical_name)")
 def _(t) -> DataFrame:
-    from .model import SCHEMAS, empty
-
     spark = t("region").sparkSession
     files = spark.createDataFrame([("c1", "auth.py", "def login(user):\n    pass\n"), ("c2", "auth.py", "def login(user, password):\n    pass\n\n\ndef logout():\n    pass\n")], "commit string, path string, content string")
     out = CO.ingest({n: empty(spark, n) for n in SCHEMAS}, files, NOW)
@@ -550,3 +546,147 @@ def _(g: Snapshot) -> DataFrame:
 
 on_graph("mt4_strengths", "SELECT id AS entity_id, round(importance * exp(-ln(2) / 30 * greatest(0, (epoch(TIMESTAMP '2024-02-01') - epoch(last_accessed_at)) / 86400.0)) * (1 + 0.2 * access_count), 6) AS strength FROM nodes WHERE type = 'CUSTOMER' AND valid_until IS NULL")(lambda g: M.strengths(g.entities.where("type = 'CUSTOMER'"), NOW).select("entity_id", F.round("strength", 6).alias("strength")))
 on_graph("mt5_audit", "SELECT 'DEMOTE' AS op, id AS target_id, '{\"tier\":\"warm\"}' AS before_json, '{\"tier\":\"cold\"}' AS after_json, 'consolidator' AS actor FROM nodes WHERE tier = 'warm' AND last_accessed_at < TIMESTAMP '2024-01-02'")(lambda g: M.demote(g.entities, NOW, "r")[1].select("op", "target_id", "before_json", "after_json", "actor"))
+
+
+# --- stores, sources, views, streams ----------------------------------------------------------------------
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/bitempo-{uuid.uuid4().hex}/{name}"
+
+
+def _nations(g: Snapshot) -> DataFrame:
+    return g.entities.where("type = 'NATION'")
+
+
+@on_graph("dm16_load_replace", "SELECT id FROM nodes WHERE type = 'NATION'")
+def _(g: Snapshot) -> DataFrame:
+    spark = g.entities.sparkSession
+    one, two = (Store(spark, _place(spark, n)) for n in ("one", "two"))
+    one.write({"entities": _nations(g)})
+    two.write({"entities": _nations(g).limit(1)})
+    L.load_from(two, one, "replace")
+    return two.read("entities").select("id")
+
+
+@on_graph("dm16_load_merge", "SELECT id FROM nodes WHERE type IN ('NATION', 'REGION')")
+def _(g: Snapshot) -> DataFrame:
+    spark = g.entities.sparkSession
+    one, two = (Store(spark, _place(spark, n)) for n in ("one", "two"))
+    one.write({"entities": g.entities.where("type in ('NATION', 'REGION')")})
+    two.write({"entities": _nations(g)})
+    L.load_from(two, one)
+    return two.read("entities").select("id")
+
+
+@on_graph("dm18_versions", "SELECT * FROM (VALUES (1, 25::BIGINT), (2, 30)) t(version, n)")
+def _(g: Snapshot) -> DataFrame:
+    spark = g.entities.sparkSession
+    store = Store(spark, _place(spark, "db"))
+    seen = [(store.write({"entities": _nations(g)}), store.read("entities").count()), (store.append("entities", g.entities.where("type = 'REGION'")), store.read("entities").count())]
+    return spark.createDataFrame(seen, "version int, n long")
+
+
+@on_graph("dm19_sizes", "SELECT 'entities' AS name, true AS some")
+def _(g: Snapshot) -> DataFrame:
+    spark = g.entities.sparkSession
+    store = Store(spark, _place(spark, "db"))
+    store.write({"entities": _nations(g)})
+    return spark.createDataFrame([(k, v > 0) for k, v in store.sizes().items()], "name string, some boolean")
+
+
+@on_graph("sc14_open_readonly", "SELECT count(*) AS n FROM nodes WHERE type = 'NATION'")
+def _(g: Snapshot) -> DataFrame:
+    spark = g.entities.sparkSession
+    path = _place(spark, "db")
+    Store(spark, path).write({"entities": _nations(g)})
+    return open_readonly(spark, path).read("entities").agg(F.count("*").alias("n"))
+
+
+on_tables("dm11_scan_record", "SELECT '/r' AS repo_path, 3::BIGINT AS files_scanned, NULL::VARCHAR AS agent_id")(lambda t: D.scan_record(t("region").sparkSession, NOW, repo_path="/r", files_scanned=3).select("repo_path", "files_scanned", "agent_id"))
+
+
+@on_tables("sc15_lines", "SELECT r_name AS content FROM region")
+def _(t) -> DataFrame:
+    path = _place(t("region").sparkSession, "lines")
+    t("region").select("r_name").union(t("region").limit(1).select(F.lit("  "))).write.text(path)
+    return files.lines(t("region").sparkSession, path).select("content")
+
+
+@on_tables("sc16_turns", "SELECT role, text FROM (VALUES ('user', 'hi'), ('assistant', 'a' || chr(10) || 'b')) t(role, text)")
+def _(t) -> DataFrame:
+    spark = t("region").sparkSession
+    path = _place(spark, "turns")
+    spark.createDataFrame([('{"role":"user","content":"hi"}',), ("not json",), ('{"role":"assistant","content":[{"type":"text","text":"a"},{"type":"x"},{"type":"text","text":"b"}]}',)], "v string").coalesce(1).write.text(path)
+    return files.turns(spark, path).select("role", "text")
+
+
+@on_graph("vw3_run_view", "SELECT DISTINCT name FROM nodes WHERE type = 'REGION'")
+def _(g: Snapshot) -> DataFrame:
+    v = Views(g.entities.sparkSession)
+    v.save("regions", "MATCH (r:REGION) RETURN r.name AS name", NOW)
+    return v.run("regions", g, now=NOW)
+
+
+@on_graph("vw2_list_views", "SELECT * FROM (VALUES ('a'), ('c')) t(name)")
+def _(g: Snapshot) -> DataFrame:
+    v = Views(g.entities.sparkSession)
+    for n in "cba":
+        v.save(n, "MATCH (r:REGION) RETURN r.name AS name", NOW)
+    v.delete("b")
+    return v.list().select("name")
+
+
+on_graph("rc12_ask", "SELECT DISTINCT name FROM nodes WHERE type = 'REGION'")(lambda g: R.ask(g, "which regions are there", lambda q: "MATCH (r:REGION) RETURN r.name AS name", lambda q: C.browse_type(g, "REGION").select("name")))
+on_graph("rc12_ask_fallback", "SELECT DISTINCT name FROM nodes WHERE type = 'REGION'")(lambda g: R.ask(g, "which regions are there", lambda q: "no query", lambda q: C.browse_type(g, "REGION").select("name")))
+on_tables("rc5_code")(lambda t: R.code(_code(t), "who calls helper", rounds=6))
+
+
+@on_tables("co13_scan", "SELECT * FROM (VALUES ('app.py', 'changed'), ('new.py', 'added'), ('lib/__init__.py', 'removed')) t(path, change)")
+def _(t) -> DataFrame:
+    spark = t("region").sparkSession
+    now = spark.createDataFrame([("app.py", "x = 1\n"), ("new.py", "y = 2\n")], "path string, content string")
+    return CO.changed_files(_files(t), now).select("path", "change")
+
+
+@on_tables("co13_scan_entities", "SELECT * FROM (VALUES ('app', 'module'), ('f', 'function')) t(name, type)")
+def _(t) -> DataFrame:
+    spark = t("region").sparkSession
+    first = CO.ingest({n: empty(spark, n) for n in SCHEMAS}, _files(t), NOW)
+    now = spark.createDataFrame([("app.py", "def f():\n    pass\n")], "path string, content string")
+    out, _ = CO.scan({n: cut(df) for n, df in first.items()}, _files(t), now, "2024-03-01 00:00:00")
+    return out["entities"].where("valid_until is null and code_file is not null").select("name", "type")
+
+
+@on_tables("st_c_supersession", "SELECT c, value, previous FROM (" + ORACLE_SQL["wn3_validity_chain"] + ")")
+def _(t) -> DataFrame:
+    spark = t("region").sparkSession
+    src, out, ck = (_place(spark, n) for n in ("in", "out", "ck"))
+    o = t("orders").select(F.col("o_custkey").cast("string").alias("subject"), F.lit("PREFERS").alias("predicate"), F.col("o_orderpriority").alias("object"), F.expr("cast(o_orderdate as timestamp) + make_interval(0, 0, 0, 0, 0, 0, o_orderkey / 1000000)").alias("ts"))
+    o.coalesce(1).write.parquet(src)
+    jobs.drain(jobs.supersessions(jobs.incremental_files(spark, src, "subject string, predicate string, object string, ts timestamp")), out, ck)
+    return spark.read.parquet(out).select(F.col("subject").cast("long").alias("c"), F.col("object").alias("value"), "previous")
+
+
+@on_tables("st_a_once_by_content", "SELECT DISTINCT sha256(text) AS content_hash FROM documents")
+def _(t) -> DataFrame:
+    spark = t("region").sparkSession
+    src, out, ck = (_place(spark, n) for n in ("in", "out", "ck"))
+    t("documents").select(F.col("text").alias("content"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts")).coalesce(1).write.parquet(src)
+    jobs.drain(jobs.once_by_content(jobs.incremental_files(spark, src, "content string, ts timestamp")).select("content_hash"), out, ck)
+    return spark.read.parquet(out)
+
+
+@on_tables("st_b_touches")
+def _(t) -> DataFrame:
+    spark = t("region").sparkSession
+    src, out, ck = (_place(spark, n) for n in ("in", "out", "ck"))
+    t("events").select(F.col("user_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.parquet(src)
+    jobs.drain(jobs.touches(jobs.incremental_files(spark, src, "id string, ts timestamp")).select("window.start", "id", "n", "last_at"), out, ck)
+    return spark.read.parquet(out)
+
+
+on_graph(
+    "mt6_consolidate",
+    "SELECT 'DEMOTE' AS op, count(*) AS n FROM nodes WHERE tier = 'warm' AND last_accessed_at < TIMESTAMP '2024-01-02' UNION ALL SELECT 'STALE_FLAG', count(*) FROM nodes n WHERE tier = 'warm' AND last_accessed_at >= TIMESTAMP '2024-01-02' AND valid_until IS NULL AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.target_id = n.id AND e.detected_at > TIMESTAMP '2024-01-02')",
+)(lambda g: M.consolidate(_tables(g) | {"consolidation_log": empty(g.entities.sparkSession, "consolidation_log")}, NOW, "r")["consolidation_log"].where("op <> 'MERGE'").groupBy("op").agg(F.count("*").alias("n")))
