@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, grams, mix, prepare, rows, slices, table, texts_of, tokens
+from .common import LOWER, Rolling, grams, mix, prepare, rows, slices, table, texts_of, tidily, tokens
 
 #: Edits a word of an item; the fewest words of an item that is searched for.
 TOLERANCE, MIN_WORDS = 0.2, 5
@@ -187,7 +187,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for block in blocks_of(benchmark, block_bytes):
-        found = src.mapInArrow(_searcher(block), SCHEMA)
+        found = src.mapInArrow(tidily(_searcher(block)), SCHEMA)
         out = found if out is None else out.unionAll(found)
     return out
 
@@ -196,7 +196,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     """The documents without a leak, columns as they are; documents with null or empty texts stay."""
     prepare(docs.sparkSession)
     for block in blocks_of(benchmark, block_bytes):
-        docs = docs.mapInArrow(_cleaner(block), docs.schema)
+        docs = docs.mapInArrow(tidily(_cleaner(block)), docs.schema)
     return docs
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, rows, table
+from .common import prepare, rows, table, tidily
 
 #: Thresholds of the first pass; a block longer than SHORT characters is judged by its stop words.
 SHORT, LONG = 70, 140
@@ -222,7 +222,7 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "text", "n_chars"])
 
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return src.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return src.mapInArrow(tidily(run), "page_id bigint, url string, text string, n_chars bigint")
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

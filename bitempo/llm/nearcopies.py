@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, connected, grams, keep, mix, prepare, release, rows, runs, slices, table, texts_of, tokens
+from .common import LOWER, Rolling, connected, grams, keep, mix, prepare, release, rows, runs, slices, table, texts_of, tidily, tokens
 
 #: Bound of the sample that tells frequent shingles, and the share of it that makes one frequent.
 SAMPLE_DOCS, FREQUENT = 8000, 0.0005
@@ -258,10 +258,10 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = max(1, src.count() // SAMPLE_DOCS)
     sample = src.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    counted = sample.mapInArrow(_counter(k), "h bigint").groupBy("h").agg(F.count("*").alias("n"))
+    counted = sample.mapInArrow(tidily(_counter(k)), "h bigint").groupBy("h").agg(F.count("*").alias("n"))
     often = np.array([r.h for r in counted.where(F.col("n") >= max(4, int(FREQUENT * SAMPLE_DOCS))).select("h").collect()], np.int64).view(np.uint64)
     often.sort()
-    sketches = keep(src.mapInArrow(_sketcher(k, num, den, often), "doc_id bigint, n bigint, whole bigint, " + "".join(f"{w} bigint, " for w in WORDS) + "keys array<bigint>"), "sketches")
+    sketches = keep(src.mapInArrow(tidily(_sketcher(k, num, den, often)), "doc_id bigint, n bigint, whole bigint, " + "".join(f"{w} bigint, " for w in WORDS) + "keys array<bigint>"), "sketches")
     keyed = sketches.where("doc_id is not null").select("doc_id", F.explode("keys").alias("key"))
 
     shared = keep(keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("members")).where("members > 1").select("key", "hub"), "shared")
@@ -282,7 +282,7 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
         pairs = keep(pairs.join(left, "a").join(right, "b").select("a", "b", equal.alias("same"), could.alias("could")), "pairs")
         with_b = pairs.where("could and not same").select("a", "b").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         with_a = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        judged = with_a.select("a", "b", "text_a", "text_b").mapInArrow(_judge(k, num, den), "a bigint, b bigint, linked boolean")
+        judged = with_a.select("a", "b", "text_a", "text_b").mapInArrow(tidily(_judge(k, num, den)), "a bigint, b bigint, linked boolean")
         out = keep(judged.union(pairs.where("same").select("a", "b", F.lit(True))).where("linked").select("a", "b"), "judged")
         release(spark)
         return out
@@ -304,7 +304,7 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
             cut = rest.select("key", "doc_id", "label", F.pmod(F.xxhash64("doc_id"), of).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), of - 1)).alias("other"))
             cut = cut.select("key", "doc_id", "label", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
             cut = cut.join(sets.select("doc_id", "n", *WORDS), "doc_id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-            pairs = cut.mapInArrow(_blockwise(num, den), "a bigint, b bigint").distinct()
+            pairs = cut.mapInArrow(tidily(_blockwise(num, den)), "a bigint, b bigint").distinct()
         more = compare(pairs)
         if more.limit(1).count():
             links = links.union(more)

@@ -22,12 +22,12 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, rows, slices, table
+from .common import prepare, rows, slices, table, tidily
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Words that a Python worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 NONE = np.iinfo(np.int32).max
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -235,9 +235,10 @@ def encode(docs: DataFrame, model_file: str | None = None) -> DataFrame:
                 got = pieces.encode([t or "" for t in texts.slice(i, j - i).to_pylist()])
                 n, coded, decoded = zip(*got, strict=True)
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+        pieces.known.clear()
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids string, decoded string")
+    return src.mapInArrow(tidily(run), "doc_id bigint, n_tokens bigint, ids string, decoded string")
 
 
 def digests(docs: DataFrame, model_file: str | None = None) -> DataFrame:
@@ -254,9 +255,10 @@ def digests(docs: DataFrame, model_file: str | None = None) -> DataFrame:
                 got = pieces.encode([t or "" for t in texts.slice(i, j - i).to_pylist()])
                 cols = [pa.array([x[0] for x in got], pa.int64()), *(pa.array([sha(x[k]) for x in got], pa.string()) for k in (1, 2))]
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        pieces.known.clear()
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return src.mapInArrow(tidily(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, rows, table
+from .common import prepare, rows, table, tidily
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("obfuscated_email", "local_phone", "ssn", "iban", "ip6", "mac", "secret", "name")
@@ -253,7 +253,7 @@ def learn(docs: DataFrame) -> dict[str, float]:
                     seen.update(pattern_of(text, *c) for c in (*base, *added(text, base)))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pattern", "n"])
 
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "pattern string, n bigint")
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidily(count), "pattern string, n bigint")
     return train({r.pattern: r.n for r in counted.groupBy("pattern").agg(F.sum("n").alias("n")).collect()})
 
 
@@ -301,7 +301,7 @@ def find(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return src.mapInArrow(tidily(run), "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
 
 
 def mask_text(text: str, spans: list[tuple[int, str, int]]) -> str:
@@ -332,7 +332,7 @@ def mask(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
                 cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], rows(batch, "n_chars").type)
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidily(run), docs.schema)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

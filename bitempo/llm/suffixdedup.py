@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, keep, mix, prepare, release, rows, slices, table, texts_of
+from .common import Rolling, keep, mix, prepare, release, rows, slices, table, texts_of, tidily
 
 SIZE, GRAM, SPAN = 400, 24, 160
 #: Bytes after an anchor that all of its strings hold.
@@ -315,7 +315,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     src = src.withColumns({"rid_a": F.coalesce("doc_id", F.lit(-(1 << 63))), "rid_b": F.xxhash64("text")})
     found = keep(
-        src.where(F.octet_length("text") >= SIZE).select(*RID, "text").mapInArrow(_anchoring, "rid_a bigint, rid_b bigint, class bigint, context bigint, first int, last int, anchor int"),
+        src.where(F.octet_length("text") >= SIZE).select(*RID, "text").mapInArrow(tidily(_anchoring), "rid_a bigint, rid_b bigint, class bigint, context bigint, first int, last int, anchor int"),
         "anchors",
     )
     shared = found.groupBy("class").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("alike")).where("n > 1")
@@ -334,15 +334,15 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     asked = contexts.groupBy(*RID).agg(F.collect_list(F.struct("class", "n", "copies", "first", "last", "anchor")).alias("asked"))
     wanted = src.join(asked, RID).dropDuplicates(RID)
-    cut = keep(wanted.select(*RID, "text", "asked").mapInArrow(_cutting, "rid_a bigint, rid_b bigint, class bigint, n bigint, copies bigint, first int, last int, anchor int, bytes binary"), "cut")
+    cut = keep(wanted.select(*RID, "text", "asked").mapInArrow(tidily(_cutting), "rid_a bigint, rid_b bigint, class bigint, n bigint, copies bigint, first int, last int, anchor int, bytes binary"), "cut")
     release(spark)
     sortable = cut.where(F.col("n") <= HOT).repartition("class").sortWithinPartitions("class")
-    ordered = sortable.mapInArrow(_sorting, "rid_a bigint, rid_b bigint, begin bigint, end bigint")
+    ordered = sortable.mapInArrow(tidily(_sorting), "rid_a bigint, rid_b bigint, begin bigint, end bigint")
     crowded = cut.where(F.col("n") > HOT)
-    cores = crowded.mapInArrow(_coring, "rid_a bigint, rid_b bigint, first int, copies bigint, stretch int, w1 bigint, w2 bigint")
+    cores = crowded.mapInArrow(tidily(_coring), "rid_a bigint, rid_b bigint, first int, copies bigint, stretch int, w1 bigint, w2 bigint")
     shared_cores = cores.groupBy("w1", "w2").agg(F.sum("copies").alias("of")).where("of > 1").select("w1", "w2")
     alive = cores.join(shared_cores, ["w1", "w2"]).groupBy(*RID, "first").agg(F.collect_set("stretch").alias("alive"))
-    strings = crowded.join(alive, [*RID, "first"]).mapInArrow(_dealing, "rid_a bigint, rid_b bigint, copies bigint, begin bigint, w1 bigint, w2 bigint")
+    strings = crowded.join(alive, [*RID, "first"]).mapInArrow(tidily(_dealing), "rid_a bigint, rid_b bigint, copies bigint, begin bigint, w1 bigint, w2 bigint")
     twice = strings.groupBy("w1", "w2").agg(F.sum("copies").alias("of")).where("of > 1").select("w1", "w2")
     hot = strings.where("copies = 1").join(twice, ["w1", "w2"]).groupBy(*RID, "begin").agg(F.lit(1)).select(*RID, "begin", (F.col("begin") + SIZE).alias("end"))
 
@@ -351,7 +351,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     spans = keep(spans, "spans")
     release(spark)
     both = src.join(spans, RID, "left").select("doc_id", "text", "spans")
-    return both.mapInArrow(_removing, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<struct<begin:bigint,end:bigint>>")
+    return both.mapInArrow(tidily(_removing), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<struct<begin:bigint,end:bigint>>")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
