@@ -189,9 +189,12 @@ def grams(words: np.ndarray, text: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of what is no longer referenced (tables written by ``keep`` stay)."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # Python's references go first, and only then the JVM's
+        gc.collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
 
 
 def connected(links: DataFrame, rounds: int = 60) -> DataFrame:

@@ -140,7 +140,9 @@ def keys_of(h: np.ndarray, owner: np.ndarray, n: int, bands: Bands, frequent: np
     return sizes, sets, sketch, np.concatenate(keys), np.concatenate(texts)
 
 
-def _sketcher(k: int, num: int, den: int, frequent: np.ndarray):
+def _sketcher(k: int, num: int, den: int, frequent: np.ndarray, keyed: bool):
+    """Set size, key of the set and sketch of each document; or, ``keyed``, a row for each of its keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = rows(batch, "doc_id")
@@ -149,13 +151,12 @@ def _sketcher(k: int, num: int, den: int, frequent: np.ndarray):
                 h, owner = shingles(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
                 sizes, sets, sketch, keys, texts = keys_of(h, owner, j - i, bands(num, den), frequent)
                 own = np.flatnonzero(sizes > 0)
-                keys, texts = np.concatenate((keys, sets[own])), np.concatenate((texts, own))
-                order = np.argsort(texts, kind="stable")
-                at = np.concatenate(([0], np.cumsum(np.bincount(texts, minlength=j - i)))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(keys[order].view(np.int64)))
-                words = [pa.array(np.ascontiguousarray(sketch[:, w]).view(np.int64)) for w in range(BITS // 64)]
-                cols = [ids.slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(sets.view(np.int64)), *words, lists]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "whole", *WORDS, "keys"])
+                if keyed:
+                    at = pa.array(np.concatenate((texts, own)))
+                    yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(at), pa.array(np.concatenate((keys, sets[own])).view(np.int64))], ["doc_id", "key"])
+                else:
+                    words = [pa.array(np.ascontiguousarray(sketch[:, w]).view(np.int64)) for w in range(BITS // 64)]
+                    yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(sets.view(np.int64)), *words], ["doc_id", "n", "whole", *WORDS])
 
     return run
 
@@ -261,8 +262,9 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
     counted = sample.mapInArrow(tidily(_counter(k)), "h bigint").groupBy("h").agg(F.count("*").alias("n"))
     often = np.array([r.h for r in counted.where(F.col("n") >= max(4, int(FREQUENT * SAMPLE_DOCS))).select("h").collect()], np.int64).view(np.uint64)
     often.sort()
-    sketches = keep(src.mapInArrow(tidily(_sketcher(k, num, den, often)), "doc_id bigint, n bigint, whole bigint, " + "".join(f"{w} bigint, " for w in WORDS) + "keys array<bigint>"), "sketches")
-    keyed = sketches.where("doc_id is not null").select("doc_id", F.explode("keys").alias("key"))
+    sketches = keep(src.mapInArrow(tidily(_sketcher(k, num, den, often, False)), "doc_id bigint, n bigint, whole bigint" + "".join(f", {w} bigint" for w in WORDS)), "sketches")
+    # Keys are made twice, to be counted and to be joined: written down they would take more room than the texts.
+    keyed = src.where("doc_id is not null").mapInArrow(tidily(_sketcher(k, num, den, often, True)), "doc_id bigint, key bigint")
 
     shared = keep(keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("members")).where("members > 1").select("key", "hub"), "shared")
     release(spark)
