@@ -230,13 +230,11 @@ on_graph("jn7_provenance", "SELECT DISTINCT s.id, s.content_hash FROM sources s
 on_graph("jn8_semi", "SELECT id FROM edges WHERE source_id IN (SELECT id FROM nodes WHERE type = 'NATION')")(lambda g: g.edges.join(g.entities.where("type = 'NATION'").select(F.col("id").alias("source_id")), "source_id", "left_semi").select("id"))
 on_graph("jn9_anti_unconfirmed", "SELECT id FROM nodes n WHERE tier = 'warm' AND valid_until IS NULL AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.target_id = n.id AND e.detected_at > TIMESTAMP '2024-01-02')")(lambda g: M.unconfirmed(g.entities, g.edges, NOW).select("id"))
 on_graph("jn10_orphan_sources", "SELECT id FROM sources WHERE id NOT IN (SELECT source_ref FROM edges)")(lambda g: g.sources.join(g.edges.select(F.col("source_ref").alias("id")), "id", "left_anti").select("id"))
-on_tables("jn11_diff", "SELECT 'added' AS change, user_id FROM (SELECT user_id FROM events WHERE event_type = 'signup' EXCEPT SELECT user_id FROM events WHERE event_type = 'error') UNION ALL SELECT 'removed', user_id FROM (SELECT user_id FROM events WHERE event_type = 'error' EXCEPT SELECT user_id FROM events WHERE event_type = 'signup')")(
-    lambda t: _diff(t("events"))
-)
+on_tables("jn11_diff", "SELECT 'added' AS change, user_id FROM (SELECT user_id FROM events WHERE event_id % 40 = 1 EXCEPT SELECT user_id FROM events WHERE event_id % 40 = 2) UNION ALL SELECT 'removed', user_id FROM (SELECT user_id FROM events WHERE event_id % 40 = 2 EXCEPT SELECT user_id FROM events WHERE event_id % 40 = 1)")(lambda t: _diff(t("events")))
 
 
 def _diff(e: DataFrame) -> DataFrame:
-    a, b = (e.where(F.col("event_type") == k).select("user_id").distinct() for k in ("error", "signup"))
+    a, b = (e.where(F.col("event_id") % 40 == k).select("user_id").distinct() for k in (2, 1))
     return b.join(a, "user_id", "left_anti").select(F.lit("added").alias("change"), "user_id").unionAll(a.join(b, "user_id", "left_anti").select(F.lit("removed").alias("change"), "user_id"))
 
 
@@ -256,8 +254,8 @@ def _point(g: Snapshot) -> DataFrame:
     return g.links().where("relation_type = 'PREFERS'").join(s, "source_id").join(t, "target_id").select("source_id", "target_id").distinct()
 
 
-on_tables("jn15_unique_suffix", "SELECT suffix, max(p_name) AS name FROM (SELECT p_name, right(p_name, 3) AS suffix FROM part) GROUP BY suffix HAVING count(*) = 1")(
-    lambda t: t("part").select("p_name", F.expr("right(p_name, 3)").alias("suffix")).groupBy("suffix").agg(F.max("p_name").alias("name"), F.count("*").alias("n")).where("n = 1").drop("n")
+on_tables("jn15_unique_suffix", "SELECT suffix, max(c_name) AS name FROM (SELECT c_name, right(c_name, 3) AS suffix FROM customer) GROUP BY suffix HAVING count(*) = 1")(
+    lambda t: t("customer").select("c_name", F.expr("right(c_name, 3)").alias("suffix")).groupBy("suffix").agg(F.max("c_name").alias("name"), F.count("*").alias("n")).where("n = 1").drop("n")
 )
 on_graph("st1_contradictions_of", "SELECT DISTINCT id, source_id, target_id FROM edges WHERE relation_type = 'CONTRADICTS' AND (source_id = 'priority:1-URGENT' OR target_id = 'priority:1-URGENT')")(lambda g: G.contradictions_for(g, "priority:1-URGENT").select("id", "source_id", "target_id"))
 on_graph("st3_token_sets", "SELECT id, round(len(list_intersect(list_distinct(string_split(lower(name), '#')), ['customer', '000000007']))::DOUBLE / len(list_distinct(list_concat(string_split(lower(name), '#'), ['customer', '000000007']))), 6) AS j FROM nodes WHERE type = 'CUSTOMER'")(

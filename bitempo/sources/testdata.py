@@ -145,6 +145,16 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_PLANS: dict[tuple[str, str], Snapshot] = {}
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Snapshot:
-    """The whole graph, for a reader that sees every row (``seen_by`` narrows it)."""
-    return Snapshot(entities(spark, sf_dir), edges(spark, sf_dir), sources(spark, sf_dir), embeddings(spark, sf_dir), triples(spark, sf_dir))
+    """The whole graph, for a reader that sees every row (``seen_by`` narrows it).
+
+    Its plans are analysed once for a session and folder; no data is kept.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PLANS:
+        _PLANS.clear()
+        _PLANS[key] = Snapshot(entities(spark, sf_dir), edges(spark, sf_dir), sources(spark, sf_dir), embeddings(spark, sf_dir), triples(spark, sf_dir))
+    return _PLANS[key]
