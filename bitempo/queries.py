@@ -379,17 +379,21 @@ p3 AS (SELECT id, sum(x) AS s FROM (SELECT dst AS id, s * p * 0.85 AS x FROM p2
 
 
 def _small(g: Snapshot) -> Snapshot:
+    """The relations that the SQL of gr2_pagerank_3_rounds and gr4_transitions names; their _all forms take every edge."""
     return Snapshot(**{**g.__dict__, "edges": g.edges.where("relation_type in ('LOCATED_IN', 'PART_OF', 'SUPPLIES')")})
 
 
+_ALL_STEPS = _STEPS.replace("relation_type IN ('LOCATED_IN', 'PART_OF', 'SUPPLIES')", "relation_type <> 'CONTRADICTS'")
 on_graph("gr2_pagerank_3_rounds", _STEPS + " SELECT id, round(s, 9) AS score FROM p3 WHERE s > 0")(lambda g: G.pagerank(_small(g), ["nation:1", "supplier:2"], rounds=3, tolerance=None).select("id", F.round("score", 9).alias("score")))
-on_graph("gr2_pagerank")(lambda g: G.pagerank(_small(g), ["nation:1"], rounds=12).select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(20))
-on_graph("gr3_push_pagerank")(lambda g: G.push_pagerank(_small(g), ["nation:1"], epsilon=1e-3).select("id", F.round("score", 6).alias("score")))
+on_graph("gr2_pagerank_3_rounds_all", _ALL_STEPS + " SELECT id, round(s, 9) AS score FROM p3 WHERE s > 0")(lambda g: G.pagerank(g, ["nation:1", "supplier:2"], rounds=3, tolerance=None).select("id", F.round("score", 9).alias("score")))
+on_graph("gr2_pagerank")(lambda g: G.pagerank(g, ["nation:1"]).select("id", F.round("score", 6).alias("score")))
+on_graph("gr3_push_pagerank")(lambda g: G.push_pagerank(g, ["nation:1"], epsilon=1e-3).select("id", F.round("score", 6).alias("score")))
 on_graph("gr4_transitions", _STEPS + " SELECT src, dst, round(p, 9) AS p FROM t")(lambda g: G.transitions(_small(g).inner_links()).select("src", "dst", F.round("p", 9).alias("p")))
+on_graph("gr4_transitions_all", _ALL_STEPS + " SELECT src, dst, round(p, 9) AS p FROM t")(lambda g: G.transitions(g.inner_links()).select("src", "dst", F.round("p", 9).alias("p")))
 on_graph("gr5_contradictions_for", "SELECT id FROM edges WHERE relation_type = 'CONTRADICTS' AND (source_id = 'priority:5-LOW' OR target_id = 'priority:5-LOW')")(lambda g: G.contradictions_for(g, "priority:5-LOW").select("id"))
 on_graph("gr6_browse_topic", "SELECT id, name, 'type' AS via FROM nodes WHERE type = 'REGION' ORDER BY access_count DESC, importance DESC, created_at, id LIMIT 3")(lambda g: G.browse_topic(g, "region", limit=3))
-on_graph("gr6_browse_name")(lambda g: G.browse_topic(_small(g), "NATION_4", limit=5, rounds=6))
-on_graph("gr7_working_context")(lambda g: G.working_context(_small(g), "nation:NATION_4", rounds=6).select("part", "id", "name"))
+on_graph("gr6_browse_name")(lambda g: G.browse_topic(g, "NATION_4"))
+on_graph("gr7_working_context")(lambda g: G.working_context(g, "nation:NATION_4").select("part", "id", "name"))
 
 # --- vectors ----------------------------------------------------------------------------------------------
 
@@ -421,7 +425,7 @@ on_graph("te2_stale_warm", "SELECT id FROM nodes WHERE tier = 'warm' AND last_ac
 _CLASS = "SELECT conv_id, turn, CASE WHEN vibe + fact + change + code = 0 THEN 'VIBE' WHEN code > 0 AND change > 0 THEN 'HYBRID' WHEN (vibe > 0)::INT + (fact > 0)::INT + (change > 0)::INT + (code > 0)::INT >= 2 AND code = 0 THEN 'HYBRID' WHEN vibe = greatest(vibe, fact, change, code) THEN 'VIBE' WHEN fact = greatest(vibe, fact, change, code) THEN 'FACT' WHEN change = greatest(vibe, fact, change, code) THEN 'CHANGE' ELSE 'CODE' END AS class FROM ("
 on_tables("rc1_classify", _CLASS + ORACLE_SQL["fn27_rule_counts"] + ")")(lambda t: R.classify(t("conversations").withColumnRenamed("text", "query")).select("conv_id", "turn", "class"))
 on_graph("rc2_vibe")(lambda g: R.vibe(g.seen_by("shared"), Q))
-on_graph("rc3_fact")(lambda g: R.fact(_small(g).seen_by("shared"), Q, rounds=3))
+on_graph("rc3_fact")(lambda g: R.fact(g.seen_by("shared"), Q))
 _RC4 = """WITH n AS (SELECT * FROM nodes WHERE scope = 'shared' AND valid_from <= TIMESTAMP '1997-06-01' AND (valid_until IS NULL OR valid_until > TIMESTAMP '1997-06-01')),
 l AS (SELECT * FROM edges WHERE relation_type <> 'CONTRADICTS' AND valid_from <= TIMESTAMP '1997-06-01' AND (valid_until IS NULL OR valid_until > TIMESTAMP '1997-06-01')),
 named AS (SELECT id, round(CASE WHEN lower(name) = 'customer#000000012' THEN 2 WHEN lower(name) IN ('what', 'prefer') THEN 2 ELSE 1 END / 5.0, 9) AS score, lower(name) = 'customer#000000012' AS hit FROM n),
@@ -431,7 +435,7 @@ on_graph("rc4_change", _RC4)(lambda g: R.change(g.seen_by("shared"), "what did C
 on_graph("rc6_merge", f"WITH a AS (SELECT entity_id AS id, {_COS.format(a='vector', b=_QSQL)} AS score FROM {_SEEN} ORDER BY score DESC, id LIMIT 10), b AS (SELECT entity_id AS id, 0.3 AS score FROM {_SEEN} ORDER BY id LIMIT 10) SELECT id, max(score)::DOUBLE AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id ORDER BY score DESC, id LIMIT 10")(
     lambda g: R.merge(V.knn(g.seen_by("shared"), Q).withColumn("layer", F.lit("vector")), V._visible(g.seen_by("shared")).orderBy("entity_id").limit(10).select(F.col("entity_id").alias("id"), F.lit(0.3).alias("score"), F.lit("graph").alias("layer"))).select("id", "score")
 )
-on_graph("rc6_hybrid")(lambda g: R.hybrid(_small(g).seen_by("shared"), "when did NATION_1 change", Q, "1997-06-01", rounds=3))
+on_graph("rc6_hybrid")(lambda g: R.hybrid(g.seen_by("shared"), "when did NATION_1 change", Q, "1997-06-01"))
 on_graph("rc7_low_confidence", f"SELECT coalesce(max(score), 0) < 0.2 AS low_confidence FROM (SELECT {_COS.format(a='vector', b=_QSQL)} AS score FROM {_SEEN} ORDER BY 1 DESC LIMIT 10)")(lambda g: R.low_confidence(V.knn(g.seen_by("shared"), Q)))
 on_graph("rc8_provenance_of_hits", f"WITH h AS (SELECT entity_id AS id, {_COS.format(a='vector', b=_QSQL)} AS score FROM {_SEEN} ORDER BY score DESC, id LIMIT 3) SELECT DISTINCT s.id FROM sources s JOIN edges e ON e.source_ref = s.id WHERE e.source_id IN (SELECT id FROM h) OR e.target_id IN (SELECT id FROM h)")(lambda g: S.provenance(g.edges, g.sources, V.knn(g.seen_by("shared"), Q, 3)).select("id"))
 on_graph("rc9_access_touch", "SELECT n.id, n.access_count + u.n AS access_count FROM nodes n JOIN usr u ON n.id = 'user:' || u.user_id")(
