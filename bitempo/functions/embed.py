@@ -16,7 +16,8 @@ def bag_of_words(text: Column, dim: int = 64) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), 1)
     part = lambda w, a, n: F.conv(F.substring(F.md5(w), a, n), 16, 10).cast("bigint")
     hits = F.transform(words, lambda w: F.struct((part(w, 1, 7) % dim).cast("int").alias("at"), F.when(part(w, 9, 1) % 2 == 0, 1.0).otherwise(-1.0).alias("sign")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(hits, F.lit(0.0), lambda s, h: s + F.when(h["at"] == i, h["sign"]).otherwise(0.0)))
+    count = lambda h: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(h, F.lit(0.0), lambda s, x: s + F.when(x["at"] == i, x["sign"]).otherwise(0.0)))
+    raw = F.get(F.transform(F.array(hits), count), F.lit(0))  # words are hashed once, not for each dimension
     unit = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
     return F.get(F.transform(F.array(raw), lambda v: F.when(norm(v) > 0, F.transform(v, lambda x: x / norm(v))).otherwise(unit)), F.lit(0)).cast("array<float>")
 

@@ -308,6 +308,7 @@ on_graph("sl7_recent_contradictions", "SELECT id, source_id, target_id FROM edge
 # --- scalar functions -------------------------------------------------------------------------------------
 
 on_tables("fn1_canonical", "SELECT doc_id, lower(trim(substr(text, 1, 12), ' ' || chr(9) || chr(10) || chr(13))) AS c FROM documents WHERE lang = 'en'")(lambda t: t("documents").where("lang = 'en'").select("doc_id", T.canonical(F.substring("text", 1, 12)).alias("c")))
+on_tables("fn1_canonical_all", "SELECT doc_id, lower(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS c FROM documents")(lambda t: t("documents").select("doc_id", T.canonical(F.col("text")).alias("c")))
 on_tables("fn2_sha256", "SELECT doc_id, sha256(text) AS h FROM documents")(lambda t: t("documents").select("doc_id", F.sha2("text", 256).alias("h")))
 on_tables("fn3_sentences", "SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS n FROM documents WHERE lang = 'en'")(lambda t: t("documents").where("lang = 'en'").select("doc_id", F.size(T.sentences(F.col("text"))).cast("bigint").alias("n")))
 on_tables("fn4_nouns", "SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]*'), lambda w: regexp_matches(w, '^[A-Z].') AND lower(w) NOT IN ('the', 'a', 'an', 'this', 'that', 'these', 'those')), ' ') AS nouns FROM documents")(lambda t: t("documents").select("doc_id", F.array_join(T.nouns(F.col("text")), " ").alias("nouns")))
@@ -320,6 +321,15 @@ on_graph("fn6_fingerprint", "SELECT id, fingerprint FROM triples")(
 on_tables("fn7_jaccard", "SELECT doc_id, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS j FROM (SELECT doc_id, list_distinct(string_split(substr(text, 1, 60), ' ')) AS a, list_distinct(string_split(substr(text, 61, 60), ' ')) AS b FROM documents)")(
     lambda t: t("documents").select("doc_id", F.round(T.jaccard(F.array_distinct(F.split(F.substring("text", 1, 60), " ")), F.array_distinct(F.split(F.substring("text", 61, 60), " "))), 6).alias("j"))
 )
+on_tables("fn7_jaccard_all", "SELECT doc_id, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS j FROM (SELECT d.doc_id, list_distinct(string_split(d.text, ' ')) AS a, list_distinct(string_split(e.text, ' ')) AS b FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1)")(lambda t: _words_with_next(t("documents")))
+
+
+def _words_with_next(d: DataFrame) -> DataFrame:
+    words = F.array_distinct(F.split("text", " "))
+    after = d.select((F.col("doc_id") - 1).alias("doc_id"), words.alias("b"))
+    return d.select("doc_id", words.alias("a")).join(after, "doc_id").select("doc_id", F.round(T.jaccard(F.col("a"), F.col("b")), 6).alias("j"))
+
+
 on_graph("fn8_overlap", "SELECT id, round((len(list_intersect(['nation_1', 'or', 'nation_2'], string_split(lower(name), ' '))) + 1)::DOUBLE / 4, 6) AS score FROM nodes WHERE type = 'NATION'")(lambda g: g.entities.where("type = 'NATION'").select("id", F.round(T.overlap(F.lit("Nation_1 or  NATION_2"), F.col("name")), 6).alias("score")))
 _PAIR = "FROM (SELECT a.vec_id AS a, b.vec_id AS b, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
 on_tables("fn9_cosine", f"SELECT a, b, round(list_dot_product(x::DOUBLE[], y::DOUBLE[]) / (sqrt(list_dot_product(x::DOUBLE[], x::DOUBLE[])) * sqrt(list_dot_product(y::DOUBLE[], y::DOUBLE[])) + 1e-12), 6) AS score {_PAIR}")(lambda t: _pairs(t).select("a", "b", F.round(N.cosine(F.col("x"), F.col("y")), 6).alias("score")))
@@ -361,7 +371,7 @@ on_tables("fn27_rule_counts", "SELECT conv_id, turn, " + ", ".join("(" + " + ".j
 )
 on_tables("fn28_code_names", "SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]+'), lambda w: length(w) >= 3 AND lower(w) NOT IN (" + ", ".join(f"'{w}'" for w in T.NOT_NAMES) + ")), ' ') AS names FROM conversations")(lambda t: t("conversations").select("conv_id", "turn", F.array_join(T.code_names(F.col("text")), " ").alias("names")))
 on_tables("fn26_identity", "SELECT r_regionkey, sha256('entity|' || r_name || '|') AS id FROM region")(lambda t: t("region").select("r_regionkey", identity(F.lit("entity"), F.col("r_name"), F.lit(None)).alias("id")))
-on_tables("ve8_bag_of_words")(lambda t: t("documents").select("doc_id", F.round(N.norm(bag_of_words(F.substring("text", 1, 200), 16)), 4).alias("norm")))
+on_tables("ve8_bag_of_words")(lambda t: t("documents").select("doc_id", F.round(N.norm(bag_of_words(F.col("text"))), 4).alias("norm")))
 
 # --- graph ------------------------------------------------------------------------------------------------
 

@@ -47,3 +47,27 @@ def test_pagerank_of_all_edges(spark):
     got = {r.id: r.score for r in QUERIES["gr2_pagerank"](spark, SF).collect()}
     assert got.keys() == p.keys() and all(abs(got[k] - p[k]) < 1e-5 for k in p)
     assert {k.split(":")[0] for k in got} >= {"order", "priority", "part"}
+
+
+@pytest.mark.parametrize("name", ["fn1_canonical_all", "fn7_jaccard_all"])
+def test_whole_texts(spark, name):
+    assert len(same_rows(spark, name)) >= 199
+
+
+def test_bag_of_words_takes_the_whole_text(spark, tmp_path):
+    from hashlib import md5
+    from pyspark.sql import functions as F
+
+    text = "the same start " * 20 + "and another end"
+    from bitempo.functions.embed import bag_of_words
+
+    want = [0.0] * 64
+    for w in text.split():
+        h = md5(w.encode()).hexdigest()
+        want[int(h[:7], 16) % 64] += 1 if int(h[8], 16) % 2 == 0 else -1
+    size = sum(x * x for x in want) ** 0.5
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert df.select(bag_of_words(F.col("text"))).first()[0] == pytest.approx([x / size for x in want], abs=1e-6)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    plan = QUERIES["ve8_bag_of_words"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(text" not in plan
