@@ -103,6 +103,9 @@ on_tables("sc20_latest_first", "SELECT user_id, event_type, n FROM (SELECT user_
 on_graph("dm1_new_sources", "SELECT content_hash, 'text/plain' AS mime_type FROM sources WHERE id LIKE '%7' AND content_hash NOT IN (SELECT content_hash FROM sources WHERE id LIKE '%1') GROUP BY content_hash")(
     lambda g: D.new_sources(g.sources.where("id like '%1'"), g.sources.where("id like '%7'").select("content"), NOW).select("content_hash", "mime_type")
 )
+on_graph("dm1_new_sources_all", "SELECT content_hash, 'text/plain' AS mime_type FROM sources WHERE regexp_matches(id, '[5-9]$') AND content_hash NOT IN (SELECT content_hash FROM sources WHERE regexp_matches(id, '[0-4]$')) GROUP BY content_hash")(
+    lambda g: D.new_sources(g.sources.where("id rlike '[0-4]$'"), g.sources.where("id rlike '[5-9]$'").select("content"), NOW).select("content_hash", "mime_type")
+)
 on_graph("dm2_new_entities", "SELECT lower(name) AS canonical_name, 'CUSTOMER' AS type FROM nodes WHERE type = 'CUSTOMER' AND (valid_until IS NOT NULL OR scope = 'private') GROUP BY 1")(
     lambda g: D.new_entities(g.entities.where("scope = 'shared'"), g.entities.where("type = 'CUSTOMER'").select(F.upper("name").alias("name"), "type", F.lit("shared").alias("scope")), NOW).select("canonical_name", "type")
 )
@@ -235,6 +238,15 @@ on_tables("jn11_diff", "SELECT 'added' AS change, user_id FROM (SELECT user_id F
 
 def _diff(e: DataFrame) -> DataFrame:
     a, b = (e.where(F.col("event_id") % 40 == k).select("user_id").distinct() for k in (2, 1))
+    return _changed(a, b)
+
+
+on_tables("jn11_diff_all", "SELECT 'added' AS change, user_id FROM (SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-29' EXCEPT SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-29') UNION ALL SELECT 'removed', user_id FROM (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-29' EXCEPT SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-29')")(
+    lambda t: _changed(*(t("events").where(f"ts {op} timestamp_ntz'2024-01-29'").select("user_id").distinct() for op in ("<", ">=")))
+)
+
+
+def _changed(a: DataFrame, b: DataFrame) -> DataFrame:
     return b.join(a, "user_id", "left_anti").select(F.lit("added").alias("change"), "user_id").unionAll(a.join(b, "user_id", "left_anti").select(F.lit("removed").alias("change"), "user_id"))
 
 
@@ -254,6 +266,17 @@ def _point(g: Snapshot) -> DataFrame:
     return g.links().where("relation_type = 'PREFERS'").join(s, "source_id").join(t, "target_id").select("source_id", "target_id").distinct()
 
 
+on_graph(
+    "jn14_point_in_time_all",
+    "SELECT DISTINCT e.source_id, e.target_id FROM edges e JOIN nodes s ON s.id = e.source_id JOIN nodes t ON t.id = e.target_id WHERE e.relation_type = 'PREFERS' AND e.valid_from <= TIMESTAMP '1998-06-01' AND (e.valid_until IS NULL OR e.valid_until > TIMESTAMP '1998-06-01') AND s.valid_from <= TIMESTAMP '1998-06-01' AND (s.valid_until IS NULL OR s.valid_until > TIMESTAMP '1998-06-01')",
+)(lambda g: _point_all(g.seen_at("1998-06-01")))
+
+
+def _point_all(g: Snapshot) -> DataFrame:
+    s, t = (g.nodes().select(F.col("id").alias(c)) for c in ("source_id", "target_id"))
+    return g.links().where("relation_type = 'PREFERS'").join(s, "source_id").join(t, "target_id").select("source_id", "target_id").distinct()
+
+
 on_tables("jn15_unique_suffix", "SELECT suffix, max(c_name) AS name FROM (SELECT c_name, right(c_name, 3) AS suffix FROM customer) GROUP BY suffix HAVING count(*) = 1")(
     lambda t: t("customer").select("c_name", F.expr("right(c_name, 3)").alias("suffix")).groupBy("suffix").agg(F.max("c_name").alias("name"), F.count("*").alias("n")).where("n = 1").drop("n")
 )
@@ -300,6 +323,9 @@ on_tables(
 on_graph("wn4_budget", "SELECT id, used::BIGINT AS used FROM (SELECT id, sum(length(name)) OVER (ORDER BY importance DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM (SELECT * FROM nodes WHERE type = 'CUSTOMER' ORDER BY importance DESC, id LIMIT 100)) WHERE used <= 400")(
     lambda g: C.within_budget(g.entities.where("type = 'CUSTOMER'").orderBy(F.desc("importance"), "id").limit(100), F.length("name"), 100, [F.desc("importance"), F.asc("id")]).select("id", "used")
 )
+on_graph("wn4_budget_all", "SELECT id, used::BIGINT AS used FROM (SELECT id, sum(length(name)) OVER (ORDER BY importance DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM nodes WHERE type = 'CUSTOMER') WHERE used <= 400")(
+    lambda g: C.within_budget(g.entities.where("type = 'CUSTOMER'"), F.length("name"), 100, [F.desc("importance"), F.asc("id")]).select("id", "used")
+)
 on_graph("sl2_bounded", "SELECT id FROM (SELECT id, row_number() OVER (ORDER BY importance DESC, id) AS k FROM nodes WHERE type = 'CUSTOMER') WHERE k <= 10")(lambda g: g.entities.where("type = 'CUSTOMER'").orderBy(F.desc("importance"), "id").limit(R.bounded(99)).select("id"))
 on_graph("sl5_browse_type", "SELECT id FROM nodes WHERE lower(type) = 'user' AND valid_until IS NULL ORDER BY access_count DESC, importance DESC, created_at, id LIMIT 15")(lambda g: C.browse_type(g, "User", 15).select("id"))
 on_graph("sl6_batch_limit", "SELECT id FROM nodes WHERE tier = 'warm' AND last_accessed_at < TIMESTAMP '2024-01-02' ORDER BY last_accessed_at, id LIMIT 100")(lambda g: M.stale_warm(g.entities, NOW).limit(100).select("id"))
@@ -556,6 +582,22 @@ def _(g: Snapshot) -> DataFrame:
     return edges.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("n"))
 
 
+@on_graph(
+    "mt3_merge_duplicates_all",
+    """WITH c AS (SELECT id, scope, coalesce(owner_id, '') AS owner, substr(id, 10)::BIGINT // 10 AS twins FROM nodes WHERE type = 'CUSTOMER' AND valid_until IS NULL),
+k AS (SELECT twins, scope, owner, min(id) AS keeper FROM c GROUP BY ALL),
+m AS (SELECT c.id, k.keeper FROM c JOIN k ON c.twins = k.twins AND c.scope = k.scope AND c.owner = k.owner)
+SELECT coalesce(m.keeper, e.source_id) AS id, count(*) AS n FROM edges e LEFT JOIN m ON m.id = e.source_id WHERE e.relation_type = 'PLACED' GROUP BY 1""",
+)
+def _(g: Snapshot) -> DataFrame:
+    """Every ten customers have one name and vector."""
+    twins = F.expr("cast(substr(id, 10) as bigint) div 10")
+    e = g.entities.where("type = 'CUSTOMER'").withColumn("canonical_name", F.concat(F.lit("twin"), twins.cast("string")))
+    v = e.select(F.col("id").alias("entity_id"), F.lit("given").alias("model_name"), F.lit("1").alias("model_version"), F.lit(2).alias("dim"), F.array(F.lit(1.0), twins.cast("double")).cast("array<float>").alias("vector"), "created_at")
+    _, edges, _ = M.merge_duplicates(e, g.edges.where("relation_type = 'PLACED'"), v, NOW, "r")
+    return edges.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("n"))
+
+
 on_graph("mt4_strengths", "SELECT id AS entity_id, round(importance * exp(-ln(2) / 30 * greatest(0, (epoch(TIMESTAMP '2024-02-01') - epoch(last_accessed_at)) / 86400.0)) * (1 + 0.2 * access_count), 6) AS strength FROM nodes WHERE type = 'CUSTOMER' AND valid_until IS NULL")(lambda g: M.strengths(g.entities.where("type = 'CUSTOMER'"), NOW).select("entity_id", F.round("strength", 6).alias("strength")))
 on_graph("mt5_audit", "SELECT 'DEMOTE' AS op, id AS target_id, '{\"tier\":\"warm\"}' AS before_json, '{\"tier\":\"cold\"}' AS after_json, 'consolidator' AS actor FROM nodes WHERE tier = 'warm' AND last_accessed_at < TIMESTAMP '2024-01-02'")(lambda g: M.demote(g.entities, NOW, "r")[1].select("op", "target_id", "before_json", "after_json", "actor"))
 

@@ -71,3 +71,8 @@ def test_bag_of_words_takes_the_whole_text(spark, tmp_path):
     df.write.parquet(str(tmp_path / "documents.parquet"))
     plan = QUERIES["ve8_bag_of_words"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "substring(text" not in plan
+
+
+@pytest.mark.parametrize("name", ["jn11_diff_all", "dm1_new_sources_all", "jn14_point_in_time_all", "wn4_budget_all", "mt3_merge_duplicates_all"])
+def test_whole_tables(spark, name):
+    same_rows(spark, name)
