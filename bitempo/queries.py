@@ -453,6 +453,9 @@ on_graph("ve7_search")(lambda g: V.search(g.seen_by("shared"), Q, 10, depth=1))
 on_graph("ve7_knn_batch", "SELECT query, id, score FROM (SELECT q.entity_id AS query, v.entity_id AS id, " + _COS.format(a="v.vector", b="(q.vector::DOUBLE[])") + " AS score, row_number() OVER (PARTITION BY q.entity_id ORDER BY " + _COS.format(a="v.vector", b="(q.vector::DOUBLE[])") + " DESC, v.entity_id) AS k FROM vectors v JOIN nodes n ON n.id = v.entity_id AND n.valid_until IS NULL, vectors q WHERE q.entity_id LIKE '%:3_') WHERE k <= 3")(
     lambda g: V.knn_batch(g, g.embeddings.where("entity_id like '%:3_'").select(F.col("entity_id").alias("query"), "vector"), 3)
 )
+on_graph("ve7_knn_batch_all", "SELECT query, id, score FROM (SELECT q.entity_id AS query, v.entity_id AS id, " + _COS.format(a="v.vector", b="(q.vector::DOUBLE[])") + " AS score, row_number() OVER (PARTITION BY q.entity_id ORDER BY " + _COS.format(a="v.vector", b="(q.vector::DOUBLE[])") + " DESC, v.entity_id) AS k FROM vectors v JOIN nodes n ON n.id = v.entity_id AND n.valid_until IS NULL, vectors q WHERE split_part(q.entity_id, ':', 2)::BIGINT % 100 = 0) WHERE k <= 3")(
+    lambda g: V.knn_batch(g, g.embeddings.where("cast(substring_index(entity_id, ':', -1) as bigint) % 100 = 0").select(F.col("entity_id").alias("query"), "vector"), 3)
+)
 
 # --- time, retrieval --------------------------------------------------------------------------------------
 

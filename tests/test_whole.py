@@ -76,3 +76,7 @@ def test_bag_of_words_takes_the_whole_text(spark, tmp_path):
 @pytest.mark.parametrize("name", ["jn11_diff_all", "dm1_new_sources_all", "jn14_point_in_time_all", "wn4_budget_all", "mt3_merge_duplicates_all"])
 def test_whole_tables(spark, name):
     same_rows(spark, name)
+
+
+def test_batch_search_grows_with_the_input(spark):
+    assert {r[0] for r in same_rows(spark, "ve7_knn_batch_all")} == {f"customer:{i}" for i in range(100, 501, 100)}
