@@ -337,6 +337,7 @@ on_tables("fn1_canonical", "SELECT doc_id, lower(trim(substr(text, 1, 12), ' ' |
 on_tables("fn1_canonical_all", "SELECT doc_id, lower(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS c FROM documents")(lambda t: t("documents").select("doc_id", T.canonical(F.col("text")).alias("c")))
 on_tables("fn2_sha256", "SELECT doc_id, sha256(text) AS h FROM documents")(lambda t: t("documents").select("doc_id", F.sha2("text", 256).alias("h")))
 on_tables("fn3_sentences", "SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS n FROM documents WHERE lang = 'en'")(lambda t: t("documents").where("lang = 'en'").select("doc_id", F.size(T.sentences(F.col("text"))).cast("bigint").alias("n")))
+on_tables("fn3_sentences_all", ORACLE_SQL["fn3_sentences"].replace(" WHERE lang = 'en'", ""))(lambda t: t("documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("bigint").alias("n")))
 on_tables("fn4_nouns", "SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]*'), lambda w: regexp_matches(w, '^[A-Z].') AND lower(w) NOT IN ('the', 'a', 'an', 'this', 'that', 'these', 'those')), ' ') AS nouns FROM documents")(lambda t: t("documents").select("doc_id", F.array_join(T.nouns(F.col("text")), " ").alias("nouns")))
 on_tables("fn5_predicate", "SELECT doc_id, CASE WHEN regexp_matches(x, '(?i)\\bowns\\b') THEN 'OWNS' WHEN regexp_matches(x, '(?i)\\bprefers?\\b') THEN 'PREFERS' WHEN regexp_matches(x, '(?i)\\bworks (at|for)\\b') THEN 'WORKS_AT' ELSE 'RELATED_TO' END AS p FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Ann Owns B' WHEN 1 THEN 'she prefer c' WHEN 2 THEN 'he works for it' ELSE 'none' END AS x FROM documents)")(
     lambda t: t("documents").select("doc_id", T.predicate(F.expr("CASE doc_id % 4 WHEN 0 THEN 'Ann Owns B' WHEN 1 THEN 'she prefer c' WHEN 2 THEN 'he works for it' ELSE 'none' END")).alias("p"))
@@ -502,6 +503,21 @@ on_tables("in3_first_of_subject", f"WITH {_NOUNS}, x AS (SELECT doc_id, i, lower
 )
 
 
+def _documents(t) -> DataFrame:
+    return t("documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"))
+
+
+_of_all = lambda name: ORACLE_SQL[name].replace(" WHERE lang = 'en'", "")
+on_tables("in1_extract_entities_all", _of_all("in1_extract_entities"))(lambda t: I.extract_entities(_documents(t)).select("id", "name"))
+on_tables("in1_extract_triples_all", _of_all("in1_extract_triples"))(
+    lambda t: I.extract_triples(_documents(t)).withColumn("fingerprint", T.fingerprint(F.col("subject"), F.lit("RELATED_TO"), F.col("object"))).groupBy("id", "fingerprint").agg(F.count("*").alias("n"))
+)
+on_tables("in3_first_of_subject_all", _of_all("in3_first_of_subject"))(
+    lambda t: I.first_of_subject(I.extract_triples(_documents(t)).withColumn("predicate", F.lit("RELATED_TO"))).select("id", F.lower("subject").alias("subject"), "object")
+)
+on_tables("in2_ingest_documents")(lambda t: _edges_of(t("documents").sparkSession, t("documents").select(F.col("text").alias("content"), F.timestamp_seconds("doc_id").cast("timestamp_ntz").alias("ts"))))
+
+
 @on_tables("in2_ingest", "SELECT * FROM (VALUES ('kendra', 'PREFERS', 'adidas', true), ('kendra', 'PREFERS', 'nike', false), ('nike', 'CONTRADICTS', 'adidas', false), ('bob', 'OWNS', 'acme', false)) t(subject, relation, object, closed)")
 def _(t) -> DataFrame:
     return _ingested(t, [("Kendra prefers Adidas.", "2025-01-01 00:00:00"), ("Bob owns Acme.", "2025-01-02 00:00:00"), ("Kendra prefers Nike.", "2025-04-01 00:00:00"), ("Bob owns Acme.", "2025-05-01 00:00:00")])
@@ -515,6 +531,10 @@ def _(t) -> DataFrame:
 def _ingested(t, rows: list[tuple[str, str]]) -> DataFrame:
     spark = t("region").sparkSession
     items = spark.createDataFrame(rows, "content string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return _edges_of(spark, items)
+
+
+def _edges_of(spark: SparkSession, items: DataFrame) -> DataFrame:
     out = I.ingest({n: empty(spark, n) for n in SCHEMAS}, items, NOW, unique=I.UNIQUE)
     names = out["entities"].select("id", "canonical_name")
     e = out["edges"].join(names.withColumnsRenamed({"id": "source_id", "canonical_name": "subject"}), "source_id").join(names.withColumnsRenamed({"id": "target_id", "canonical_name": "object"}), "target_id")

@@ -80,3 +80,44 @@ def test_whole_tables(spark, name):
 
 def test_batch_search_grows_with_the_input(spark):
     assert {r[0] for r in same_rows(spark, "ve7_knn_batch_all")} == {f"customer:{i}" for i in range(100, 501, 100)}
+
+
+@pytest.mark.parametrize("name", ["fn3_sentences_all", "in1_extract_entities_all", "in1_extract_triples_all", "in3_first_of_subject_all"])
+def test_every_language(spark, name):
+    same_rows(spark, name)
+
+
+def test_ingest_of_documents(spark, tmp_path):
+    """One document after the other, by hand."""
+    import re
+    from collections import Counter
+
+    rows = [(1, "Kendra prefers Adidas. Bob owns Acme.", "en"), (2, "Kendra prefers Adidas. Bob owns Acme.", "fr"), (3, "Kendra prefers Nike! The Bob works at Zeta.", None), (4, "Bob owns Acme. Ann meets Bob and Kendra.", "de"), (5, "Ann meets Bob again. Kendra prefers Adidas.", "en"), (6, "no names here", "en"), (7, "Bob works for Zeta. Bob owns Gamma.", "es")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    says = (("OWNS", r"\bowns\b"), ("PREFERS", r"\bprefers?\b"), ("WORKS_AT", r"\bworks (at|for)\b"))
+    seen, now, edges, against = set(), {}, [], Counter()
+    for _, text, _ in rows:
+        if text in seen:
+            continue
+        seen.add(text)
+        done = set()
+        for sentence in re.split(r"(?<=[.!?])\s+", text):
+            nouns = [w.lower() for w in re.findall(r"[A-Z][A-Za-z0-9_-]+", sentence) if w.lower() not in ("the", "a", "an", "this", "that", "these", "those")]
+            p = next((p for p, r in says if re.search(r, sentence)), "RELATED_TO")
+            if len(nouns) < 2 or (nouns[0], p) in done:
+                continue
+            done.add((nouns[0], p))
+            if p == "RELATED_TO":
+                if [nouns[0], p, nouns[1], False] not in edges:
+                    edges.append([nouns[0], p, nouns[1], False])
+                continue
+            old = now.get((nouns[0], p))
+            if old is not None and old[2] == nouns[1]:
+                continue
+            if old is not None:
+                old[3] = True
+                against[(nouns[1], "CONTRADICTS", old[2], False)] += 1
+            now[(nouns[0], p)] = edge = [nouns[0], p, nouns[1], False]
+            edges.append(edge)
+    want = Counter(map(tuple, edges)) + against
+    assert Counter(map(tuple, QUERIES["in2_ingest_documents"](spark, str(tmp_path)).collect())) == want
