@@ -27,6 +27,8 @@ from .common import LOWER, Rolling, grams, mix, prepare, rows, slices, table, te
 #: Edits a word of an item; the fewest words of an item that is searched for.
 TOLERANCE, MIN_WORDS = 0.2, 5
 Q, WALKS, TABLES, SAMPLED = 3, 4, 9, 4
+#: Longer items, whose walks fall out of step more often, get three times the walks.
+LONG = 60
 #: Benchmark text that one pass over the documents searches for.
 BLOCK_BYTES = 8_000_000
 SCHEMA = "doc_id bigint, item_id bigint, edits int, item_words int, start_word int, end_word int"
@@ -62,6 +64,11 @@ def keys_of(steps: np.ndarray, walk: int) -> Iterator[np.ndarray]:
         yield key
 
 
+def walks_of(m: int) -> int:
+    """Walks over items of m words."""
+    return WALKS if m <= LONG else 3 * WALKS
+
+
 def allowed(m: int) -> int:
     """Edits within an item of m words, so that one run of Q words at least stays whole."""
     return min(int(TOLERANCE * m), (m - Q) // Q)
@@ -103,7 +110,7 @@ class Index:
             start = np.arange(len(own)) * m
             self.seeds[m] = np.unique(grams(flat, np.repeat(np.arange(len(own)), m), Q)[0])
             every.append(self.seeds[m])
-            for walk in range(WALKS):
+            for walk in range(walks_of(m)):
                 for t, key in enumerate(keys_of(cgk(flat, start, m, walk), walk)):
                     order = np.argsort(key, kind="stable")
                     self.tables[m, walk, t] = key[order], np.array(own)[order]
@@ -134,7 +141,7 @@ class Index:
             first = np.unique(np.where(short, np.maximum(last - m, np.searchsorted(text, text[first])), first))
             inside = np.searchsorted(own, first + m - Q, side="right") - np.searchsorted(own, first)
             first = first[(inside >= need) & (first + m <= len(words))]
-            for walk in range(WALKS if len(first) else 0):
+            for walk in range(walks_of(m) if len(first) else 0):
                 for t, key in enumerate(keys_of(cgk(words, first, m, walk), walk)):
                     keys, items = self.tables[m, walk, t]
                     a, b = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
