@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, Rolling, grams, mix, prepare, rows, slices, table, texts_of, tidily, tokens
 
-#: Edits a word of an item; the fewest words of an item that is searched for.
+#: Edits a word of an item; the fewest words of an item that may be edited.
 TOLERANCE, MIN_WORDS = 0.2, 5
 Q, WALKS, TABLES, SAMPLED = 3, 4, 9, 4
 #: Longer items, whose walks fall out of step more often, get three times the walks.
@@ -36,9 +36,23 @@ WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+def characters(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the letters of scripts without spaces: Thai, Lao, Burmese, Khmer, kana and Han, in UTF-8."""
+    a, b = buf, np.append(buf[1:], 0).astype(np.uint8)
+    three = ((a == 0xE0) & (b >= 0xB8) & (b <= 0xBB)) | ((a == 0xE1) & (((b >= 0x80) & (b <= 0x82)) | (b == 0x9E) | (b == 0x9F))) | ((a == 0xE3) & ((b == 0x81) | (b == 0x82) | (b == 0x83) | (b >= 0x90))) | ((a >= 0xE4) & (a <= 0xE9)) | ((a == 0xEF) & (b >= 0xA4) & (b <= 0xAB))
+    four = (a == 0xF0) & (b >= 0xA0) & (b <= 0xB3)
+    at = np.flatnonzero(three | four)
+    return at, np.minimum(at + np.where(four[at], 4, 3), len(buf))
+
+
 def words_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of each word."""
+    """(hash, text) of each word; a letter of a script without spaces is a word."""
     start, end, text = tokens(buf, offsets, WORD)
+    own, past = characters(buf)
+    if len(own):  # words are cut before and after each such letter
+        more = np.setdiff1d(np.concatenate((own, past)), np.concatenate((start, end)))
+        start, end = np.sort(np.concatenate((start, more))), np.sort(np.concatenate((end, more)))
+        text = np.searchsorted(offsets, start, side="right") - 1
     return Rolling(LOWER[buf], 8).spans(start, end), text
 
 
@@ -103,6 +117,13 @@ class Index:
         for i, w in enumerate(self.words):
             if len(w) >= MIN_WORDS:
                 self.by_size.setdefault(len(w), []).append(i)
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for m in range(1, MIN_WORDS):  # found where all their words are, in order
+            own = np.array([i for i, w in enumerate(self.words) if len(w) == m], np.int64)
+            if len(own):
+                key = grams(np.concatenate([self.words[i] for i in own]), np.repeat(np.arange(len(own)), m), m)[0]
+                order = np.argsort(key, kind="stable")
+                self.short[m] = key[order], own[order]
         self.seeds, self.tables = {}, {}
         every = []
         for m, own in self.by_size.items():
@@ -120,6 +141,20 @@ class Index:
 
     def search(self, words: np.ndarray, text: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, edits, start, end) of every leak, with words counted from the text's first."""
+        return self._exact(words, text) + self._near(words, text)
+
+    def _exact(self, words: np.ndarray, text: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        out = []
+        for m, (keys, items) in self.short.items():
+            h, at = grams(words, text, m)
+            seen = np.flatnonzero(np.isin(h, keys))
+            pair, first = np.unique(np.stack((text[at[seen]].astype(np.uint64), h[seen])), axis=1, return_index=True)
+            for (doc, key), x in zip(pair.T, first, strict=True):
+                s = int(at[seen[x]] - np.searchsorted(text, int(doc)))
+                out += [(int(doc), int(i), 0, s, s + m) for i in items[np.searchsorted(keys, key) : np.searchsorted(keys, key, side="right")]]
+        return out
+
+    def _near(self, words: np.ndarray, text: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         h, at = grams(words, text, Q)
         hit = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
         hit = hit[np.isin(h[hit], self.every)]
@@ -185,8 +220,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     """A row for every document and item that it holds: doc_id, item_id, edits, item_words, start_word, end_word.
 
     The nearest passage of the document is given, the first of equal ones, in words from 0, end exclusive.
-    The benchmark is searched for in blocks of ``block_bytes``, each in its own pass. Null or empty texts, and
-    items of fewer than ``MIN_WORDS`` words, match nothing. Repeated documents are answered each, repeated
+    The benchmark is searched for in blocks of ``block_bytes``, each in its own pass. Null or empty texts
+    match nothing; items of fewer than ``MIN_WORDS`` words are found where all their words are, in order. Repeated documents are answered each, repeated
     items too. An item may be found in a document that is shorter than it by as many words as edits are
     allowed only if the rest fits a window of the item's length.
     """
