@@ -33,6 +33,8 @@ HOT = 2048
 STRETCH = 40
 #: Bytes of contexts that are sorted at once, classes being kept whole.
 CHUNK = 2_000_000
+#: Bytes of a long text that are searched for anchors at once; places within it fit 28 bits.
+PIECE = 1 << 24
 RID = ["rid_a", "rid_b"]
 
 
@@ -71,76 +73,109 @@ def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return owner[head], first, last, anchor, klass, context
 
 
-def deep_shallow(buf: np.ndarray, start: np.ndarray, group: np.ndarray, size: int = SIZE, shallow: int = SHALLOW) -> np.ndarray:
-    """Whether the ``size`` bytes from each start (size a multiple of 8) also are those of another of its group."""
-    repeated = np.zeros(len(start), bool)
+def _fresh(labels: np.ndarray) -> np.ndarray:
+    """Numbers of the runs of equal labels."""
+    return np.cumsum(np.concatenate(([True], labels[1:] != labels[:-1]))) - 1 if len(labels) else labels
+
+
+def _cuts(seg: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.flatnonzero(seg[1:] != seg[:-1]) + 1, [len(seg)]))
+
+
+def deep_shallow(buf: np.ndarray, start: np.ndarray, group: np.ndarray, size: int = SIZE, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """(rank, repeated) of the ``size`` bytes from each start (a multiple of 8), sorted within each group.
+
+    Equal strings of a group have equal ranks; repeated ones have an equal string beside them in the order.
+    """
+    rank, repeated = np.zeros(len(start), np.int64), np.zeros(len(start), bool)
     words = np.ndarray((max(0, len(buf) - 7),), np.dtype(">u8"), buffer=np.ascontiguousarray(buf), strides=(1,))
     order = np.argsort(group, kind="stable")
-    seg = np.cumsum(np.concatenate(([True], np.diff(group[order]) != 0))) - 1 if len(order) else order
-    depth = np.zeros(len(order), np.int64)
-    deep_order, deep_seg = [], []
-    base = 0
+    seg, depth = _fresh(group[order]), np.zeros(len(order), np.int64)
+    at = _cuts(seg)[seg]  # where the group of a string begins in the order
+    rank[order] = at
+
+    def split(code: np.ndarray) -> np.ndarray:
+        """The way to sort the active strings by code; their groups' places follow."""
+        nonlocal order, seg, at
+        cut = _cuts(seg)
+        by = np.argsort(code, kind="stable")
+        order, code, begin = order[by], code[by], np.repeat(cut[:-1], np.diff(cut))
+        seg = _fresh(code)
+        at = at - begin + _cuts(seg)[seg]  # groups stay where they were, so ``begin`` and ``at`` are those of the old group
+        rank[order] = at
+        return by
+
+    def alone() -> None:
+        """Strings that are alone in their group have their place."""
+        nonlocal order, seg, depth, at
+        more = np.bincount(seg)[seg] > 1 if len(seg) else np.zeros(0, bool)
+        order, seg, depth, at = order[more], _fresh(seg[more]), depth[more], at[more]
+
+    later: list[tuple[np.ndarray, ...]] = []
+    alone()
     while len(order):  # multikey quicksort: each group around the word of its middle member
-        count = np.bincount(seg)
-        more = count[seg] > 1
-        order, seg, depth = order[more], seg[more], depth[more]
-        if not len(order):
-            break
-        cut = np.concatenate(([0], np.flatnonzero(seg[1:] != seg[:-1]) + 1, [len(seg)]))
-        sizes = np.diff(cut)
+        cut = _cuts(seg)
         word = words[start[order] + depth].astype(np.uint64)
-        pivot = np.repeat(word[(cut[:-1] + cut[1:]) // 2], sizes)
+        pivot = np.repeat(word[(cut[:-1] + cut[1:]) // 2], np.diff(cut))
         side = np.where(word < pivot, 0, np.where(word == pivot, 1, 2))
-        code = np.repeat(np.arange(len(sizes)), sizes) * 3 + side
-        by = np.argsort(code, kind="stable")
-        order, code = order[by], code[by]
+        by = split(seg * 3 + side)
         depth = depth[by] + 8 * (side[by] == 1)
-        seg = np.cumsum(np.concatenate(([True], np.diff(code) != 0))) - 1
+        alone()
         deep = depth >= shallow
         if deep.any():
-            deep_order.append(order[deep])
-            deep_seg.append(seg[deep] + base)
-            base += len(order)
-            order, seg, depth = order[~deep], seg[~deep], depth[~deep]
-            if len(seg):
-                seg = np.cumsum(np.concatenate(([True], np.diff(seg) != 0))) - 1
-    if not deep_order:
-        return repeated
-    order, seg = np.concatenate(deep_order), np.concatenate(deep_seg)
-    depth = np.full(len(order), shallow, np.int64)
-    while len(order):  # blind tries, one leaf a group at a time
-        seg = np.cumsum(np.concatenate(([True], np.diff(seg) != 0))) - 1
-        count = np.bincount(seg)
-        more = count[seg] > 1
-        order, seg, depth = order[more], seg[more], depth[more]
-        if not len(order):
-            break
-        cut = np.concatenate(([0], np.flatnonzero(seg[1:] != seg[:-1]) + 1, [len(seg)]))
+            later.append((order[deep], at[deep]))
+            order, seg, depth, at = order[~deep], _fresh(seg[~deep]), depth[~deep], at[~deep]
+    if not later:
+        return rank, repeated
+    order, at = (np.concatenate(x) for x in zip(*later, strict=True))
+    by = np.argsort(at, kind="stable")
+    order, at = order[by], at[by]
+    seg, depth = _fresh(at), np.full(len(order), shallow, np.int64)
+    while len(order):  # blind tries: a leaf's path is walked, and the others branch off where they differ from it
+        cut = _cuts(seg)
         leaf = np.repeat(cut[:-1], np.diff(cut))
         mine, other = start[order], start[order[leaf]]
         common = depth // 8 * 8  # whole words; those before are known to be equal
-        live = np.arange(len(order))
+        less = np.zeros(len(order), bool)
+        live = np.flatnonzero(common < size)
         while len(live):
             a, b = words[mine[live] + common[live]].astype(np.uint64), words[other[live] + common[live]].astype(np.uint64)
             same = a == b
             ends = live[~same]
             x = a[~same] ^ b[~same]
+            less[ends] = a[~same] < b[~same]
             for byte in range(1, 8):  # leading bytes that agree
                 common[ends] += x >> np.uint64(64 - 8 * byte) == 0
             live = live[same]
             common[live] += 8
             live = live[common[live] < size]
         full = common >= size
-        is_leaf = np.zeros(len(order), bool)
-        is_leaf[cut[:-1]] = True
-        repeated[order[full & ~is_leaf]] = True
-        repeated[order[leaf[full & ~is_leaf]]] = True
-        rest = np.flatnonzero(~full)
-        branch = buf[mine[rest] + common[rest]].astype(np.int64)
-        code = (seg[rest] * (size + 1) + common[rest]) * 256 + branch
-        by = np.argsort(code, kind="stable")
-        order, depth, seg = order[rest[by]], common[rest[by]] + 1, code[by]
-    return repeated
+        is_leaf = leaf == np.arange(len(order))
+        twin = full & ~is_leaf
+        repeated[order[twin]] = True
+        repeated[order[leaf[twin]]] = True
+        # in order: smaller strings, the deeper the nearer to the leaf; the leaf and its equals; greater ones
+        place = np.where(full, size, np.where(less, common, 2 * size - common))
+        branch = np.where(full, 0, buf[mine + np.minimum(common, size - 1)]).astype(np.int64)
+        by = split((seg * (2 * size + 1) + place) * 256 + branch)
+        depth = np.minimum(common[by] + 1, size)
+        depth[full[by]] = size
+        stay = ~full[by]
+        order, seg, depth, at = order[stay], _fresh(seg[stay]), depth[stay], at[stay]
+        alone()
+    return rank, repeated
+
+
+def pieces(offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bytes before, offsets) of what is searched for anchors at once: some texts, or a piece of a long one.
+
+    Pieces overlap by ``SIZE - 1`` bytes, so every string lies in one of them; its anchor is the same in any piece.
+    """
+    if len(offsets) > 2 or offsets[-1] - offsets[0] <= PIECE:
+        yield 0, offsets
+        return
+    for low in range(int(offsets[0]), max(int(offsets[0]) + 1, int(offsets[1]) - SIZE + 1), PIECE):
+        yield low - int(offsets[0]), np.array([low, min(int(offsets[1]), low + PIECE + SIZE - 1)])
 
 
 def _anchoring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,11 +184,12 @@ def _anchoring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = [rows(batch, c).to_numpy(zero_copy_only=False) for c in RID]
         buf, offsets = texts_of(rows(batch, "text"))
         for i, j in slices(np.diff(offsets)):
-            own = offsets[i : j + 1] - offsets[i]
-            text, first, last, anchor, klass, context = anchors(buf[offsets[i] : offsets[j]], own)
-            base = own[text]
-            cols = [*(r[i + text] for r in rid), klass.view(np.int64), context.view(np.int64), *((x - base).astype(np.int32) for x in (first, last, anchor))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+            for low, ends in pieces(offsets[i : j + 1]):
+                own = ends - ends[0]
+                text, first, last, anchor, klass, context = anchors(buf[ends[0] : ends[-1]], own)
+                base = own[text] - low  # of a piece of a text: what lies before it
+                cols = [*(r[i + text] for r in rid), klass.view(np.int64), context.view(np.int64), *(x - base for x in (first, last, anchor))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
 
 def _cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +207,7 @@ def _cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size += len(out[-1][-1])
             if size > 4_000_000 or d == batch.num_rows - 1:
                 cols = list(zip(*out, strict=True)) or [()] * len(names)
-                kinds = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary()]
+                kinds = [pa.int64()] * 8 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
                 out, size = [], 0
 
@@ -194,7 +230,7 @@ def _sorting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, start = _windows(first, last, at[:-1])
         distance = (anchor - first)[owner] - (start - at[:-1][owner])
         rank = np.cumsum(np.concatenate(([True], klass[1:] != klass[:-1]))) if len(klass) else klass
-        hit = deep_shallow(buf, start, rank[owner] * SPAN + distance)
+        _, hit = deep_shallow(buf, start, rank[owner] * SPAN + distance)
         return spans(part, owner[hit], (start - at[:-1][owner] + first[owner])[hit], copies)
 
     def spans(part: pa.Table, owner: np.ndarray, begin: np.ndarray, copies: np.ndarray) -> pa.RecordBatch:
@@ -246,7 +282,7 @@ def _coring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin = anchor[owner] - stretch * STRETCH - first[owner] + at[owner]
         end = begin + SIZE - STRETCH + 1
         w1, w2 = _dealt(buf, begin, end - begin, klass[owner], stretch)
-        cols = [*(r[owner] for r in rid), first[owner].astype(np.int32), copies[owner], stretch.astype(np.int32), w1, w2]
+        cols = [*(r[owner] for r in rid), first[owner], copies[owner], stretch.astype(np.int32), w1, w2]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [*RID, "first", "copies", "stretch", "w1", "w2"])
 
 
@@ -315,7 +351,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     src = src.withColumns({"rid_a": F.coalesce("doc_id", F.lit(-(1 << 63))), "rid_b": F.xxhash64("text")})
     found = keep(
-        src.where(F.octet_length("text") >= SIZE).select(*RID, "text").mapInArrow(tidily(_anchoring), "rid_a bigint, rid_b bigint, class bigint, context bigint, first int, last int, anchor int"),
+        src.where(F.octet_length("text") >= SIZE).select(*RID, "text").mapInArrow(tidily(_anchoring), "rid_a bigint, rid_b bigint, class bigint, context bigint, first bigint, last bigint, anchor bigint"),
         "anchors",
     )
     shared = found.groupBy("class").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("alike")).where("n > 1")
@@ -334,19 +370,19 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     asked = contexts.groupBy(*RID).agg(F.collect_list(F.struct("class", "n", "copies", "first", "last", "anchor")).alias("asked"))
     wanted = src.join(asked, RID).dropDuplicates(RID)
-    cut = keep(wanted.select(*RID, "text", "asked").mapInArrow(tidily(_cutting), "rid_a bigint, rid_b bigint, class bigint, n bigint, copies bigint, first int, last int, anchor int, bytes binary"), "cut")
+    cut = keep(wanted.select(*RID, "text", "asked").mapInArrow(tidily(_cutting), "rid_a bigint, rid_b bigint, class bigint, n bigint, copies bigint, first bigint, last bigint, anchor bigint, bytes binary"), "cut")
     release(spark)
     sortable = cut.where(F.col("n") <= HOT).repartition("class").sortWithinPartitions("class")
     ordered = sortable.mapInArrow(tidily(_sorting), "rid_a bigint, rid_b bigint, begin bigint, end bigint")
     crowded = cut.where(F.col("n") > HOT)
-    cores = crowded.mapInArrow(tidily(_coring), "rid_a bigint, rid_b bigint, first int, copies bigint, stretch int, w1 bigint, w2 bigint")
+    cores = crowded.mapInArrow(tidily(_coring), "rid_a bigint, rid_b bigint, first bigint, copies bigint, stretch int, w1 bigint, w2 bigint")
     shared_cores = cores.groupBy("w1", "w2").agg(F.sum("copies").alias("of")).where("of > 1").select("w1", "w2")
     alive = cores.join(shared_cores, ["w1", "w2"]).groupBy(*RID, "first").agg(F.collect_set("stretch").alias("alive"))
     strings = crowded.join(alive, [*RID, "first"]).mapInArrow(tidily(_dealing), "rid_a bigint, rid_b bigint, copies bigint, begin bigint, w1 bigint, w2 bigint")
     twice = strings.groupBy("w1", "w2").agg(F.sum("copies").alias("of")).where("of > 1").select("w1", "w2")
     hot = strings.where("copies = 1").join(twice, ["w1", "w2"]).groupBy(*RID, "begin").agg(F.lit(1)).select(*RID, "begin", (F.col("begin") + SIZE).alias("end"))
 
-    spans = alike.unionByName(copied).unionByName(ordered).unionByName(hot)
+    spans = alike.unionByName(copied).unionByName(ordered).unionByName(hot).distinct()  # repeated rows share their spans
     spans = spans.groupBy(*RID).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     spans = keep(spans, "spans")
     release(spark)
