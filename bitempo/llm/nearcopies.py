@@ -10,10 +10,14 @@ work, never results. A block without shingles says nothing; e spare blocks make
 more empty blocks than that are dealt once more with all their shingles, and those with too many empty
 blocks even then meet under one key of their band.
 
-Members of a bucket are compared with one of them, not with each other; as long as a bucket holds members
-of different components that haven't been compared, further ones are taken. What is left is compared in blocks of
-bounded size by parity sketches of ``BITS`` bits, one bit a shingle, whose Hamming distance is a lower bound too.
-Every candidate that passes the bound is verified on whole shingle sets.
+Equal sets (told by a 128-bit digest) count as one from then on. A document meets its own band and, as a guest, the
+one below; a bucket of guests only says nothing, for they meet at home. Members of a bucket are compared with one of
+them first, which joins large groups in linear time. Buckets that still hold several components are
+compared in blocks of bounded size by parity sketches of one bit a shingle, whose length follows the
+difference that their sizes allow (``SHARP`` bits for each of t), so that the Hamming distance rejects nearly all that is no
+link at every size. A block hands on a spanning forest of what its sketches allow; only where a pair of it turns out
+to be no link are all allowed pairs between components handed on. Every candidate is verified on whole shingle
+sets, which are made once for the documents that share a bucket.
 """
 
 from __future__ import annotations
@@ -26,15 +30,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import LOWER, Rolling, connected, grams, keep, mix, prepare, release, rows, runs, slices, table, texts_of, tidily, tokens
+from .common import LOWER, Rolling, connected, discard, grams, keep, mix, prepare, release, rows, runs, slices, table, texts_of, tidily, tokens
 
-#: Bound of the sample that tells frequent shingles, and the share of it that makes one frequent.
-SAMPLE_DOCS, FREQUENT = 8000, 0.0005
+#: Bound of the sample that tells frequent shingles, the share of it that makes one frequent, and how many are told.
+SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 8000, 0.0005, 100_000
 #: Rounds of comparing a bucket's members with one of them.
-ROUNDS = 4
-#: Bits of the sketches that candidates are tested by, and members of a bucket that are compared in one go.
-BITS, BLOCK = 256, 2048
+ROUNDS = 1
+#: Bits of a sketch for each shingle that may differ, and members of a bucket that are compared in one go.
+SHARP, BLOCK = 16, 2048
 WORD = np.ones(256, bool)
 WORD[[32, *range(9, 14)]] = False
 
@@ -114,79 +119,166 @@ def _dealt(h: np.ndarray, owner: np.ndarray, n: int, group: np.ndarray, bands: B
     return keys, text, (b > 0) & (empty > spare[np.maximum(group, 0)])
 
 
-def keys_of(h: np.ndarray, owner: np.ndarray, n: int, bands: Bands, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(set size, key of the set, parity sketch, and (key, text) of the blocks) of ``n`` texts."""
+def keys_of(h: np.ndarray, owner: np.ndarray, n: int, bands: Bands, frequent: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, text) of the blocks of the texts that are asked for; the lowest bit of a key tells guests."""
     sizes = np.bincount(owner, minlength=n)
-    cut = runs(owner)
-    some = owner[cut[:-1]]
-    whole = np.zeros((2, n), np.uint64)
-    sketch = np.zeros((n, BITS // 64), np.uint64)
-    if len(some):
-        whole[0, some] = np.bitwise_xor.reduceat(h, cut[:-1])
-        whole[1, some] = np.add.reduceat(mix(h), cut[:-1])
-        bit = (h >> np.uint64(7)) % np.uint64(BITS)
-        for w in range(BITS // 64):
-            sketch[some, w] = np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == w, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), cut[:-1])
-    sets = mix(whole[0] + mix(whole[1] ^ sizes.astype(np.uint64)))
     band = bands.of(sizes)
     rare = ~np.isin(h, frequent) if len(frequent) else np.ones(len(h), bool)
+    asked = asked & (sizes > 0)
     keys, texts = [], []
-    for group in (band, band - 1):
-        key, text, many = _dealt(h[rare], owner[rare], n, group, bands, sizes > 0, 0)
+    for guest, group in enumerate((band, band - 1)):
+        key, text, many = _dealt(h[rare], owner[rare], n, group, bands, asked, 0)
         more, again, still = _dealt(h, owner, n, group, bands, many, 0x5555555500000000)
         last = np.flatnonzero(still)
-        keys += [key, more, mix(group[last].astype(np.uint64) + np.uint64(0x7777777700000000))]
+        own = np.concatenate((key, more, mix(group[last].astype(np.uint64) + np.uint64(0x7777777700000000))))
+        keys.append(own >> np.uint64(1) << np.uint64(1) | np.uint64(guest))
         texts += [text, again, last]
-    return sizes, sets, sketch, np.concatenate(keys), np.concatenate(texts)
+    return np.concatenate(keys), np.concatenate(texts)
+
+
+def digests(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """128 bits of each set, the same for equal ones."""
+    out = np.zeros((2, n), np.uint64)
+    cut = runs(owner)
+    some = owner[cut[:-1]]
+    if len(some):
+        out[0, some] = np.add.reduceat(mix(h), cut[:-1])
+        out[1, some] = np.add.reduceat(mix(h ^ np.uint64(0x6A09E667F3BCC908)), cut[:-1])
+    return out
+
 
+def sketch_bits(sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """A power of two, ``SHARP`` times what a set of that size may differ by at least."""
+    most = np.maximum(4, SHARP * (sizes * (den - num) // num + 1))
+    return 1 << np.ceil(np.log2(np.maximum(64, most))).astype(np.int64)
 
-def _sketcher(k: int, num: int, den: int, frequent: np.ndarray, keyed: bool):
-    """Set size, key of the set and sketch of each document; or, ``keyed``, a row for each of its keys."""
+
+def sketches(h: np.ndarray, owner: np.ndarray, sizes: np.ndarray, num: int, den: int) -> list[bytes]:
+    """One parity bit a shingle: bit ``h mod bits`` is flipped. A longer sketch folds to a shorter one by XOR."""
+    bits = sketch_bits(sizes, num, den)
+    base = np.concatenate(([0], np.cumsum(bits)))
+    at = base[owner] + ((h >> np.uint64(7)).astype(np.int64) & (bits[owner] - 1))
+    flat = np.packbits((np.bincount(at, minlength=base[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [flat[a // 8 : b // 8] for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
+
+
+def folded(sketch: bytes, words: int) -> np.ndarray:
+    """A sketch as ``words`` words of 64 bits."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, words), 0)
+
+
+def _keying(k: int, num: int, den: int, frequent: np.ndarray):
+    """Set size, digest and keys of each document. Of equal sets in a task one has keys, the others none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            ids = rows(batch, "doc_id")
+            named = rows(batch, "doc_id").is_valid().to_numpy(zero_copy_only=False)
             buf, offsets = texts_of(rows(batch, "text"))
             for i, j in slices(np.diff(offsets)):
                 h, owner = shingles(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
-                sizes, sets, sketch, keys, texts = keys_of(h, owner, j - i, bands(num, den), frequent)
-                own = np.flatnonzero(sizes > 0)
-                if keyed:
-                    at = pa.array(np.concatenate((texts, own)))
-                    yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(at), pa.array(np.concatenate((keys, sets[own])).view(np.int64))], ["doc_id", "key"])
-                else:
-                    words = [pa.array(np.ascontiguousarray(sketch[:, w]).view(np.int64)) for w in range(BITS // 64)]
-                    yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(sets.view(np.int64)), *words], ["doc_id", "n", "whole", *WORDS])
+                both = digests(h, owner, j - i)
+                asked = named[i:j].copy()
+                for x, d in enumerate(np.ascontiguousarray(both.T).view("V16").ravel().tolist()):
+                    if asked[x]:
+                        asked[x] = d not in seen
+                        seen.add(d)
+                keys, texts = keys_of(h, owner, j - i, bands(num, den), frequent, asked)
+                order = np.argsort(texts, kind="stable")
+                ends = np.concatenate(([0], np.cumsum(np.bincount(texts, minlength=j - i)))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[order].view(np.int64)))
+                cols = [rows(batch, c).slice(i, j - i) for c in ("rid", "doc_id", "th")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.bincount(owner, minlength=j - i), pa.int64()), *(pa.array(x.view(np.int64)) for x in both), lists], ["rid", "doc_id", "th", "n", "w1", "w2", "keys"])
+
+    return run
+
+
+def _setting(k: int, num: int, den: int):
+    """Sketch and set (its hashes in order, eight bytes each) of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = texts_of(rows(batch, "text"))
+            for i, j in slices(np.diff(offsets)):
+                h, owner = shingles(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
+                sizes = np.bincount(owner, minlength=j - i)
+                raw, ends = h.tobytes(), np.concatenate(([0], 8 * np.cumsum(sizes))).tolist()
+                sets = [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([rows(batch, "rid").slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(sketches(h, owner, sizes, num, den), pa.binary()), pa.array(sets, pa.binary())], ["rid", "n", "sketch", "members"])
+
+    return run
+
+
+def _could(num: int, den: int):
+    """The pairs whose sizes and sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = (rows(batch, c).to_numpy() for c in ("n_a", "n_b"))
+            fits = np.minimum(n_a, n_b) * den >= np.maximum(n_a, n_b) * num
+            left, right = rows(batch, "sketch_a"), rows(batch, "sketch_b")
+            for x in np.flatnonzero(fits):
+                a, b = left[int(x)].as_py(), right[int(x)].as_py()
+                words = min(len(a), len(b)) // 8
+                gap = int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum())
+                fits[x] = gap * (den + num) <= (n_a[x] + n_b[x]) * (den - num)
+            yield pa.RecordBatch.from_arrays([rows(batch, c).filter(pa.array(fits)) for c in "ab"], ["a", "b"])
+
+    return run
+
+
+def _judge(num: int, den: int):
+    """Verification of the pairs on whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = np.zeros(batch.num_rows, bool)
+            left, right = rows(batch, "members_a"), rows(batch, "members_b")
+            for x in range(batch.num_rows):
+                mine, other = (np.frombuffer(c[x].as_buffer(), np.uint64) for c in (left, right))
+                every = np.sort(np.concatenate((mine, other)), kind="stable")  # two ordered runs are merged
+                both = int((every[1:] == every[:-1]).sum())
+                linked[x] = both * den >= num * (len(every) - both) and both > 0
+            yield pa.RecordBatch.from_arrays([rows(batch, "a"), rows(batch, "b"), pa.array(linked)], ["a", "b", "linked"])
 
     return run
 
 
-WORDS = [f"s{w}" for w in range(BITS // 64)]
+def _blockwise(num: int, den: int, forest: bool):
+    """Rows come by (key, x, y): pairs of different labels, one of block x and one of block y, that the sketches allow.
 
+    With ``forest`` a pair is handed on only if those before it leave its ends apart.
+    """
 
-def _blockwise(num: int, den: int):
-    """Rows come by (key, x, y): pairs of different labels, one of block x and one of block y, that the sketches allow."""
+    def group(t: pa.Table, x: int, y: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        rid, n, block, guest = (t.column(c).to_numpy() for c in ("rid", "n", "block", "guest"))
+        label = np.unique(t.column("label").to_numpy(), return_inverse=True)[1]
+        raw = t.column("sketch").to_pylist()
+        words = min(map(len, raw)) // 8
+        sketch = np.stack([folded(s, words) for s in raw])
+        own = np.arange(len(rid))
+        left, right = own[block == x], own[block == y]
+        for i in left:
+            other = right[right > i] if x == y else right
+            other = other[(label[other] != label[i]) & ((guest[other] == 0) | (guest[i] == 0))]
+            other = other[np.minimum(n[other], n[i]) * den >= np.maximum(n[other], n[i]) * num]
+            if not len(other):
+                continue
+            gap = np.bitwise_count(sketch[other] ^ sketch[i]).sum(1, dtype=np.int64)
+            near = other[gap * (den + num) <= (n[other] + n[i]) * (den - num)]
+            if forest and len(near):
+                hit, first = np.unique(label[near], return_index=True)
+                near = near[first]
+                label[np.isin(label, hit)] = label[i]
+            yield np.minimum(rid[i], rid[near]), np.maximum(rid[i], rid[near])
 
     def solve(t: pa.Table) -> pa.RecordBatch:
-        doc, label, n, block, x, y = (t.column(c).to_numpy() for c in ("doc_id", "label", "n", "block", "x", "y"))
-        sketch = np.stack([t.column(w).to_numpy() for w in WORDS], 1).view(np.uint64)
-        key = t.column("key").to_numpy()
-        out_a, out_b = [], []
+        key, x, y = (t.column(c).to_numpy() for c in ("key", "x", "y"))
         cut = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1, [len(key)]))
-        for a, z in zip(cut[:-1], cut[1:], strict=True):
-            own = np.arange(a, z)
-            left, right = own[block[own] == x[a]], own[block[own] == y[a]]
-            for i in left:
-                other = right[right > i] if x[a] == y[a] else right
-                other = other[label[other] != label[i]]
-                total = n[other] + n[i]
-                gap = np.bitwise_count(sketch[other] ^ sketch[i]).sum(1)
-                near = (gap * (den + num) <= total * (den - num)) & (np.minimum(n[other], n[i]) * den >= np.maximum(n[other], n[i]) * num)
-                out_a.append(np.minimum(doc[i], doc[other[near]]))
-                out_b.append(np.maximum(doc[i], doc[other[near]]))
+        found = [p for a, z in zip(cut[:-1], cut[1:], strict=True) for p in group(t.slice(a, z - a), x[a], y[a])]
         none = np.zeros(0, np.int64)
-        pairs = np.unique(np.stack((np.concatenate([none, *out_a]), np.concatenate([none, *out_b])), 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+        pairs = np.unique(np.stack([np.concatenate([none, *(p[c] for p in found)]) for c in (0, 1)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -220,109 +312,143 @@ def _counter(k: int):
     return run
 
 
-def _judge(k: int, num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, None
-        for batch in batches:
-            a, b = rows(batch, "a").to_pylist(), rows(batch, "b").to_pylist()
-            mine_buf, mine_off = texts_of(rows(batch, "text_a"))
-            buf, offsets = texts_of(rows(batch, "text_b"))
-            linked = np.zeros(len(a), bool)
-            for i, j in slices(np.diff(offsets)):
-                h, owner = shingles(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
-                cut = np.searchsorted(owner, np.arange(j - i + 1))
-                for x in range(i, j):
-                    if last != a[x]:
-                        mine, _ = shingles(mine_buf[mine_off[x] : mine_off[x + 1]], np.array([0, mine_off[x + 1] - mine_off[x]]), k)
-                        last = a[x]
-                    other = h[cut[x - i] : cut[x - i + 1]]
-                    if min(len(other), len(mine)) * den < max(len(other), len(mine)) * num:
-                        continue
-                    both = len(np.intersect1d(mine, other, assume_unique=True))
-                    linked[x] = both * den >= num * (len(mine) + len(other) - both) and both > 0
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked)], ["a", "b", "linked"])
+def frequent_of(src: DataFrame, k: int) -> np.ndarray:
+    """Shingles of many documents, in order: of a sample of ``SAMPLE_DOCS`` to twice as many, ``MOST_FREQUENT`` at most."""
+    every = max(1, src.count() // SAMPLE_DOCS)
+    sample = src.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    counted = sample.select("text").mapInArrow(tidily(_counter(k)), "h bigint").groupBy("h").agg(F.count("*").alias("n"))
+    often = counted.where(F.col("n") >= max(4, int(FREQUENT * SAMPLE_DOCS))).orderBy(F.desc("n"), "h").limit(MOST_FREQUENT)
+    out = np.array([r.h for r in often.collect()], np.int64).view(np.uint64)
+    out.sort()
+    return out
 
-    return run
+
+def links_of(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) pairs whose links join every component of the sets that meet in buckets.
+
+    members: (key, guest, rid) of buckets of two sets at least; sets: (rid, n, sketch, members).
+    """
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        """(a, b, linked) of the pairs that the sketches allow."""
+        left, right = (sets.select(F.col("rid").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "sketch"))) for c in "ab")
+        near = keep(pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(tidily(_could(num, den)), "a bigint, b bigint"), "near")
+        return judged(near)
+
+    def judged(near: DataFrame) -> DataFrame:
+        left, right = (sets.select(F.col("rid").alias(c), F.col("members").alias(f"members_{c}")) for c in "ab")
+        both = near.join(left, "a").join(right, "b").select("a", "b", "members_a", "members_b")
+        return keep(both.mapInArrow(tidily(_judge(num, den)), "a bigint, b bigint, linked boolean"), "judged")
+
+    def apart(labels: DataFrame | None) -> DataFrame:
+        """(key, guest, rid, label, hub, hub_label, m) of the buckets whose members are in several components."""
+        if labels is None:
+            rest = members.select("key", "guest", "rid", F.col("rid").alias("label"))
+        else:
+            rest = members.join(labels.withColumnRenamed("doc_id", "rid"), "rid", "left").select("key", "guest", "rid", F.coalesce("label", "rid").alias("label"))
+        hub = F.min(F.struct("guest", "rid", "label"))
+        mixed = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), hub.alias("hub")).where("low <> high")
+        return keep(rest.join(mixed.select("key", "m", F.col("hub.rid").alias("hub"), F.col("hub.label").alias("hub_label")), "key"), "rest")
+
+    def blocks(rest: DataFrame, forest: bool) -> DataFrame:
+        of = F.ceil(F.col("m") / BLOCK).cast("int")
+        cut = rest.select("key", "guest", "rid", "label", F.pmod(F.xxhash64("rid"), of).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), of - 1)).alias("other"))
+        cut = cut.select("key", "guest", "rid", "label", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+        cut = cut.join(sets.select("rid", "n", "sketch"), "rid").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+        return cut.mapInArrow(tidily(_blockwise(num, den, forest)), "a bigint, b bigint").distinct()
+
+    spark = members.sparkSession
+    links = labels = tried = None
+    for step in range(ROUNDS + 2):
+        rest = apart(labels)
+        if step and rest.isEmpty():
+            break
+        if step < ROUNDS:
+            ends = (F.least("hub", "rid").alias("a"), F.greatest("hub", "rid").alias("b"))
+            got = compare(rest.where("hub <> rid and label <> hub_label").select(*ends).distinct())
+        elif step == ROUNDS:
+            got = judged(keep(blocks(rest, True), "near"))
+        else:
+            got = judged(keep(blocks(rest, False).join(tried, ["a", "b"], "left_anti"), "near"))
+        discard(rest)
+        release(spark)
+        wrong, more = (got.where(c).select("a", "b") for c in ("not linked", "linked"))
+        tried = wrong if tried is None else tried.union(wrong)
+        if links is None or not more.isEmpty():
+            links = more if links is None else links.union(more)
+            labels = connected(links)
+        if step == ROUNDS and wrong.isEmpty():  # the whole forest is links: nothing is left that sketches allow
+            break
+    return links
 
 
 def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document.
+    """doc_id, n_shingles, component_id of every row.
 
     Words are lower-cased in A-Z and split at ASCII white space. A set is the distinct ``k``-word shingles, all
     words as one shingle where there are fewer, empty without words or text; an empty set links with nothing.
-    Sets link when ``den * intersection >= num * union``. Rows of one doc_id are one document, judged by the
-    first text of it that is met where texts differ; each is answered. A null doc_id is in no component (null).
-    An empty table gives no rows. Other columns of ``docs`` are not read.
+    Sets link when ``den * intersection >= num * union``. Rows of one doc_id are one document that links by any of
+    its texts; each row has its own n_shingles. A null doc_id is in no component (null), and a row of an empty set in
+    that of its doc_id alone. An empty table gives no rows. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     prepare(spark)
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every = max(1, src.count() // SAMPLE_DOCS)
-    sample = src.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    counted = sample.mapInArrow(tidily(_counter(k)), "h bigint").groupBy("h").agg(F.count("*").alias("n"))
-    often = np.array([r.h for r in counted.where(F.col("n") >= max(4, int(FREQUENT * SAMPLE_DOCS))).select("h").collect()], np.int64).view(np.uint64)
-    often.sort()
-    sketches = keep(src.mapInArrow(tidily(_sketcher(k, num, den, often, False)), "doc_id bigint, n bigint, whole bigint" + "".join(f", {w} bigint" for w in WORDS)), "sketches")
-    # Keys are made twice, to be counted and to be joined: written down they would take more room than the texts.
-    keyed = src.where("doc_id is not null").mapInArrow(tidily(_sketcher(k, num, den, often, True)), "doc_id bigint, key bigint")
-
-    shared = keep(keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("members")).where("members > 1").select("key", "hub"), "shared")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    often = frequent_of(src, k)
+    base = keep(
+        src.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(tidily(_keying(k, num, den, often)), "rid bigint, doc_id bigint, th bigint, n bigint, w1 bigint, w2 bigint, keys array<bigint>"),
+        "base",
+    )
+    # One row stands for all of an equal set; its rid is the set's name.
+    sets_of = keep(base.where("n > 0 and doc_id is not null").groupBy("w1", "w2").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "sets_of")
+    release(spark)
+
+    keyed = base.select("rid", F.explode("keys").alias("key")).select("rid", F.shiftright("key", 1).alias("key"), F.col("key").bitwiseAND(1).cast("byte").alias("guest"))
+    shared = keep(keyed.groupBy("key").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), F.min("guest").alias("guest")).where("low <> high and guest = 0").select("key"), "shared")
     release(spark)
-    members = keep(keyed.join(shared, "key").select("key", "hub", "doc_id"), "members")
+    raw = keep(keyed.join(shared, "key"), "raw")
+    light = keep(base.drop("keys"), "light")
+    discard(base, shared)
     release(spark)
-    needed = members.select("doc_id").distinct()
-    texts = keep(src.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    own = light.where("n > 0 and doc_id is not null").join(sets_of.select("w1", "w2", "rep"), ["w1", "w2"])
+    named = keep(raw.select("rid").distinct().join(own.select("rid", "rep", "doc_id", "th"), "rid"), "named")
+    met = raw.join(named.select("rid", "rep"), "rid").groupBy("key", "rep").agg(F.min("guest").alias("guest"))
+    several = met.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.min("guest").alias("home")).where("low <> high and home = 0").select("key")
+    members = keep(met.join(several, "key").select("key", "guest", F.col("rep").alias("rid")), "members")
+    discard(raw)
+    # Copies of a row are dropped where the join has put them; the texts are shuffled once.
+    needed = members.select("rid").distinct().join(light.select("rid", "doc_id", "th"), "rid")
+    texts = src.join(needed.hint("shuffle_hash"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("rid", "text")
+    sets = keep(texts.mapInArrow(tidily(_setting(k, num, den)), "rid bigint, n bigint, sketch binary, members binary"), "sets")
     release(spark)
-    sets = keep(sketches.join(needed, "doc_id", "left_semi").select("doc_id", "n", "whole", *WORDS).dropDuplicates(["doc_id"]), "sets")
+    links = links_of(members, sets, num, den)
 
-    def compare(pairs: DataFrame) -> DataFrame:
-        """(a, b, linked) of distinct pairs; texts are only fetched for sets that differ but could link."""
-        left, right = (sets.select(F.col("doc_id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "whole", *WORDS))) for c in "ab")
-        gap = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in WORDS), F.lit(0))
-        could = (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (gap * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
-        equal = (F.col("n_a") == F.col("n_b")) & (F.col("whole_a") == F.col("whole_b"))
-        pairs = keep(pairs.join(left, "a").join(right, "b").select("a", "b", equal.alias("same"), could.alias("could")), "pairs")
-        with_b = pairs.where("could and not same").select("a", "b").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        with_a = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        judged = with_a.select("a", "b", "text_a", "text_b").mapInArrow(tidily(_judge(k, num, den)), "a bigint, b bigint, linked boolean")
-        out = keep(judged.union(pairs.where("same").select("a", "b", F.lit(True))).where("linked").select("a", "b"), "judged")
-        release(spark)
-        return out
-
-    links = compare(members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
-    labels = connected(links)
-    rest = members.where("doc_id <> hub").select("key", "doc_id")
-    for step in range(ROUNDS + 1):
-        rest = rest.join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-        mixed = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), F.min(F.struct("doc_id", "label")).alias("hub")).where("low <> high")
-        rest = keep(rest.join(mixed.select("key", "m", F.col("hub.doc_id").alias("hub"), F.col("hub.label").alias("hub_label")), "key"), "rest")
-        if rest.limit(1).count() == 0:
-            break
-        if step < ROUNDS:
-            pairs = rest.where("doc_id <> hub and label <> hub_label").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-            rest = rest.where("doc_id <> hub").select("key", "doc_id")
-        else:  # whatever is left, each block of a bucket's members with each other one
-            of = F.ceil(F.col("m") / BLOCK).cast("int")
-            cut = rest.select("key", "doc_id", "label", F.pmod(F.xxhash64("doc_id"), of).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), of - 1)).alias("other"))
-            cut = cut.select("key", "doc_id", "label", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-            cut = cut.join(sets.select("doc_id", "n", *WORDS), "doc_id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-            pairs = cut.mapInArrow(tidily(_blockwise(num, den)), "a bigint, b bigint").distinct()
-        more = compare(pairs)
-        if more.limit(1).count():
-            links = links.union(more)
-            labels = connected(links)
-    out = sketches.select("doc_id", F.col("n").alias("n_shingles")).join(labels, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    # Rows of one doc_id with different sets belong together.
+    split = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("doc_id", "a")
+    split = split.join(own.select("doc_id", F.col("rep").alias("b")), "doc_id").where("a <> b").select("a", "b").distinct()
+    labels = connected(links.union(split))
+    by_set = sets_of.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("w1", "w2", "low", "high", F.coalesce("label", "rep").alias("label"), F.col("label").isNotNull().alias("joined"))
+    least = by_set.where("joined").groupBy("label").agg(F.min("low").alias("least"))
+    answer = by_set.where("joined").join(least, "label").select("w1", "w2", F.col("least").alias("component"))
+    answer = keep(answer.union(by_set.where("not joined and low <> high").select("w1", "w2", "low")), "answer")
+    discard(sets, members, named)
+    out = light.select("doc_id", "n", "w1", "w2").join(answer, ["w1", "w2"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def distinct(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One document of each class stays, the one of the smallest doc_id; columns as they are.
 
-    Of repeated rows of a doc_id one stays; rows without doc_id are in no class and all stay.
+    Of repeated rows of a doc_id one stays, the first by hashes of the text and of all columns; rows without doc_id
+    are in no class and all stay.
     """
-    losers = classes(docs, k, num, den).where("component_id <> doc_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(losers, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).union(docs.where("doc_id is null"))
+    judged = keep(classes(docs, k, num, den).where("doc_id is not null"), "judged")
+    gone = judged.where("component_id <> doc_id").select("doc_id").distinct()
+    again = judged.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("least")).where("rows > 1")
+    once = docs.join(gone.union(again.select("doc_id")), "doc_id", "left_anti")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
+    first = docs.join(again.where("least = doc_id"), "doc_id", "left_semi").withColumn("_first", F.row_number().over(order)).where("_first = 1").drop("_first")
+    return once.select(docs.columns).union(first.select(docs.columns))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
