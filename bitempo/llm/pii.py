@@ -77,13 +77,14 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 # --- candidates -------------------------------------------------------------------------------------------
 
-_OBFUSCATED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[({] ?(?:at|AT) ?[\])}] ?[A-Za-z0-9-]{1,63}(?: ?[\[({] ?(?:dot|DOT) ?[\])}] ?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63})+")
+_AT = re.compile(r" ?[\[({] ?(?:at|AT) ?[\])}] ?")
+_DOTTED = re.compile(r"[A-Za-z0-9-]++(?: ?[\[({] ?(?:dot|DOT) ?[\])}] ?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)++")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])(?<![0-9][.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])(?![.-][0-9])")
 _SSN = re.compile(r"(?<![0-9])(?<![0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])(?!-[0-9])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _IP6 = re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])")
 _MAC = re.compile(r"(?<![0-9A-Fa-f:-])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:-])")
-_SECRET = re.compile(r"""[:=] ?["']?([A-Za-z0-9_+/.-]{16,200})(?![A-Za-z0-9_+/.-])""")
+_SECRET = re.compile(r"""[:=] ?["']?([A-Za-z0-9_+/.-]{16,}+)""")
 _TITLES = "Mr Mrs Ms Dr Prof Herr Frau Mme Mlle Sr Sra Señor Señora Monsieur Madame".split()
 _TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(_TITLES)})\.? [A-ZÀ-Ý][a-zà-ÿ]+(?: [A-ZÀ-Ý][a-zà-ÿ]+)?")
 FIRST_NAMES = frozenset(
@@ -95,12 +96,24 @@ _FOR = re.compile(r"\b(?:e-?mail|mail|contact|phone|tel|telephone|call|mobile|ce
 _AGAINST = re.compile(r"\b(?:version|v|isbn|issn|order|invoice|page|pages|figure|fig|table|section|chapter|build|release|serial|sku|item|lot|ratio|score|sha|commit|revision|checksum|digest|hash)\W{0,4}$", re.I)
 
 
+def obfuscated(text: str) -> list[tuple[int, int]]:
+    """Addresses with a bracketed "at", by that word: a local part of any length before it, a domain after it."""
+    out, free = [], 0
+    for m in _AT.finditer(text):
+        start = free + len(text[free : m.start()].rstrip(_LOCAL))
+        free = m.start()
+        if start < m.start() and (d := _DOTTED.match(text, m.end())):
+            out.append((start, d.end()))
+            free = d.end()
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, str, int]]:
     out = []
     found = lambda kind, pattern, group=0: out.extend((m.start(group), kind, m.end(group)) for m in pattern.finditer(text))
     if "at" in text or "AT" in text:
         if "[" in text or "(" in text or "{" in text:
-            found("obfuscated_email", _OBFUSCATED)
+            out += [(s, "obfuscated_email", e) for s, e in obfuscated(text)]
     if _DIGIT.search(text):
         for kind, pattern in (("local_phone", _LOCAL_PHONE), ("ssn", _SSN), ("iban", _IBAN)):
             found(kind, pattern)
@@ -141,7 +154,7 @@ def votes(text: str, start: int, kind: str, end: int) -> tuple[int, ...]:
         gazetteer = 1 if digits[0] in "3456" else -1
         shape = -1 if len(set(digits)) <= 2 else 1
     elif kind == "ip":
-        strict = 1 if all(str(int(p)) == p for p in value.split(".")) else -1
+        strict = 1 if all(p == "0" or p[0] != "0" for p in value.split(".")) else -1
         shape = -1 if value.split(".")[0] == "0" else 1
     elif kind == "ssn":
         checksum = 1 if value[:3] not in ("000", "666") and value[0] != "9" and value[4:6] != "00" and value[7:] != "0000" else -1
@@ -318,7 +331,11 @@ def mask_text(text: str, spans: list[tuple[int, str, int]]) -> str:
 
 
 def mask(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """The documents with masked texts; ``n_chars``, where there is such a column, follows the text."""
+    """The documents with masked texts; ``n_chars``, where there is such a column, follows the text.
+
+    A null text stays null, an empty one empty. Every row stays, repeated ones too, and equal texts are masked alike;
+    an empty table gives no rows. Other columns pass through as they are.
+    """
     weights = learn(docs) if weights is None else weights
     prepare(docs.sparkSession)
     names = docs.columns
