@@ -9,7 +9,7 @@ def test_deletions_in_long_items():
     r = random.Random("1120del")
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
     items = [(i, " ".join(word() for _ in range(120))) for i in range(60)]
-    index, texts = D.Index(tuple(items)), []
+    index, texts = D.Index(tuple(items), dict(D.plan_of(tuple(items)))), []
     for _, t in items:
         w = t.split()
         for _ in range(D.allowed(120)):

@@ -183,7 +183,7 @@ def test_recall_of_edited_items():
 
     r = random.Random(8)
     items = tuple((i, _item(r, r.randint(15, 60))) for i in range(40))
-    index = decontaminate.Index(items)
+    index = decontaminate.Index(items, dict(decontaminate.plan_of(items)))
     found = 0
     for n in range(200):
         i = n % 40
