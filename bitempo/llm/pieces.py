@@ -6,7 +6,8 @@ The symbols of all words not met before lie in one flat numpy array. A round loo
 adjacent pair, takes the minimum of each word by segments, merges that pair at its leftmost place in every
 word at once, and compacts the array; rounds go on until no pair is left. Where no better-ranked piece
 could arise from the merged one, all of a word's leftmost non-overlapping places of the pair merge in one
-round, which gives what merging them one by one gives.
+round, which gives what merging them one by one gives. Long words are cut further, wherever no occurrence of a
+piece spans two characters, since nothing can merge there.
 """
 
 from __future__ import annotations
@@ -28,7 +29,10 @@ SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Words that a Python worker remembers.
 CACHE_WORDS = 200_000
+#: Characters from which a word is cut where no piece can span.
+LONG_WORD = 48
 NONE = np.iinfo(np.int32).max
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -42,6 +46,8 @@ class Pieces:
         n = sp.get_piece_size()
         self.eos, self.unk = sp.eos_id(), sp.unk_id()
         names = [sp.id_to_piece(i) for i in range(n)]
+        if any(sp.is_unused(i) for i in range(n)):
+            raise ValueError("models with unused pieces are not supported")
         special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) for i in range(n)]
         self.byte = {int(names[i][1:-1], 16): i for i in range(n) if sp.is_byte(i)}
         self.value = {i: b for b, i in self.byte.items()}
@@ -75,6 +81,13 @@ class Pieces:
         self.safe = np.ones(n + 1, bool)
         self.safe[[normal[x] for x in unsafe]] = False
         self.name = [str(i) for i in range(n)]
+        by_length: dict[int, list[int]] = {}
+        for p in normal:
+            h = 0
+            for c in p:
+                h = (h * int(_BASE) + ord(c)) & (1 << 64) - 1
+            by_length.setdefault(len(p), []).append(h)
+        self.hashes = {k: np.unique(np.array(v, np.uint64)) for k, v in by_length.items()}
         self.known: dict[str, tuple[int, str, str]] = {}
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,8 +189,26 @@ class Pieces:
         for w, ids in zip(new, self.merge(new), strict=True):
             self.known[w] = (len(ids), " ".join([name[i] for i in ids]), self.decode(ids))
 
+    def parts(self, word: str) -> list[str]:
+        """A word, cut wherever no piece that occurs in it spans."""
+        chars = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        spans = np.zeros(len(chars) + 1, np.int64)
+        h = chars
+        for k in range(2, min(len(chars), max(self.hashes)) + 1):
+            h = h[: len(chars) - k + 1] * _BASE + chars[k - 1 :]
+            if k in self.hashes:
+                own = self.hashes[k]
+                at = np.flatnonzero(own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h)
+                np.add.at(spans, at + 1, 1)
+                np.add.at(spans, at + k, -1)
+        cut = [0, *(np.flatnonzero(np.cumsum(spans)[1:-1] == 0) + 1).tolist(), len(chars)]
+        return [word[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
     def words(self, text: str) -> list[str]:
-        return _WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        own = _WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        if max(map(len, own), default=0) < LONG_WORD:
+            return own
+        return [p for w in own for p in (self.parts(w) if len(w) >= LONG_WORD else (w,))]
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(tokens, ids in decimal joined by spaces with the end id, decoded text) of each text."""
