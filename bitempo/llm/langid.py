@@ -148,10 +148,11 @@ def learn(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_chars: int
     chosen = own.select("lang", "doc_id").withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample_docs).collect()
     if not chosen:
         return ()
-    texts = dict(docs.where(F.col("doc_id").isin([r.doc_id for r in chosen])).where("text is not null").groupBy("doc_id").agg(F.min(F.substring("text", 1, sample_chars)).alias("text")).collect())
+    read = own.where(F.col("doc_id").isin([r.doc_id for r in chosen])).groupBy("lang", "doc_id").agg(F.min(F.substring("text", 1, sample_chars)).alias("text"))
+    texts = {(r.lang, r.doc_id): r.text for r in read.collect()}
     out: dict[str, list[str]] = {}
     for r in sorted(chosen, key=lambda r: r.k):
-        out.setdefault(r.lang, []).append(squeeze(texts[r.doc_id]))
+        out.setdefault(r.lang, []).append(squeeze(texts[r.lang, r.doc_id]))
     joined = {lang: " ".join(dict.fromkeys(own))[:sample_chars] for lang, own in out.items()}
     return tuple((lang, text) for lang, text in sorted(joined.items()) if text.strip())
 
