@@ -7,7 +7,9 @@ share a kept hash. The kept hashes are the fingerprint; likeness is their Jaccar
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +18,10 @@ from pyspark.sql.window import Window
 from .common import table
 
 GRAM, WINDOW = 5, 6
-#: Bits for a position in a packed key; a text may have so many words (2**28).
+#: Bits for a position in a packed key: 2**28 words, more than half a gigabyte of text.
 POSITION_BITS = 28
-#: Buckets of document ids: the square root of the rows, and never more than this.
-MOST_BUCKETS = 1 << 15
+#: Buckets of rows in order: the square root of the rows up to this, and rows sampled for a bucket's bounds.
+MOST_BUCKETS, SAMPLED = 1 << 17, 16
 _MASK = (1 << POSITION_BITS) - 1
 
 
@@ -71,19 +73,40 @@ def fingerprint(keys: Column) -> Column:
     return F.array_join(F.transform(keys, lambda k: F.concat(F.hex(F.shiftrightunsigned(k, POSITION_BITS)), F.lit("@"), (F.lit(_MASK) - k.bitwiseAND(_MASK)).cast("string"))), ",")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Column next_text: of the following row in descending doc_id, after the last the first.
+def ordered(docs: DataFrame) -> DataFrame:
+    """Column b: the row's bucket, in order of (doc_id, tie), of which a null doc_id is the least.
 
-    Rows are dealt into buckets of ids; the first row of each bucket, and its copies, also visit the bucket before
-    it, so that every bucket finds its followers at home and the texts are shuffled once.
+    Bounds are quantiles of a sample by hash, so buckets are alike in size whatever the ids' values are. A row finds
+    its bucket by binary search in them.
     """
-    ids = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high, rows = (int(x or 0) for x in ids)
+    rows = docs.count()
     buckets = min(MOST_BUCKETS, max(1, math.isqrt(rows)))
-    width = max(1, -(-(high - low + 1) // buckets))
-    docs = docs.withColumn("b", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.expr(f"(doc_id - {low}L) div {width}L")).cast("long"))
-    # of each bucket its first row in descending order; at most MOST_BUCKETS + 1 rows of two numbers
-    heads = docs.select("b", "doc_id", "tie").groupBy("b").agg(F.max(F.struct("doc_id", "tie")).alias("head"))
+    key = F.struct(F.col("doc_id").isNotNull().alias("named"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "tie")
+    every = max(1, rows // (buckets * SAMPLED))
+    own = sorted(tuple(r[0]) for r in docs.where(F.pmod(F.xxhash64("tie", "doc_id"), F.lit(every)) == 0).select(key).collect())
+    bounds = sorted({own[len(own) * i // buckets] for i in range(1, buckets)}) if own else []
+    text = json.dumps([{"named": x, "doc_id": d, "tie": t} for x, d, t in bounds])
+    kind = "array<struct<named:boolean,doc_id:bigint,tie:bigint>>"
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(max(1, len(bounds).bit_length())))))
+
+    def halve(at: Column, step: Column) -> Column:  # bounds[: at] are at most the key
+        to = at + step
+        return F.when((to <= len(bounds)) & (F.get(F.col("_bounds"), to - 1) <= F.col("_key")), to).otherwise(at)
+
+    put = docs.withColumns({"_key": key, "_bounds": F.from_json(F.lit(text), kind)})
+    return put.withColumn("b", F.aggregate(steps, F.lit(0), halve)).drop("_key", "_bounds")
+
+
+def with_next(docs: DataFrame, made: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Columns of ``made``, from the text, and next_text and next_ of each: of the following row in descending doc_id.
+
+    After the last row comes the first. Rows are dealt into buckets of ids; the first row of each bucket, and its copies,
+    also visit the bucket before it, so that every bucket finds its followers at home, the texts are shuffled once
+    and what is made from them is made once for both uses.
+    """
+    docs = ordered(docs)
+    # of each bucket its first row in descending order; at most MOST_BUCKETS rows of two numbers
+    heads = docs.select("b", "doc_id", "tie").groupBy("b").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "tie")).alias("head"))
     every = Window.orderBy("b")
     heads = heads.select(F.col("head.doc_id").alias("hd"), F.col("head.tie").alias("ht"), F.coalesce(F.lead("b").over(every), F.first("b").over(every)).alias("visits"))
     visits = F.broadcast(heads)
@@ -91,9 +114,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     docs = docs.join(visits, match, "left").drop("hd", "ht")
     home = F.struct(F.col("b").alias("at"), F.lit(0).alias("guest"))
     guest = F.struct(F.col("visits").alias("at"), F.lit(1).alias("guest"))
-    docs = docs.withColumn("place", F.explode(F.when(F.col("visits").isNull(), F.array(home)).otherwise(F.array(home, guest))))
-    order = Window.partitionBy("place.at").orderBy("place.guest", F.desc_nulls_last("doc_id"), F.desc("tie"))
-    return docs.withColumn("next_text", F.lead("text").over(order)).where("place.guest = 0").select("doc_id", "text", "next_text")
+    docs = docs.select("doc_id", "tie", "text", F.explode(F.when(F.col("visits").isNull(), F.array(home)).otherwise(F.array(home, guest))).alias("place"))
+    docs = docs.select("doc_id", "tie", "text", F.col("place.at").alias("at"), F.col("place.guest").alias("guest")).repartition("at")
+    docs = docs.withColumns({c: make(F.col("text")) for c, make in made.items()})
+    order = Window.partitionBy("at").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc("tie"))
+    docs = docs.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", *made)})
+    return docs.where("guest = 0").drop("tie", "at", "guest")
 
 
 def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -106,15 +132,17 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     base = base.withColumn("tie", F.xxhash64("text"))
-    both = with_next(base)  # texts alone are shuffled: a fingerprint is made where it is needed
     half = F.expr("length(text) div 2").cast("int")
+    both = with_next(base, {"keys": lambda t: selected(t, gram, window)})  # texts alone are shuffled
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(length(text) div 2 as int))"), F.substring(F.col("next_text"), F.lit(1), half))
     both = both.withColumn("edited", edited)
     both = both.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        *(selected(F.col(c), gram, window).alias(k) for k, c in (("keys", "text"), ("next_keys", "next_text"), ("edited_keys", "edited"))),
+        "keys",
+        "next_keys",
+        selected(F.col("edited"), gram, window).alias("edited_keys"),
     )
     both = both.select("*", *(hashes_of(F.col(k)).alias(k.replace("keys", "hashes")) for k in ("keys", "next_keys", "edited_keys")))
     return both.select(
