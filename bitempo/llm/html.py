@@ -2,13 +2,16 @@
 
 The page is cut into blocks at block-level tags. In the first pass stop-word density, length and link
 density call a block good, near good, short or bad; menus, footers, adverts, comments and the like, which
-tags, roles, classes and ids name, are bad at once, and inside ``article`` or ``main`` the rules lean to good. In
-the second pass near-good and short blocks take the labels of their nearest decided neighbours.
+tags, roles, classes and ids name, are bad at once. Within ``article`` or ``main`` the page itself speaks for a block, so
+that only its links make it bad there. In the second pass near-good and short blocks take the labels of their nearest
+decided neighbours. On a page in a language whose stop words aren't listed, sentence marks take the place of stop
+words; letters of scripts that write words without spaces count threefold for a block's length.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from typing import NamedTuple
@@ -33,13 +36,19 @@ STOP_WORDS = frozenset(
 )
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed svg math canvas object select button audio video map applet datalist".split())
+#: What these hold is no text of the page: code, styles, fields of forms, other pages.
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed select datalist".split())
 BOILERPLATE = frozenset("nav footer aside form head menu dialog header".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NAMED = frozenset(
     "ad ads adv advert advertisement advertising adverts advertorial sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices notification notifications alert comment comments commentlist disqus reply replies respond discussion"
     " sidebar side rail nav navbar navigation menu menus breadcrumb breadcrumbs crumbs footer header masthead topbar toolbar related recommended recommendations share sharing social newsletter subscribe subscription signup login popup modal overlay widget pagination pager copyright legal".split()
 )
+#: Parts that come after the name of such a thing: within an article ``share-buttons`` is one, ``share-price`` isn't.
+GENERIC = frozenset("area bar block box button buttons container content count form group holder icon icons inner item items left link links list main message panel right row section text title top bottom wrap wrapper".split())
+_SENTENCE = re.compile(r"[.!?…](?=[\s\"'”’»)]|$)|[。！？｡।؟۔።]")
+#: Scripts without spaces: Thai, Lao, Burmese, Khmer, kana and Han.
+_DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>""", re.S)
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
 _NAMES = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -55,7 +64,20 @@ class Block(NamedTuple):
     inside: bool
 
 
-def _named(attributes: str) -> tuple[bool, bool]:
+def _names_boilerplate(value: str, inside: bool) -> bool:
+    """Whether a class or id names something that is no main text; within an article by its last telling part."""
+    if not inside:
+        return not NAMED.isdisjoint(p.lower() for p in _PARTS.findall(value))
+    for name in value.split():
+        parts = [p.lower() for p in _PARTS.findall(name)]
+        while len(parts) > 1 and parts[-1] in GENERIC and parts[-1] not in NAMED:
+            parts.pop()
+        if parts and parts[-1] in NAMED:
+            return True
+    return False
+
+
+def _named(attributes: str, inside: bool) -> tuple[bool, bool]:
     """(whether class, id or role names something that is no main text, whether they name the article)."""
     bad = good = False
     for name, value in _NAMES.findall(attributes):
@@ -67,8 +89,7 @@ def _named(attributes: str) -> tuple[bool, bool]:
             bad |= value.lower() in ROLES
             good |= value.lower() in ("main", "article")
         elif name in ("class", "id"):
-            parts = {p.lower() for p in _PARTS.findall(value)}
-            bad |= not parts.isdisjoint(NAMED)
+            bad |= _names_boilerplate(value, inside)
     return bad and not good, good
 
 
@@ -92,6 +113,8 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
         heading = False
 
     pos, n = 0, len(html)
+    last = html.rfind(">")
+    opened: Counter[str] = Counter()  # names on the stack
     while pos < n:
         at = html.find("<", pos)
         if at < 0:
@@ -102,6 +125,10 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
                 linked.append(html[pos:at])
         if at == n:
             break
+        if at > last:  # no tag ends any more; only a comment can still begin
+            stop = html.find("<!--", at)
+            pieces.append(html[at : stop if stop >= 0 else n].replace("<", "&lt;"))
+            break
         tag = _TAG.match(html, at) or _LOOSE.match(html, at)
         if not tag:
             pieces.append("&lt;")
@@ -129,21 +156,23 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
         if name in VOID or (name == "p" and not attributes):
             continue
         if close:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[k][0] == name:
                     if name not in BLOCKS and any(vetoed != s[1] or inside != s[2] for s in stack[k:]):
                         flush()
                     _, vetoed, inside = stack[k]
+                    opened.subtract(s[0] for s in stack[k:])
                     del stack[k:]
                     break
         elif not attributes.endswith("/"):
-            bad, good = _named(attributes) if attributes else (False, False)
+            bad, good = _named(attributes, inside) if attributes else (False, False)
             bad = bad and name not in ("html", "body") or name in BOILERPLATE and not (name == "header" and inside)
             good = good or name in ("article", "main")
             if bad or good or name in BLOCKS or name in ("span", "ins", "small", "label"):
                 if (bad or good) and name not in BLOCKS:
                     flush()
                 stack.append((name, vetoed, inside))
+                opened[name] += 1
                 if bad:
                     vetoed = True
                 if good:
@@ -152,21 +181,42 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
     return out, marked
 
 
-def first_pass(b: Block, marked: bool) -> str:
+def size_of(text: str) -> int:
+    """Characters, those of scripts without spaces threefold."""
+    return len(text) if text.isascii() else len(text) + 2 * len(_DENSE.findall(text))
+
+
+def stops_of(text: str) -> tuple[int, int]:
+    """(stop words, words)."""
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def familiar(blocks: list[Block]) -> bool:
+    """Whether the page has stop words in its running text, so that they can tell good blocks from others."""
+    seen = [stops_of(b.text) for b in blocks if not b.vetoed and b.linked <= MOST_LINKS * len(b.text) and size_of(b.text) >= SHORT]
+    return sum(s for s, _ in seen) >= LOW_STOPS * sum(n for _, n in seen)
+
+
+def first_pass(b: Block, marked: bool, known: bool = True) -> str:
+    """known: whether stop words of the page's language are listed."""
     if b.vetoed or marked and not b.inside:
         return "bad"
-    n = len(b.text)
-    if b.linked > MOST_LINKS * n:
+    n = size_of(b.text)
+    if b.linked > MOST_LINKS * len(b.text):
         return "bad"
     if n < SHORT:
         return "near" if b.inside and not b.linked else "short"
-    words = _WORD.findall(b.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if b.inside:  # the page itself says that this is its article
-        stops = max(stops, HIGH_STOPS)
-    if stops >= HIGH_STOPS:
-        return "good" if n > LONG or b.inside else "near"
-    return "near" if stops >= LOW_STOPS else "bad"
+    if known:
+        stops, words = stops_of(b.text)
+        density = stops / max(1, words)
+    else:  # a sentence mark in two hundred characters is dense
+        density = HIGH_STOPS * min(1.0, 200 * len(_SENTENCE.findall(b.text)) / n)
+    if b.inside:
+        return "good" if density >= LOW_STOPS or not b.linked else "near"
+    if density >= HIGH_STOPS:
+        return "good" if n > LONG else "near"
+    return "near" if density >= LOW_STOPS else "bad"
 
 
 def neighbours(blocks: list[Block], labels: list[str], marked: bool) -> list[tuple[str, str]]:
@@ -190,7 +240,8 @@ def main_blocks(blocks: list[Block], marked: bool) -> list[str]:
     A near-good block is bad between two bad ones; a short one needs two good neighbours, a heading a good one
     after it.
     """
-    labels = [first_pass(b, marked) for b in blocks]
+    known = familiar(blocks)
+    labels = [first_pass(b, marked, known) for b in blocks]
     for kind in ("near", "short"):
         beside = neighbours(blocks, labels, marked)
         for i, (b, sides) in enumerate(zip(blocks, beside, strict=True)):
