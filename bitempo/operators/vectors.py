@@ -92,8 +92,9 @@ def expand(g: Snapshot, seeds: DataFrame, depth: int = 1, decay: float = 0.5) ->
 
 def evidence(g: Snapshot, ids: DataFrame) -> DataFrame:
     """(id, confidence_class): source_grounded, inferred if only meta edges come in, hallucination_risk if there is no such entity."""
-    inbound = g.edges.groupBy(F.col("target_id").alias("id")).agg(F.max(~F.col("relation_type").isin(*META_RELATIONS)).alias("plain"))
-    there = g.entities.select("id", F.lit(True).alias("there"))
+    wanted = ids.select("id").distinct()
+    inbound = g.edges.withColumn("id", F.col("target_id")).join(wanted, "id", "left_semi").groupBy("id").agg(F.max(~F.col("relation_type").isin(*META_RELATIONS)).alias("plain"))
+    there = g.entities.join(wanted, "id", "left_semi").select("id", F.lit(True).alias("there"))
     out = ids.select("id").join(inbound, "id", "left").join(there, "id", "left")
     kind = F.when(F.col("plain"), "source_grounded").when(F.col("there").isNull(), "hallucination_risk").when(F.col("plain") == F.lit(False), "inferred").otherwise("source_grounded")
     return out.select("id", kind.alias("confidence_class"))

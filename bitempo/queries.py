@@ -423,6 +423,8 @@ def _small(g: Snapshot) -> Snapshot:
 _ALL_STEPS = _STEPS.replace("relation_type IN ('LOCATED_IN', 'PART_OF', 'SUPPLIES')", "relation_type <> 'CONTRADICTS'")
 on_graph("gr2_pagerank_3_rounds", _STEPS + " SELECT id, round(s, 9) AS score FROM p3 WHERE s > 0")(lambda g: G.pagerank(_small(g), ["nation:1", "supplier:2"], rounds=3, tolerance=None).select("id", F.round("score", 9).alias("score")))
 on_graph("gr2_pagerank_3_rounds_all", _ALL_STEPS + " SELECT id, round(s, 9) AS score FROM p3 WHERE s > 0")(lambda g: G.pagerank(g, ["nation:1", "supplier:2"], rounds=3, tolerance=None).select("id", F.round("score", 9).alias("score")))
+_FAR_STEPS = _ALL_STEPS + "".join(f",\np{k} AS (SELECT id, sum(x) AS s FROM (SELECT dst AS id, s * p * 0.85 AS x FROM p{k - 1} JOIN t ON p{k - 1}.id = t.src UNION ALL SELECT id, v * 0.15 FROM v) GROUP BY id)" for k in range(4, 13)).replace("AS (", "AS MATERIALIZED (")
+on_graph("gr2_pagerank_12_rounds_all", _FAR_STEPS.replace("\nt AS (", "\nt AS MATERIALIZED (") + " SELECT id, round(s, 9) AS score FROM p12 WHERE s > 0")(lambda g: G.pagerank(g, ["nation:1", "supplier:2"], rounds=12, tolerance=None).select("id", F.round("score", 9).alias("score")))
 on_graph("gr2_pagerank")(lambda g: G.pagerank(g, ["nation:1"]).select("id", F.round("score", 6).alias("score")))
 on_graph("gr3_push_pagerank")(lambda g: G.push_pagerank(g, ["nation:1"], epsilon=1e-3).select("id", F.round("score", 6).alias("score")))
 on_graph("gr4_transitions", _STEPS + " SELECT src, dst, round(p, 9) AS p FROM t")(lambda g: G.transitions(_small(g).inner_links()).select("src", "dst", F.round("p", 9).alias("p")))
@@ -450,7 +452,11 @@ on_graph("ve5_expand", f"WITH {_SEEDS} SELECT target_id AS id, round(max(score *
 on_graph("ve6_evidence", "SELECT n.id, CASE WHEN bool_or(e.relation_type NOT IN ('CONTRADICTS', 'SUPERSEDES')) THEN 'source_grounded' WHEN count(e.id) > 0 THEN 'inferred' ELSE 'source_grounded' END AS confidence_class FROM nodes n LEFT JOIN edges e ON e.target_id = n.id WHERE n.type IN ('PRIORITY', 'REGION', 'CUSTOMER') GROUP BY n.id UNION ALL SELECT 'nobody', 'hallucination_risk'")(
     lambda g: V.evidence(g, g.entities.where("type in ('PRIORITY', 'REGION', 'CUSTOMER')").select("id").unionAll(g.entities.sparkSession.createDataFrame([("nobody",)], "id string")))
 )
-on_graph("ve7_search")(lambda g: V.search(g.seen_by("shared"), Q, 10, depth=1))
+_WIDE = f"""s AS (SELECT entity_id AS id, {_COS.format(a='vector', b=_QSQL)} AS score FROM (SELECT *, {_COS.format(a='vector[1:16]', b=f'({_QSQL})[1:16]')} AS near FROM {_SEEN} ORDER BY near DESC, entity_id LIMIT 100) ORDER BY score DESC, id LIMIT 25),
+l AS (SELECT source_id, target_id, confidence_score FROM edges WHERE valid_until IS NULL AND relation_type <> 'CONTRADICTS' AND target_id IN (SELECT id FROM nodes WHERE valid_until IS NULL AND scope = 'shared')),
+top AS (SELECT id, round(max(score), 9) AS score FROM (SELECT id, score FROM s UNION ALL SELECT target_id, score * 0.5 * confidence_score FROM s JOIN l ON l.source_id = s.id) GROUP BY id ORDER BY score DESC, id LIMIT 10)"""
+_CLASS = "CASE WHEN bool_or(e.relation_type NOT IN ('CONTRADICTS', 'SUPERSEDES')) THEN 'source_grounded' WHEN count(e.id) > 0 THEN 'inferred' ELSE 'source_grounded' END"
+on_graph("ve7_search", f"WITH {_WIDE} SELECT top.id, top.score, {_CLASS} AS confidence_class FROM top LEFT JOIN edges e ON e.target_id = top.id GROUP BY top.id, top.score")(lambda g: V.search(g.seen_by("shared"), Q, 10, depth=1))
 on_graph("ve7_knn_batch", "SELECT query, id, score FROM (SELECT q.entity_id AS query, v.entity_id AS id, " + _COS.format(a="v.vector", b="(q.vector::DOUBLE[])") + " AS score, row_number() OVER (PARTITION BY q.entity_id ORDER BY " + _COS.format(a="v.vector", b="(q.vector::DOUBLE[])") + " DESC, v.entity_id) AS k FROM vectors v JOIN nodes n ON n.id = v.entity_id AND n.valid_until IS NULL, vectors q WHERE q.entity_id LIKE '%:3_') WHERE k <= 3")(
     lambda g: V.knn_batch(g, g.embeddings.where("entity_id like '%:3_'").select(F.col("entity_id").alias("query"), "vector"), 3)
 )
@@ -464,7 +470,7 @@ on_graph("te1_valid_at", "SELECT type, count(*) AS n FROM nodes WHERE valid_from
 on_graph("te2_stale_warm", "SELECT id FROM nodes WHERE tier = 'warm' AND last_accessed_at < TIMESTAMP '2024-01-02'")(lambda g: M.stale_warm(g.entities, NOW).select("id"))
 _CLASS = "SELECT conv_id, turn, CASE WHEN vibe + fact + change + code = 0 THEN 'VIBE' WHEN code > 0 AND change > 0 THEN 'HYBRID' WHEN (vibe > 0)::INT + (fact > 0)::INT + (change > 0)::INT + (code > 0)::INT >= 2 AND code = 0 THEN 'HYBRID' WHEN vibe = greatest(vibe, fact, change, code) THEN 'VIBE' WHEN fact = greatest(vibe, fact, change, code) THEN 'FACT' WHEN change = greatest(vibe, fact, change, code) THEN 'CHANGE' ELSE 'CODE' END AS class FROM ("
 on_tables("rc1_classify", _CLASS + ORACLE_SQL["fn27_rule_counts"] + ")")(lambda t: R.classify(t("conversations").withColumnRenamed("text", "query")).select("conv_id", "turn", "class"))
-on_graph("rc2_vibe")(lambda g: R.vibe(g.seen_by("shared"), Q))
+on_graph("rc2_vibe", f"WITH {_WIDE} SELECT id, score, 'vector' AS layer FROM top")(lambda g: R.vibe(g.seen_by("shared"), Q))
 on_graph("rc3_fact")(lambda g: R.fact(g.seen_by("shared"), Q))
 _RC4 = """WITH n AS (SELECT * FROM nodes WHERE scope = 'shared' AND valid_from <= TIMESTAMP '1997-06-01' AND (valid_until IS NULL OR valid_until > TIMESTAMP '1997-06-01')),
 l AS (SELECT * FROM edges WHERE relation_type <> 'CONTRADICTS' AND valid_from <= TIMESTAMP '1997-06-01' AND (valid_until IS NULL OR valid_until > TIMESTAMP '1997-06-01')),
@@ -740,7 +746,7 @@ def _(t) -> DataFrame:
     spark = t("region").sparkSession
     src, out, ck = (_place(spark, n) for n in ("in", "out", "ck"))
     o = t("orders").select(F.col("o_custkey").cast("string").alias("subject"), F.lit("PREFERS").alias("predicate"), F.col("o_orderpriority").alias("object"), F.expr("cast(o_orderdate as timestamp) + make_interval(0, 0, 0, 0, 0, 0, o_orderkey / 1000000)").alias("ts"))
-    o.coalesce(1).write.parquet(src)
+    o.write.parquet(src)
     jobs.drain(jobs.supersessions(jobs.incremental_files(spark, src, "subject string, predicate string, object string, ts timestamp")), out, ck)
     return spark.read.parquet(out).select(F.col("subject").cast("long").alias("c"), F.col("object").alias("value"), "previous")
 
@@ -749,18 +755,18 @@ def _(t) -> DataFrame:
 def _(t) -> DataFrame:
     spark = t("region").sparkSession
     src, out, ck = (_place(spark, n) for n in ("in", "out", "ck"))
-    t("documents").select(F.col("text").alias("content"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts")).coalesce(1).write.parquet(src)
+    t("documents").select(F.col("text").alias("content"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts")).write.parquet(src)
     jobs.drain(jobs.once_by_content(jobs.incremental_files(spark, src, "content string, ts timestamp")).select("content_hash"), out, ck)
     return spark.read.parquet(out)
 
 
-@on_tables("st_b_touches")
+@on_tables("st_b_touches", "SELECT start, id, count(*) AS n, max(ts) AS last_at FROM (SELECT date_trunc('hour', ts) AS start, user_id::VARCHAR AS id, ts FROM events) GROUP BY start, id HAVING start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)")
 def _(t) -> DataFrame:
     spark = t("region").sparkSession
     src, out, ck = (_place(spark, n) for n in ("in", "out", "ck"))
-    t("events").select(F.col("user_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.parquet(src)
+    t("events").select(F.col("user_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("ts")).write.parquet(src)
     jobs.drain(jobs.touches(jobs.incremental_files(spark, src, "id string, ts timestamp")).select("window.start", "id", "n", "last_at"), out, ck)
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select(F.col("start").cast("timestamp_ntz").alias("start"), "id", "n", F.col("last_at").cast("timestamp_ntz").alias("last_at"))
 
 
 on_graph(

@@ -29,23 +29,34 @@ def apply_touches(merge: Callable[[DataFrame], None], stream: DataFrame, checkpo
     return stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: merge(df)).start()
 
 
+def changes(facts: list[tuple]) -> dict[tuple, tuple]:
+    """(ts, object) of each change in facts that are in order, with what held before: (previous, its ts)."""
+    out, held = {}, (None, None)
+    for ts, value in facts:
+        if value != held[0]:
+            out[ts, value] = held
+            held = (value, ts)
+    return out
+
+
 def _supersede(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    current = state.get if state.exists else (None, None)
-    rows = pd.concat(list(parts)).sort_values(["ts", "object"])
-    out = []
-    for x in rows.itertuples(index=False):
-        if current[1] is not None and x.ts < current[1]:
-            continue  # older than what holds: the batch form puts it in its place
-        if x.object != current[0]:
-            out.append((*key, x.object, x.ts, current[0], current[1]))
-            current = (x.object, x.ts)
-    state.update(current)
+    own = list(zip(*state.get, strict=True)) if state.exists else []
+    facts = sorted(set(own).union((x.ts, x.object) for part in parts for x in part.itertuples(index=False)))
+    old, new = changes(sorted(own)), changes(facts)
+    out = [(*key, value, ts, *held) for (ts, value), held in new.items() if old.get((ts, value)) != held]
+    out += [(*key, value, ts, value, ts) for ts, value in old if (ts, value) not in new]
+    state.update(([t for t, _ in facts], [v for _, v in facts]))
     yield pd.DataFrame(out, columns=["subject", "predicate", "object", "ts", "previous", "previous_ts"])
 
 
 def supersessions(facts: DataFrame) -> DataFrame:
-    """Changes of the one value of (subject, predicate): the new object, and the one that it closes and contradicts."""
-    return facts.groupBy("subject", "predicate").applyInPandasWithState(_supersede, CHANGES, "object string, ts timestamp", "append", GroupStateTimeout.NoTimeout)
+    """Changes of the one value of (subject, predicate): the new object, and the one that it closes and contradicts.
+
+    A late fact takes its place: it comes as a change of its own, the change after it comes again with its new
+    predecessor, and a change that is none any more comes with itself as the predecessor. The last row of a (subject,
+    predicate, ts, object) holds. The state keeps each key's distinct facts, since any may matter to a later one.
+    """
+    return facts.groupBy("subject", "predicate").applyInPandasWithState(_supersede, CHANGES, "times array<timestamp>, objects array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def incremental_files(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:

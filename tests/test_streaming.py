@@ -28,3 +28,17 @@ def test_contents_come_once(spark, tmp_path):
     d.write.parquet(str(tmp_path / "d"))
     jobs.drain(jobs.once_by_content(jobs.incremental_files(spark, str(tmp_path / "d"), "content string, ts timestamp")), str(tmp_path / "once"), str(tmp_path / "ck3"))
     assert spark.read.parquet(str(tmp_path / "once")).count() == 2
+
+
+def test_late_facts_are_chained_as_in_the_batch(spark, tmp_path):
+    facts = [("k", "P", v, f"2025-01-{d:02d} 00:00:00") for d, v in ((1, "a"), (3, "b"), (5, "a"), (7, "a"), (9, "c"), (11, "b"))]
+    for batch in ([4, 0], [2, 3], [1], [5, 0]):  # late, repeated and again
+        df = spark.createDataFrame([facts[i] for i in batch], "subject string, predicate string, object string, ts string").withColumn("ts", F.to_timestamp("ts"))
+        df.repartition(2).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.incremental_files(spark, str(tmp_path / "in"), "subject string, predicate string, object string, ts timestamp")
+        jobs.drain(jobs.supersessions(stream).withColumn("at", F.current_timestamp()), str(tmp_path / "out"), str(tmp_path / "ck"))
+    last = {}
+    for r in spark.read.parquet(str(tmp_path / "out")).orderBy("at").collect():
+        last[r.ts.day, r.object] = r.previous
+    got = [(d, o, p) for (d, o), p in sorted(last.items()) if p != o]
+    assert got == [(1, "a", None), (3, "b", "a"), (5, "a", "b"), (9, "c", "a"), (11, "b", "c")]
