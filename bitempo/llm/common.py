@@ -7,6 +7,7 @@ constant number of times whatever its length; ``slices`` bounds the buffer a wor
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,8 +38,10 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """A fresh folder under ``spark.checkpoint.dir``; a temporary one only where that is unset in local mode (tests)."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     if not top:
         top = os.path.join(tempfile.gettempdir(), "bitempo-checkpoints")
         spark.conf.set("spark.checkpoint.dir", top)

@@ -40,6 +40,7 @@ SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 8000, 0.0005, 100_000
 ROUNDS = 1
 #: Bits of a sketch for each shingle that may differ, and members of a bucket that are compared in one go.
 SHARP, BLOCK = 16, 2048
+GUEST = 1 << 62
 WORD = np.ones(256, bool)
 WORD[[32, *range(9, 14)]] = False
 
@@ -403,10 +404,12 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
     sets_of = keep(base.where("n > 0 and doc_id is not null").groupBy("w1", "w2").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "sets_of")
     release(spark)
 
-    keyed = base.select("rid", F.explode("keys").alias("key")).select("rid", F.shiftright("key", 1).alias("key"), F.col("key").bitwiseAND(1).cast("byte").alias("guest"))
-    shared = keep(keyed.groupBy("key").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), F.min("guest").alias("guest")).where("low <> high and guest = 0").select("key"), "shared")
+    # A member is its rid, with GUEST added for a guest: the least of a bucket's members is a guest if all of them are.
+    own_key = base.select("rid", F.explode("keys").alias("key"))
+    keyed = own_key.select(F.shiftright("key", 1).alias("key"), (F.col("rid") + F.col("key").bitwiseAND(1) * GUEST).alias("member"))
+    shared = keep(keyed.groupBy("key").agg(F.min("member").alias("low"), F.max("member").alias("high")).where((F.col("low") < F.col("high")) & (F.col("low") < GUEST)).select("key"), "shared")
     release(spark)
-    raw = keep(keyed.join(shared, "key"), "raw")
+    raw = keep(keyed.join(shared, "key").select("key", F.pmod("member", F.lit(GUEST)).alias("rid"), (F.col("member") >= GUEST).cast("int").alias("guest")), "raw")
     light = keep(base.drop("keys"), "light")
     discard(base, shared)
     release(spark)
