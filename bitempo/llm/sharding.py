@@ -39,7 +39,7 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_r
             (F.octet_length(text) + 16).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
             F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")).alias("src"),
-            F.xxhash64(F.lit(seed), F.col("doc_id")).alias("h"),
+            F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(text)).alias("h"),  # rows of one doc_id spread by their texts
         ),
         "base",
     )
