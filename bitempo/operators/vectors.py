@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import numbers as N
 from ..model import META_RELATIONS
 from ..snapshot import Snapshot
+from ..sources.store import cut
 
 COARSE = 100
 
@@ -107,5 +108,5 @@ def search(g: Snapshot, query: Sequence[float], k: int = 10, *, mode: str = "two
     hits = seeds
     if depth:
         hits = seeds.unionByName(expand(g, seeds, depth)).groupBy("id").agg(F.max("score").alias("score"))
-    top = hits.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "id").limit(k)
+    top = cut(hits.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "id").limit(k))  # k rows, read several times
     return top.join(evidence(g, top), "id").orderBy(F.desc("score"), "id")
