@@ -32,6 +32,29 @@ def embed_with(df: DataFrame, text: str, embed_many: Callable[[Sequence[str]], S
     return df.mapInPandas(run, _ddl(df) + f", {out} array<float>")
 
 
+def contextual(name: Column, context: Column) -> Column:
+    """What is embedded of a name: its context on a line before it, if it has one."""
+    return F.when(F.coalesce(context, F.lit("")) != "", F.concat(context, F.lit("\n"), name)).otherwise(name)
+
+
+Embedder = Callable[[DataFrame, str], DataFrame]
+#: Embedders by name; each takes (df, name of a text column) and gives df with a column vector.
+EMBEDDERS: dict[str, Callable[[int], Embedder]] = {"deterministic": lambda dim: lambda df, text: df.withColumn("vector", bag_of_words(F.coalesce(F.col(text), F.lit("")), dim))}
+
+
+def register(name: str, embed_many: Callable[[Sequence[str]], Sequence[Sequence[float]]]) -> None:
+    """Make an embedder known by a name: a function of a batch of texts, which runs on the executors."""
+    EMBEDDERS[name] = lambda dim: lambda df, text: embed_with(df, text, embed_many)
+
+
+def embedder(choice: str = "auto", dim: int = 64) -> Embedder:
+    """The embedder of a name; ``auto`` is the one registered last, else the deterministic one."""
+    name = list(EMBEDDERS)[-1] if choice == "auto" else choice
+    if name not in EMBEDDERS:
+        raise ValueError(f"unknown embedder: {choice}; known: {sorted(EMBEDDERS)}")
+    return EMBEDDERS[name](dim)
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,9 +81,9 @@ def overlap(query: Column, name: Column) -> Column:
     return (F.size(F.array_intersect(q, word_set(name))) + 1) / (F.size(q) + 1)
 
 
-def rule_counts(query: Column) -> dict[str, Column]:
-    """How many rules of each class match."""
-    return {k: sum((query.rlike(f"(?i){r}").cast("int") for r in rules), F.lit(0)) for k, rules in QUESTION_RULES.items()}
+def rule_counts(query: Column, rules: Mapping[str, Sequence[str]] | None = None) -> dict[str, Column]:
+    """How many rules of each class match; ``rules`` (patterns by class) replace the given ones of their class."""
+    return {k: sum((query.rlike(f"(?i){r}").cast("int") for r in of_class), F.lit(0)) for k, of_class in (QUESTION_RULES | dict(rules or {})).items()}
 
 
 def question_class(counts: dict[str, Column]) -> Column:

@@ -1,14 +1,15 @@
 """Source code: structure and calls of Python files, and questions about them.
 
-Files are parsed with the standard library's parser in ``mapInPandas``; languages that have no parser here
-give their module only.
+Files are parsed in ``mapInPandas``: Python by the standard library's parser, languages with braces by a scanner of
+scopes, others by what ``register`` was given.
 """
 
 from __future__ import annotations
 
 import ast
 import builtins
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from ..functions.text import canonical, language_of, module_name
 from ..model import CODE_TYPES, conform, identity
 from ..snapshot import Snapshot
+from ..sources.files import git_commits, git_files
+from . import braces
 from . import graph as G
 
 # --- fixed values: names of methods of built-in types that calls to are no news --------------------------
@@ -82,6 +85,22 @@ def parse_python(source: str, module: str) -> tuple[list[tuple], list[tuple], li
     return entities, links, calls
 
 
+Parser = Callable[[str, str], tuple[list[tuple], list[tuple], list[tuple]]]
+PARSERS: dict[str, Parser] = {"python": parse_python} | {k: partial(braces.parse, language=k) for k in ("typescript", "javascript", "go", "rust", "java", "php")}
+
+
+def register(language: str, parser: Parser) -> None:
+    """Files of ``language`` are parsed by ``parser(source, module)``, which gives what ``parse_python`` gives."""
+    PARSERS[language] = parser
+
+
+def extract(source: str, language: str, module: str) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """(entities, links, calls) of one file."""
+    if language not in PARSERS:
+        raise ValueError(f"unsupported language: {language}")
+    return PARSERS[language](source, module)
+
+
 def prepared(files: DataFrame) -> DataFrame:
     """Files (path, content; commit may lack) with language and module name; an unknown language is left out."""
     if "commit" not in files.columns:
@@ -91,12 +110,14 @@ def prepared(files: DataFrame) -> DataFrame:
 
 
 def extract_entities(files: DataFrame) -> DataFrame:
+    """Modules, classes, functions and methods of the files; a null content is an empty file."""
+    parsers = dict(PARSERS)
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for x in part.itertuples(index=False):
-                found = parse_python(x.content, x.module)[0] if x.language == "python" else [("module", x.module, 1, x.content.count("\n") + 1, None, None, "public")]
-                out += [(x.commit, x.path, x.language, *e) for e in found]
+                out += [(x.commit, x.path, x.language, *e) for e in parsers[x.language](x.content or "", x.module)[0]]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in ENTITIES.split(", ")])
 
     return prepared(files).mapInPandas(run, ENTITIES)
@@ -104,14 +125,14 @@ def extract_entities(files: DataFrame) -> DataFrame:
 
 def extract_links(files: DataFrame) -> DataFrame:
     """Structure (DEFINES, INHERITS_FROM, IMPORTS) and calls, by name."""
+    parsers = dict(PARSERS)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for x in part.itertuples(index=False):
-                if x.language == "python":
-                    _, links, calls = parse_python(x.content, x.module)
-                    out += [(x.commit, x.path, *e) for e in links + calls]
+                _, links, calls = parsers[x.language](x.content or "", x.module)
+                out += [(x.commit, x.path, *e) for e in links + calls]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in LINKS.split(", ")])
 
     return prepared(files).mapInPandas(run, LINKS)
@@ -248,3 +269,16 @@ def scan(tables: dict[str, DataFrame], before: DataFrame, now: DataFrame, when:
     closed = e.withColumn("valid_until", F.when(F.col("_p").isNotNull(), F.coalesce("valid_until", t)).otherwise(F.col("valid_until"))).select(tables["entities"].columns)
     files = changes.where("change <> 'removed'").select("path", "content")
     return ingest(dict(tables) | {"entities": closed}, files, when), changes
+
+
+def ingest_history(tables: dict[str, DataFrame], repo: str, now: str, *, mode: str = "snapshot", paths: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """The tables with a git repository's files: of the newest commit (``snapshot``) or of every one (``full``).
+
+    All commits are taken in one pass; a file's entities are kept for each commit, as ``diff`` asks for. Taking them
+    again adds none.
+    """
+    if mode not in ("snapshot", "full"):
+        raise ValueError(f"mode is snapshot or full, not {mode}")
+    spark = tables["entities"].sparkSession
+    commits = git_commits(repo, 1 if mode == "snapshot" else None)
+    return ingest(tables, git_files(spark, repo, commits, paths), now)

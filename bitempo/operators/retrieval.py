@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import code_names, overlap, question_class, rule_counts, word_set
+from ..functions.text import QUESTION_RULES, code_names, overlap, question_class, rule_counts, word_set
 from ..model import CODE_TYPES
 from ..snapshot import Snapshot
 from . import graph as G
@@ -22,9 +22,15 @@ def bounded(limit: int) -> int:
     return min(max(limit, 1), MOST)
 
 
-def classify(queries: DataFrame) -> DataFrame:
-    """The queries (column query) with counts of matching rules and a class."""
-    counted = queries.select("*", *(c.alias(k.lower()) for k, c in rule_counts(F.col("query")).items()))
+def classify(queries: DataFrame, rules: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """The queries (column query) with counts of matching rules and a class; a null one is as an empty one.
+
+    ``rules`` replace those of their class.
+    """
+    unknown = set(rules or {}) - set(QUESTION_RULES)
+    if unknown:
+        raise ValueError(f"no such class of questions: {sorted(unknown)}")
+    counted = queries.select("*", *(c.alias(k.lower()) for k, c in rule_counts(F.coalesce("query", F.lit("")), rules).items()))
     return counted.withColumn("class", question_class({k: F.col(k.lower()) for k in ("VIBE", "FACT", "CHANGE", "CODE")}))
 
 

@@ -568,6 +568,31 @@ def _code(t) -> Snapshot:
 
 
 on_tables("co2_extract_entities", "SELECT * FROM (VALUES ('module', 'app', 'public'), ('function', 'main', 'public'), ('function', 'build', 'public'), ('class', 'Base', 'public'), ('class', 'Widget', 'public'), ('method', 'Widget.render', 'public'), ('method', 'Widget._escape', 'private'), ('module', 'lib', 'public'), ('function', 'helper', 'public'), ('function', 'validate', 'public')) t(type, name, visibility)")(lambda t: CO.extract_entities(_files(t)).select("type", "name", "visibility"))
+_OTHER_FILES = [
+    ("cat.go", 'package pets\nimport "fmt"\ntype Cat struct { Name string }\nfunc (c *Cat) Meow() string { return c.Name }\nfunc run() { fmt.Println("}") }\n'),
+    ("cat.rs", "use std::io;\npub struct Cat { n: u8 }\nimpl Animal for Cat { pub fn meow(&self) -> u8 { help(self.n) } }\n"),
+    ("Cat.java", "package com.acme;\nimport java.util.List;\npublic class Cat extends Animal { public String meow() { return purr(); } }\n"),
+    ("cat.php", "<?php\nnamespace App;\nclass Cat extends Animal { function meow() { return purr(); } }\nfunction hi() {}\n"),
+    ("cat.ts", "import { a } from './x'\nclass Cat extends Animal { meow() { return purr() } }\nconst go = () => { run() }\n"),
+]
+_OTHER_ROWS = ", ".join(f"('{p}', '{n}', '{k}')" for p, n, k in [
+    ("cat.go", "pets", "module"), ("cat.go", "Cat", "class"), ("cat.go", "Cat.Meow", "method"), ("cat.go", "run", "function"), ("cat.rs", "cat", "module"), ("cat.rs", "Cat", "class"), ("cat.rs", "Cat.meow", "method"),
+    ("Cat.java", "com.acme", "module"), ("Cat.java", "Cat", "class"), ("Cat.java", "Cat.meow", "method"), ("cat.php", "App", "module"), ("cat.php", "Cat", "class"), ("cat.php", "Cat.meow", "method"), ("cat.php", "hi", "function"),
+    ("cat.ts", "cat", "module"), ("cat.ts", "Cat", "class"), ("cat.ts", "Cat.meow", "method"), ("cat.ts", "go", "function"),
+])
+_OTHER_LINKS = ", ".join(f"('{p}', '{s}', '{r}', '{o}')" for p, s, r, o in [
+    ("cat.go", "pets", "IMPORTS", "fmt"), ("cat.go", "run", "CALLS", "Println"), ("cat.rs", "cat", "IMPORTS", "std::io"), ("cat.rs", "Cat", "INHERITS_FROM", "Animal"), ("cat.rs", "Cat.meow", "CALLS", "help"),
+    ("Cat.java", "com.acme", "IMPORTS", "java.util.List"), ("Cat.java", "Cat", "INHERITS_FROM", "Animal"), ("Cat.java", "Cat.meow", "CALLS", "purr"), ("cat.php", "Cat", "INHERITS_FROM", "Animal"), ("cat.php", "Cat.meow", "CALLS", "purr"),
+    ("cat.ts", "cat", "IMPORTS", "./x"), ("cat.ts", "Cat", "INHERITS_FROM", "Animal"), ("cat.ts", "Cat.meow", "CALLS", "purr"), ("cat.ts", "go", "CALLS", "run"),
+])
+
+
+def _other_files(t) -> DataFrame:
+    return t("region").sparkSession.createDataFrame(_OTHER_FILES, "path string, content string")
+
+
+on_tables("co3_languages", f"SELECT * FROM (VALUES {_OTHER_ROWS}) t(path, name, type)")(lambda t: CO.extract_entities(_other_files(t)).select("path", "name", "type"))
+on_tables("co3_language_links", f"SELECT * FROM (VALUES {_OTHER_LINKS}) t(path, source, relation, target)")(lambda t: CO.extract_links(_other_files(t)).where("relation <> 'DEFINES'").select("path", "source", "relation", "target"))
 on_tables("co4_structure", "SELECT * FROM (VALUES ('app', 'os', 'IMPORTS'), ('app', 'lib', 'IMPORTS'), ('app', 'main', 'DEFINES'), ('app', 'build', 'DEFINES'), ('app', 'Base', 'DEFINES'), ('app', 'Widget', 'DEFINES'), ('Widget', 'Base', 'INHERITS_FROM'), ('Widget', 'Widget.render', 'DEFINES'), ('Widget', 'Widget._escape', 'DEFINES'), ('lib', 'helper', 'DEFINES'), ('lib', 'validate', 'DEFINES')) t(source, target, relation)")(
     lambda t: CO.extract_links(_files(t)).where("relation <> 'CALLS'").select("source", "target", "relation")
 )

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import subprocess
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import language_of
+from ..functions.text import LANGUAGES, language_of
 
 
 def texts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -42,16 +43,27 @@ def source_tree(spark: SparkSession, path: str) -> DataFrame:
 
 
 def git_files(spark: SparkSession, repo: str, commits: Sequence[str], paths: Sequence[str] = ()) -> DataFrame:
-    """(commit, path, content) of a repository's files at commits; git runs on the driver, which holds the repository."""
-
-    def git(*args: str) -> str:
-        return subprocess.run(["git", "-C", repo, *args], capture_output=True, text=True, check=True).stdout
-
-    rows = []
-    for sha in commits:
-        for name in git("ls-tree", "-r", "--name-only", sha, *(["--", *paths] if paths else [])).splitlines():
-            rows.append((sha, name, git("show", f"{sha}:{name}")))
-    return spark.createDataFrame(rows, "commit string, path string, content string").where(language_of(F.col("path")).isNotNull())
+    """(commit, path, content) of the files of known languages of a repository at commits.
+
+    Executors run git, a task for each commit, so the repository must be at ``repo`` for all of them, as on a shared
+    folder. Bytes that aren't UTF-8 are replaced.
+    """
+    only = ["--", *paths] if paths else []
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for sha in part["commit"]:
+                listed = subprocess.run(["git", "-C", repo, "ls-tree", "-r", "-z", sha, *only], capture_output=True, check=True).stdout
+                for row in listed.split(b"\0"):
+                    about, _, name = row.partition(b"\t")
+                    path = name.decode("utf-8", "replace")
+                    if about.split()[1:2] != [b"blob"] or path.rpartition(".")[2].lower() not in LANGUAGES:
+                        continue
+                    blob = subprocess.run(["git", "-C", repo, "cat-file", "blob", about.split()[2].decode()], capture_output=True, check=True).stdout
+                    yield pd.DataFrame([(sha, path, blob.decode("utf-8", "replace"))], columns=["commit", "path", "content"])
+
+    shas = spark.createDataFrame([(c,) for c in commits], "commit string").repartition(max(1, len(commits)), "commit")
+    return shas.mapInPandas(run, "commit string, path string, content string").where(language_of(F.col("path")).isNotNull())
 
 
 def git_commits(repo: str, limit: int | None = None) -> list[str]:
