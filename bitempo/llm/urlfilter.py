@@ -1,6 +1,7 @@
 """URL filter (operator 4): rules first, gradient-boosted trees on lexical features for the rest.
 
-The trees are trained from the URLs that the rules decide. Features are binned, so the labelled rows
+The trees are trained from the URLs that the rules decide. Statistics of suffixes come, for a URL that is learned
+from, from the labels of other folds of hosts, so that no URL's own label is among its features. Features are binned, so the labelled rows
 shrink to counts of binned vectors (at most ``MOST_VECTORS``, whatever the table's size), which one
 aggregation over all rows gives; trees are fitted to these counts on the driver and become one SQL
 expression. Nothing but DataFrame and SQL functions touches rows.
@@ -19,7 +20,7 @@ from .common import table
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 TREES, DEPTH, RATE, SMOOTH = 24, 3, 0.3, 4.0
-SUFFIX_BUCKETS = 64
+SUFFIX_BUCKETS, FOLDS = 64, 5
 #: Upper edges of the bins of each feature.
 BINS: dict[str, tuple[float, ...]] = {
     "length": (30, 40, 55, 80),
@@ -136,33 +137,51 @@ def as_column(tree) -> Column:
     return F.when(F.col(name) <= at, as_column(left)).otherwise(as_column(right))
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
+def rates(rows: Sequence[tuple[int, int, int, int]]) -> tuple[list[float], list[float]]:
+    """Smoothed shares of blocked URLs of (bucket, fold, blocked, all): without each fold, and over all of them.
+
+    The first list has the share of bucket b without fold f at f * SUFFIX_BUCKETS + b. A bucket without labels has 0.5.
+    """
+    sums = [[0, 0] for _ in range((FOLDS + 1) * SUFFIX_BUCKETS)]
+    for bucket, fold, pos, n in rows:
+        for f in range(FOLDS + 1):
+            if f != fold:
+                sums[f * SUFFIX_BUCKETS + bucket][0] += pos
+                sums[f * SUFFIX_BUCKETS + bucket][1] += n
+    share = [(p + 1) / (n + 2) for p, n in sums]
+    return share[: FOLDS * SUFFIX_BUCKETS], share[FOLDS * SUFFIX_BUCKETS :]
+
+
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, hold: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict and score (margin for ``block``) of every row.
 
     A null url, or one without ``://``, has an empty host and path, so no rule fits; the trees judge it by its
     text. Where the rules decide no row, or all alike, there is nothing to learn and the rest is allowed. A
-    margin of 0 allows. Repeated rows are judged each; other columns of ``pages`` are not read.
+    margin of 0 allows. The labels of the hosts of fold ``hold`` are not learned from, so that the scores of these
+    rows can be held against their rules. Repeated rows are judged each; other columns of ``pages`` are not read.
     """
     src = pages.select("page_id", F.col("url").cast("string").alias("url"))
     parts = src.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    parts = parts.select("*", rule.alias("rule"), verdict.alias("by_rule"))
+    parts = parts.select("*", rule.alias("rule"), verdict.alias("by_rule"), F.pmod(F.crc32("host"), F.lit(FOLDS)).cast("int").alias("fold"))
     bucket = suffixes(F.col("host"), F.col("path"))
     plain = binned(lexical(F.col("url"), F.col("host"), F.col("path")))
     parts = parts.select("*", *(c.alias(f"{k}_bucket") for k, c in bucket.items()), *(c.alias(k) for k, c in plain.items()))
 
     labelled = parts.where("by_rule is not null")
-    keys = [*plain, *(f"{k}_bucket" for k in bucket)]
+    if hold is not None:
+        labelled = labelled.where(F.col("fold") != hold)
+    keys = ["fold", *plain, *(f"{k}_bucket" for k in bucket)]
     blocked = F.sum(F.when(F.col("by_rule") == "block", 1).otherwise(0))
     seen = labelled.groupBy(*keys).agg(blocked.alias("pos"), F.count("*").alias("n"))
-    # Statistics of suffixes: SUFFIX_BUCKETS rows each, by a second aggregation of the counts.
-    score = {}
+    # Statistics of suffixes: at most SUFFIX_BUCKETS x FOLDS rows each, by a second aggregation of the counts.
+    others, score = {}, {}
     for k in bucket:
-        rate = seen.groupBy(f"{k}_bucket").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).collect()
-        known = [F.when(F.col(f"{k}_bucket") == r[0], F.lit((r.pos + 1) / (r.n + 2))) for r in rate]
-        score[k] = F.coalesce(*known, F.lit(0.5))
+        without, whole = rates(seen.groupBy(f"{k}_bucket", "fold").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).collect())
+        others[k] = F.get(F.lit(without), F.col("fold") * SUFFIX_BUCKETS + F.col(f"{k}_bucket"))
+        score[k] = F.get(F.lit(whole), F.col(f"{k}_bucket"))
     names = [*plain, *score]
-    vectors = seen.select(*plain, *(c.alias(k) for k, c in binned(score).items()), "pos", "n").groupBy(*names).agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    vectors = seen.select(*plain, *(c.alias(k) for k, c in binned(others).items()), "pos", "n").groupBy(*names).agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     counts = sorted((tuple(r[:-2]), float(r.pos), float(r.n - r.pos)) for r in vectors.collect())
     both = sum(c[1] for c in counts) and sum(c[2] for c in counts)
     trees = fit(counts, names) if both else []
