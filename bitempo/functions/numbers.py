@@ -58,4 +58,4 @@ def strength(importance: Column, age_days: Column, access_count: Column) -> Colu
 
 
 def days_between(late: Column, early: Column) -> Column:
-    return F.timestamp_diff("SECOND", early, late) / 86400.0
+    return F.timestamp_diff("MICROSECOND", early, late) / 86_400_000_000.0

@@ -54,7 +54,6 @@ _MEMBER = {
 }
 _ARROW = re.compile(r"\b(?:const|let|var) ([\w$]+) (?:: .*?)?= (?:async )?((?:<.*?> )?\(.*\)(?: : .*?)?|[\w$]+) =>")
 _RECEIVER = re.compile(r"^func \( (?:(\w+) )?(?:\* )?(\w+)(?: \[ .*? \])? \) (\w+) (\(.*)")
-_IMPL = re.compile(r"\bimpl (?:< .*? > )?(?:(?P<base>[\w:< >,&']+?) for )?(?P<name>[\w:]+(?: :: \w+)*)")
 _SPACE = re.compile(r"\b(?:namespace|mod|module|extern)\b")
 _OWN = {"this", "self", "Self", "static", "$this"}
 
@@ -93,6 +92,24 @@ def _bases(tail: str) -> list[str]:
     return [b for part in listed for x in part.split(",") if (b := _bare(x)) and re.fullmatch(r"[\w$]+", b)]
 
 
+def _impl(text: str) -> tuple[str, str] | None:
+    """(type, trait or nothing) of an ``impl`` block's head; a function that takes or gives an ``impl`` is none."""
+    first = re.search(r"\b(?:impl|fn)\b", text)
+    if first is None or first[0] == "fn":
+        return None
+    flat, depth, before = [], 0, ""
+    for w in text[first.end():].split():
+        if w == "where" and not depth:
+            break
+        if w in "<>":
+            depth = max(0, depth + (1 if w == "<" else -1))
+        elif not depth and before != "'" and w not in ("mut", "dyn", "const") and re.fullmatch(r"\w+|::", w):
+            flat.append(w)
+        before = w
+    base, name = ("".join(flat[: flat.index("for")]), "".join(flat[flat.index("for") + 1:])) if "for" in flat else ("", "".join(flat))
+    return (_bare(name), _bare(base) if base else "") if name else None
+
+
 def _imports(head: list, language: str) -> list[str]:
     words = [t for t, _ in head]
     if language in _ENDLESS:
@@ -155,10 +172,10 @@ def parse(source: str, module: str, language: str) -> tuple[list[tuple], list[tu
         owner = stack[-1] if stack and stack[-1].kind == "class" else None
         if not head or (stack and stack[-1].shut):
             return _Scope("plain")
-        if language == "rust" and not owner and (m := _IMPL.search(text)):
-            name = _bare(m["name"])
-            if m["base"]:
-                links.append((name, _bare(m["base"].split("<")[0]), "INHERITS_FROM", head[0][1]))
+        if language == "rust" and not owner and (implemented := _impl(text)):
+            name, base = implemented
+            if base:
+                links.append((name, base, "INHERITS_FROM", head[0][1]))
             return _Scope("class", name)
         if language == "go" and (m := _RECEIVER.match(text)):
             return _Scope("function", f"{m[2]}.{m[3]}", define("method", m[3], m[2], m[4], text), m[1])

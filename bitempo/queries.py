@@ -100,10 +100,7 @@ on_tables("sc20_latest_first", "SELECT user_id, event_type, n FROM (SELECT user_
 
 # --- writes -----------------------------------------------------------------------------------------------
 
-on_graph("dm1_new_sources", "SELECT content_hash, 'text/plain' AS mime_type FROM sources WHERE id LIKE '%7' AND content_hash NOT IN (SELECT content_hash FROM sources WHERE id LIKE '%1') GROUP BY content_hash")(
-    lambda g: D.new_sources(g.sources.where("id like '%1'"), g.sources.where("id like '%7'").select("content"), NOW).select("content_hash", "mime_type")
-)
-on_graph("dm1_new_sources_all", "SELECT content_hash, 'text/plain' AS mime_type FROM sources WHERE regexp_matches(id, '[5-9]$') AND content_hash NOT IN (SELECT content_hash FROM sources WHERE regexp_matches(id, '[0-4]$')) GROUP BY content_hash")(
+on_graph("dm1_new_sources", "SELECT content_hash, 'text/plain' AS mime_type FROM sources WHERE regexp_matches(id, '[5-9]$') AND content_hash NOT IN (SELECT content_hash FROM sources WHERE regexp_matches(id, '[0-4]$')) GROUP BY content_hash")(
     lambda g: D.new_sources(g.sources.where("id rlike '[0-4]$'"), g.sources.where("id rlike '[5-9]$'").select("content"), NOW).select("content_hash", "mime_type")
 )
 on_graph("dm2_new_entities", "SELECT lower(name) AS canonical_name, 'CUSTOMER' AS type FROM nodes WHERE type = 'CUSTOMER' AND (valid_until IS NOT NULL OR scope = 'private') GROUP BY 1")(
@@ -233,15 +230,7 @@ on_graph("jn7_provenance", "SELECT DISTINCT s.id, s.content_hash FROM sources s
 on_graph("jn8_semi", "SELECT id FROM edges WHERE source_id IN (SELECT id FROM nodes WHERE type = 'NATION')")(lambda g: g.edges.join(g.entities.where("type = 'NATION'").select(F.col("id").alias("source_id")), "source_id", "left_semi").select("id"))
 on_graph("jn9_anti_unconfirmed", "SELECT id FROM nodes n WHERE tier = 'warm' AND valid_until IS NULL AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.target_id = n.id AND e.detected_at > TIMESTAMP '2024-01-02')")(lambda g: M.unconfirmed(g.entities, g.edges, NOW).select("id"))
 on_graph("jn10_orphan_sources", "SELECT id FROM sources WHERE id NOT IN (SELECT source_ref FROM edges)")(lambda g: g.sources.join(g.edges.select(F.col("source_ref").alias("id")), "id", "left_anti").select("id"))
-on_tables("jn11_diff", "SELECT 'added' AS change, user_id FROM (SELECT user_id FROM events WHERE event_id % 40 = 1 EXCEPT SELECT user_id FROM events WHERE event_id % 40 = 2) UNION ALL SELECT 'removed', user_id FROM (SELECT user_id FROM events WHERE event_id % 40 = 2 EXCEPT SELECT user_id FROM events WHERE event_id % 40 = 1)")(lambda t: _diff(t("events")))
-
-
-def _diff(e: DataFrame) -> DataFrame:
-    a, b = (e.where(F.col("event_id") % 40 == k).select("user_id").distinct() for k in (2, 1))
-    return _changed(a, b)
-
-
-on_tables("jn11_diff_all", "SELECT 'added' AS change, user_id FROM (SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-29' EXCEPT SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-29') UNION ALL SELECT 'removed', user_id FROM (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-29' EXCEPT SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-29')")(
+on_tables("jn11_diff", "SELECT 'added' AS change, user_id FROM (SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-29' EXCEPT SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-29') UNION ALL SELECT 'removed', user_id FROM (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-29' EXCEPT SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-29')")(
     lambda t: _changed(*(t("events").where(f"ts {op} timestamp_ntz'2024-01-29'").select("user_id").distinct() for op in ("<", ">=")))
 )
 
@@ -256,23 +245,11 @@ on_graph("jn13_conflicts", "SELECT DISTINCT a.subject_id AS subject, a.predicate
 )
 on_graph(
     "jn14_point_in_time",
-    "SELECT DISTINCT e.source_id, e.target_id FROM edges e JOIN nodes s ON s.id = e.source_id JOIN nodes t ON t.id = e.target_id WHERE s.name LIKE '%5' AND e.relation_type = 'PREFERS' AND e.valid_from <= TIMESTAMP '1998-06-01' AND (e.valid_until IS NULL OR e.valid_until > TIMESTAMP '1998-06-01') AND s.valid_from <= TIMESTAMP '1998-06-01' AND (s.valid_until IS NULL OR s.valid_until > TIMESTAMP '1998-06-01')",
+    "SELECT DISTINCT e.source_id, e.target_id FROM edges e JOIN nodes s ON s.id = e.source_id JOIN nodes t ON t.id = e.target_id WHERE e.relation_type = 'PREFERS' AND e.valid_from <= TIMESTAMP '1998-06-01' AND (e.valid_until IS NULL OR e.valid_until > TIMESTAMP '1998-06-01') AND s.valid_from <= TIMESTAMP '1998-06-01' AND (s.valid_until IS NULL OR s.valid_until > TIMESTAMP '1998-06-01')",
 )(lambda g: _point(g.seen_at("1998-06-01")))
 
 
 def _point(g: Snapshot) -> DataFrame:
-    s = g.nodes().where("name like '%5'").select(F.col("id").alias("source_id"))
-    t = g.nodes().select(F.col("id").alias("target_id"))
-    return g.links().where("relation_type = 'PREFERS'").join(s, "source_id").join(t, "target_id").select("source_id", "target_id").distinct()
-
-
-on_graph(
-    "jn14_point_in_time_all",
-    "SELECT DISTINCT e.source_id, e.target_id FROM edges e JOIN nodes s ON s.id = e.source_id JOIN nodes t ON t.id = e.target_id WHERE e.relation_type = 'PREFERS' AND e.valid_from <= TIMESTAMP '1998-06-01' AND (e.valid_until IS NULL OR e.valid_until > TIMESTAMP '1998-06-01') AND s.valid_from <= TIMESTAMP '1998-06-01' AND (s.valid_until IS NULL OR s.valid_until > TIMESTAMP '1998-06-01')",
-)(lambda g: _point_all(g.seen_at("1998-06-01")))
-
-
-def _point_all(g: Snapshot) -> DataFrame:
     s, t = (g.nodes().select(F.col("id").alias(c)) for c in ("source_id", "target_id"))
     return g.links().where("relation_type = 'PREFERS'").join(s, "source_id").join(t, "target_id").select("source_id", "target_id").distinct()
 
@@ -294,21 +271,17 @@ on_graph(
     "SELECT 'entities' AS name, (SELECT count(*) FROM nodes) AS n UNION ALL SELECT 'current_entities', (SELECT count(*) FROM nodes WHERE valid_until IS NULL) UNION ALL SELECT 'hot', (SELECT count(*) FROM nodes WHERE tier = 'hot') UNION ALL SELECT 'warm', (SELECT count(*) FROM nodes WHERE tier = 'warm') UNION ALL SELECT 'cold', 0 UNION ALL SELECT 'edges', (SELECT count(*) FROM edges) UNION ALL SELECT 'current_edges', (SELECT count(*) FROM edges WHERE valid_until IS NULL) UNION ALL SELECT 'contradictions', (SELECT count(*) FROM edges WHERE relation_type = 'CONTRADICTS')",
 )(lambda g: C.stats(g))
 on_graph("ag3_most_used", "SELECT id, access_count FROM nodes WHERE valid_until IS NULL ORDER BY access_count DESC, importance DESC, created_at, id LIMIT 10")(lambda g: C.most_used(g).select("id", "access_count"))
-on_graph("ag4_duplicate_groups", "SELECT canonical_name, n, keeper FROM (SELECT substr(canonical_name, 1, 4) AS canonical_name, count(*) AS n, min(id) AS keeper FROM nodes WHERE type = 'NATION' GROUP BY 1) WHERE n > 1")(
-    lambda g: M.duplicate_groups(g.entities.where("type = 'NATION'").withColumn("canonical_name", F.substring("canonical_name", 1, 4))).select("canonical_name", "n", "keeper")
+on_graph("ag4_duplicate_groups", "SELECT type, canonical_name, n, keeper FROM (SELECT type, canonical_name, scope, owner_id, count(*) AS n, arg_min(id, (created_at, id)) AS keeper FROM nodes WHERE valid_until IS NULL GROUP BY ALL) WHERE n > 1")(
+    lambda g: M.duplicate_groups(g.entities).select("type", "canonical_name", "n", "keeper")
 )
 on_graph("ag5_topics", "SELECT type, max(n) AS n, string_agg(name, '|' ORDER BY k) AS examples FROM (SELECT type, name, count(*) OVER (PARTITION BY type) AS n, row_number() OVER (PARTITION BY type ORDER BY access_count DESC, importance DESC, created_at, id) AS k FROM nodes WHERE valid_until IS NULL) WHERE k <= 3 GROUP BY type")(lambda g: C.topics(g))
 on_graph("ag6_best_per_entity", "SELECT target_id, max(confidence_score) AS score FROM edges WHERE relation_type = 'CONTAINS' GROUP BY target_id")(lambda g: g.edges.where("relation_type = 'CONTAINS'").groupBy("target_id").agg(F.max_by("confidence_score", F.struct("confidence_score", "id")).alias("score")))
-def _placed(g: Snapshot) -> DataFrame:
-    return g.edges.where("relation_type = 'PLACED'")
-
-
-on_graph("ag7_delta", "SELECT 'entities' AS \"table\", (SELECT count(*) FROM nodes WHERE valid_from >= TIMESTAMP '2000-01-01') AS n UNION ALL SELECT 'edges', (SELECT count(*) FROM edges WHERE valid_from >= TIMESTAMP '2000-01-01' AND relation_type = 'PLACED')")(
-    lambda g: C.delta({n: df.where("valid_from < timestamp_ntz'2000-01-01'") for n, df in (("entities", g.entities), ("edges", _placed(g)))}, {"entities": g.entities, "edges": _placed(g)})
+on_graph("ag7_delta", "SELECT 'entities' AS \"table\", (SELECT count(*) FROM nodes WHERE valid_from >= TIMESTAMP '2000-01-01') AS n UNION ALL SELECT 'edges', (SELECT count(*) FROM edges WHERE id NOT IN (SELECT id FROM edges WHERE valid_from < TIMESTAMP '2000-01-01'))")(
+    lambda g: C.delta({n: df.where("valid_from < timestamp_ntz'2000-01-01'") for n, df in (("entities", g.entities), ("edges", g.edges))}, {"entities": g.entities, "edges": g.edges})
 )
 on_tables("ag8_language_histogram", "SELECT lang AS code_language, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang")(lambda t: t("documents").where("lang is not null").groupBy(F.col("lang").alias("code_language")).agg(F.count("*").alias("n")))
-on_graph("ag9_out_weights", "SELECT id, round(sum(w), 6) AS weight FROM (SELECT source_id AS id, greatest(confidence_score, 0.001) AS w FROM edges WHERE relation_type = 'SUPPLIES' UNION ALL SELECT target_id, greatest(confidence_score, 0.001) / 2 FROM edges WHERE relation_type = 'SUPPLIES') GROUP BY id")(
-    lambda g: G.out_weights(g.edges.where("relation_type = 'SUPPLIES'")).select("id", F.round("weight", 6).alias("weight"))
+on_graph("ag9_out_weights", "SELECT id, round(sum(w), 6) AS weight FROM (SELECT source_id AS id, greatest(confidence_score, 0.001) AS w FROM edges UNION ALL SELECT target_id, greatest(confidence_score, 0.001) / 2 FROM edges) GROUP BY id")(
+    lambda g: G.out_weights(g.edges).select("id", F.round("weight", 6).alias("weight"))
 )
 on_tables("ag10_last_turns", "SELECT conv_id, substr(arg_max(text, turn) FILTER (WHERE role = 'user'), 1, 8000) AS \"user\", substr(arg_max(text, turn) FILTER (WHERE role = 'assistant'), 1, 8000) AS assistant FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")(lambda t: I.last_turns(t("conversations")))
 
@@ -320,10 +293,7 @@ on_tables(
     "wn3_validity_chain",
     "SELECT c, value, previous, strftime(begin_at, '%Y-%m-%d') AS begins, strftime(end_at, '%Y-%m-%d') AS ends FROM (SELECT o_custkey AS c, o_orderpriority AS value, previous, o_orderdate AS begin_at, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS end_at FROM (SELECT *, lag(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous FROM orders) WHERE previous IS NULL OR previous <> o_orderpriority)",
 )(lambda t: I.chain(t("orders"), ["o_custkey"], "o_orderpriority", "o_orderdate", "o_orderkey").select(F.col("o_custkey").alias("c"), F.col("o_orderpriority").alias("value"), "previous", F.date_format("o_orderdate", "yyyy-MM-dd").alias("begins"), F.date_format("ends", "yyyy-MM-dd").alias("ends")))
-on_graph("wn4_budget", "SELECT id, used::BIGINT AS used FROM (SELECT id, sum(length(name)) OVER (ORDER BY importance DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM (SELECT * FROM nodes WHERE type = 'CUSTOMER' ORDER BY importance DESC, id LIMIT 100)) WHERE used <= 400")(
-    lambda g: C.within_budget(g.entities.where("type = 'CUSTOMER'").orderBy(F.desc("importance"), "id").limit(100), F.length("name"), 100, [F.desc("importance"), F.asc("id")]).select("id", "used")
-)
-on_graph("wn4_budget_all", "SELECT id, used::BIGINT AS used FROM (SELECT id, sum(length(name)) OVER (ORDER BY importance DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM nodes WHERE type = 'CUSTOMER') WHERE used <= 400")(
+on_graph("wn4_budget", "SELECT id, used::BIGINT AS used FROM (SELECT id, sum(length(name)) OVER (ORDER BY importance DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM nodes WHERE type = 'CUSTOMER') WHERE used <= 400")(
     lambda g: C.within_budget(g.entities.where("type = 'CUSTOMER'"), F.length("name"), 100, [F.desc("importance"), F.asc("id")]).select("id", "used")
 )
 on_graph("sl2_bounded", "SELECT id FROM (SELECT id, row_number() OVER (ORDER BY importance DESC, id) AS k FROM nodes WHERE type = 'CUSTOMER') WHERE k <= 10")(lambda g: g.entities.where("type = 'CUSTOMER'").orderBy(F.desc("importance"), "id").limit(R.bounded(99)).select("id"))
@@ -333,22 +303,17 @@ on_graph("sl7_recent_contradictions", "SELECT id, source_id, target_id FROM edge
 
 # --- scalar functions -------------------------------------------------------------------------------------
 
-on_tables("fn1_canonical", "SELECT doc_id, lower(trim(substr(text, 1, 12), ' ' || chr(9) || chr(10) || chr(13))) AS c FROM documents WHERE lang = 'en'")(lambda t: t("documents").where("lang = 'en'").select("doc_id", T.canonical(F.substring("text", 1, 12)).alias("c")))
-on_tables("fn1_canonical_all", "SELECT doc_id, lower(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS c FROM documents")(lambda t: t("documents").select("doc_id", T.canonical(F.col("text")).alias("c")))
+on_tables("fn1_canonical", "SELECT doc_id, lower(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS c FROM documents")(lambda t: t("documents").select("doc_id", T.canonical(F.col("text")).alias("c")))
 on_tables("fn2_sha256", "SELECT doc_id, sha256(text) AS h FROM documents")(lambda t: t("documents").select("doc_id", F.sha2("text", 256).alias("h")))
-on_tables("fn3_sentences", "SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS n FROM documents WHERE lang = 'en'")(lambda t: t("documents").where("lang = 'en'").select("doc_id", F.size(T.sentences(F.col("text"))).cast("bigint").alias("n")))
-on_tables("fn3_sentences_all", ORACLE_SQL["fn3_sentences"].replace(" WHERE lang = 'en'", ""))(lambda t: t("documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("bigint").alias("n")))
+on_tables("fn3_sentences", "SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS n FROM documents")(lambda t: t("documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("bigint").alias("n")))
 on_tables("fn4_nouns", "SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]*'), lambda w: regexp_matches(w, '^[A-Z].') AND lower(w) NOT IN ('the', 'a', 'an', 'this', 'that', 'these', 'those')), ' ') AS nouns FROM documents")(lambda t: t("documents").select("doc_id", F.array_join(T.nouns(F.col("text")), " ").alias("nouns")))
-on_tables("fn5_predicate", "SELECT doc_id, CASE WHEN regexp_matches(x, '(?i)\\bowns\\b') THEN 'OWNS' WHEN regexp_matches(x, '(?i)\\bprefers?\\b') THEN 'PREFERS' WHEN regexp_matches(x, '(?i)\\bworks (at|for)\\b') THEN 'WORKS_AT' ELSE 'RELATED_TO' END AS p FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Ann Owns B' WHEN 1 THEN 'she prefer c' WHEN 2 THEN 'he works for it' ELSE 'none' END AS x FROM documents)")(
-    lambda t: t("documents").select("doc_id", T.predicate(F.expr("CASE doc_id % 4 WHEN 0 THEN 'Ann Owns B' WHEN 1 THEN 'she prefer c' WHEN 2 THEN 'he works for it' ELSE 'none' END")).alias("p"))
+on_tables("fn5_predicate", "SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\\bowns\\b') THEN 'OWNS' WHEN regexp_matches(text, '(?i)\\bprefers?\\b') THEN 'PREFERS' WHEN regexp_matches(text, '(?i)\\bworks (at|for)\\b') THEN 'WORKS_AT' ELSE 'RELATED_TO' END AS p FROM documents")(
+    lambda t: t("documents").select("doc_id", T.predicate(F.col("text")).alias("p"))
 )
 on_graph("fn6_fingerprint", "SELECT id, fingerprint FROM triples")(
     lambda g: g.triples.join(g.entities.select(F.col("id").alias("subject_id"), F.col("name").alias("s")), "subject_id").join(g.entities.select(F.col("id").alias("object_id"), F.col("name").alias("o")), "object_id").select("id", T.fingerprint(F.col("s"), F.col("predicate"), F.col("o")).alias("fingerprint"))
 )
-on_tables("fn7_jaccard", "SELECT doc_id, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS j FROM (SELECT doc_id, list_distinct(string_split(substr(text, 1, 60), ' ')) AS a, list_distinct(string_split(substr(text, 61, 60), ' ')) AS b FROM documents)")(
-    lambda t: t("documents").select("doc_id", F.round(T.jaccard(F.array_distinct(F.split(F.substring("text", 1, 60), " ")), F.array_distinct(F.split(F.substring("text", 61, 60), " "))), 6).alias("j"))
-)
-on_tables("fn7_jaccard_all", "SELECT doc_id, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS j FROM (SELECT d.doc_id, list_distinct(string_split(d.text, ' ')) AS a, list_distinct(string_split(e.text, ' ')) AS b FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1)")(lambda t: _words_with_next(t("documents")))
+on_tables("fn7_jaccard", "SELECT doc_id, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS j FROM (SELECT d.doc_id, list_distinct(string_split(d.text, ' ')) AS a, list_distinct(string_split(e.text, ' ')) AS b FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1)")(lambda t: _words_with_next(t("documents")))
 
 
 def _words_with_next(d: DataFrame) -> DataFrame:
@@ -357,7 +322,7 @@ def _words_with_next(d: DataFrame) -> DataFrame:
     return d.select("doc_id", words.alias("a")).join(after, "doc_id").select("doc_id", F.round(T.jaccard(F.col("a"), F.col("b")), 6).alias("j"))
 
 
-on_graph("fn8_overlap", "SELECT id, round((len(list_intersect(['nation_1', 'or', 'nation_2'], string_split(lower(name), ' '))) + 1)::DOUBLE / 4, 6) AS score FROM nodes WHERE type = 'NATION'")(lambda g: g.entities.where("type = 'NATION'").select("id", F.round(T.overlap(F.lit("Nation_1 or  NATION_2"), F.col("name")), 6).alias("score")))
+on_graph("fn8_overlap", "SELECT id, round((len(list_intersect(['nation_1', 'or', 'nation_2'], string_split(lower(name), ' '))) + 1)::DOUBLE / 4, 6) AS score FROM nodes")(lambda g: g.entities.select("id", F.round(T.overlap(F.lit("Nation_1 or  NATION_2"), F.col("name")), 6).alias("score")))
 _PAIR = "FROM (SELECT a.vec_id AS a, b.vec_id AS b, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
 on_tables("fn9_cosine", f"SELECT a, b, round(list_dot_product(x::DOUBLE[], y::DOUBLE[]) / (sqrt(list_dot_product(x::DOUBLE[], x::DOUBLE[])) * sqrt(list_dot_product(y::DOUBLE[], y::DOUBLE[])) + 1e-12), 6) AS score {_PAIR}")(lambda t: _pairs(t).select("a", "b", F.round(N.cosine(F.col("x"), F.col("y")), 6).alias("score")))
 on_tables("fn11_hamming", f"SELECT a, b, round(1 - len(list_filter(list_zip(x, y), lambda p: (p[1] >= 0) <> (p[2] >= 0)))::DOUBLE / 64, 6) AS score {_PAIR}")(lambda t: _pairs(t).select("a", "b", F.round(1 - N.hamming(N.sign_words(F.col("x"), 64), N.sign_words(F.col("y"), 64)) / 64, 6).alias("score")))
@@ -375,8 +340,8 @@ on_tables("fn10_l2_score", f"SELECT a, b, round(greatest(0, 1 - list_aggregate(l
 on_tables("fn12_sign_words", "SELECT vec_id, list_aggregate(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] >= 0 THEN 1 ELSE 0 END), 'sum')::BIGINT AS ones, (embedding[1] >= 0) AS first FROM embeddings")(
     lambda t: t("embeddings").select("vec_id", F.bit_count(F.get(N.sign_words(F.col("embedding"), 64), F.lit(0))).cast("bigint").alias("ones"), (F.get(N.sign_words(F.col("embedding"), 64), F.lit(0)) < 0).alias("first"))
 )
-on_graph("fn14_strength", "SELECT id, round(importance * exp(-ln(2) / 30 * greatest(0, (epoch(TIMESTAMP '2024-02-01') - floor(epoch(last_accessed_at))) / 86400.0)) * (1 + 0.2 * access_count), 4) AS s FROM nodes WHERE type IN ('CUSTOMER', 'USER') AND valid_until IS NULL")(
-    lambda g: M.strengths(g.entities.where("type in ('CUSTOMER', 'USER')").withColumn("last_accessed_at", F.date_trunc("second", "last_accessed_at").cast("timestamp_ntz")), NOW).select(F.col("entity_id").alias("id"), F.round("strength", 4).alias("s"))
+on_graph("fn14_strength", "SELECT id, round(importance * exp(-ln(2) / 30 * greatest(0, (epoch(TIMESTAMP '2024-02-01') - floor(epoch(last_accessed_at))) / 86400.0)) * (1 + 0.2 * access_count), 4) AS s FROM nodes WHERE valid_until IS NULL")(
+    lambda g: M.strengths(g.entities.withColumn("last_accessed_at", F.date_trunc("second", "last_accessed_at").cast("timestamp_ntz")), NOW).select(F.col("entity_id").alias("id"), F.round("strength", 4).alias("s"))
 )
 on_tables("fn15_json_extract", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")(lambda t: t("events").select("event_id", F.get_json_object("props", "$['k']").alias("k")))
 on_tables("fn16_json_object", "SELECT r_regionkey, '{\"r_name\":\"' || r_name || '\",\"n\":null}' AS j FROM region")(lambda t: t("region").select("r_regionkey", F.to_json(F.struct("r_name", F.lit(None).cast("int").alias("n")), {"ignoreNullFields": "false"}).alias("j")))
@@ -406,7 +371,7 @@ on_graph(
     "gr1_neighbours",
     "WITH l AS (SELECT source_id, target_id FROM edges WHERE valid_until IS NULL AND relation_type <> 'CONTRADICTS'), h1 AS (SELECT DISTINCT target_id AS id FROM l WHERE source_id = 'supplier:3'), h2 AS (SELECT DISTINCT target_id AS id FROM l WHERE source_id IN (SELECT id FROM h1) AND target_id <> 'supplier:3' AND target_id NOT IN (SELECT id FROM h1)) SELECT x.id, x.hops FROM (SELECT id, 1 AS hops FROM h1 UNION ALL SELECT id, 2 FROM h2) x JOIN nodes n ON n.id = x.id WHERE n.valid_until IS NULL AND n.scope = 'shared'",
 )(lambda g: G.neighbours(g.seen_by("shared"), "supplier:3", 2))
-_STEPS = """WITH l AS (SELECT source_id, target_id, greatest(confidence_score, 0.001) AS w FROM edges WHERE valid_until IS NULL AND relation_type IN ('LOCATED_IN', 'PART_OF', 'SUPPLIES') AND source_id IN (SELECT id FROM nodes WHERE valid_until IS NULL) AND target_id IN (SELECT id FROM nodes WHERE valid_until IS NULL)),
+_STEPS = """WITH l AS (SELECT source_id, target_id, greatest(confidence_score, 0.001) AS w FROM edges WHERE valid_until IS NULL AND relation_type <> 'CONTRADICTS' AND source_id IN (SELECT id FROM nodes WHERE valid_until IS NULL) AND target_id IN (SELECT id FROM nodes WHERE valid_until IS NULL)),
 m AS (SELECT src, dst, sum(w) AS w FROM (SELECT source_id AS src, target_id AS dst, w FROM l UNION ALL SELECT target_id, source_id, w / 2 FROM l) GROUP BY src, dst),
 t AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM m),
 v AS (SELECT * FROM (VALUES ('nation:1', 0.5::DOUBLE), ('supplier:2', 0.5::DOUBLE)) v(id, v)),
@@ -415,20 +380,12 @@ p2 AS (SELECT id, sum(x) AS s FROM (SELECT dst AS id, s * p * 0.85 AS x FROM p1
 p3 AS (SELECT id, sum(x) AS s FROM (SELECT dst AS id, s * p * 0.85 AS x FROM p2 JOIN t ON p2.id = t.src UNION ALL SELECT id, v * 0.15 FROM v) GROUP BY id)"""
 
 
-def _small(g: Snapshot) -> Snapshot:
-    """The relations that the SQL of gr2_pagerank_3_rounds and gr4_transitions names; their _all forms take every edge."""
-    return Snapshot(**{**g.__dict__, "edges": g.edges.where("relation_type in ('LOCATED_IN', 'PART_OF', 'SUPPLIES')")})
-
-
-_ALL_STEPS = _STEPS.replace("relation_type IN ('LOCATED_IN', 'PART_OF', 'SUPPLIES')", "relation_type <> 'CONTRADICTS'")
-on_graph("gr2_pagerank_3_rounds", _STEPS + " SELECT id, round(s, 9) AS score FROM p3 WHERE s > 0")(lambda g: G.pagerank(_small(g), ["nation:1", "supplier:2"], rounds=3, tolerance=None).select("id", F.round("score", 9).alias("score")))
-on_graph("gr2_pagerank_3_rounds_all", _ALL_STEPS + " SELECT id, round(s, 9) AS score FROM p3 WHERE s > 0")(lambda g: G.pagerank(g, ["nation:1", "supplier:2"], rounds=3, tolerance=None).select("id", F.round("score", 9).alias("score")))
-_FAR_STEPS = _ALL_STEPS + "".join(f",\np{k} AS (SELECT id, sum(x) AS s FROM (SELECT dst AS id, s * p * 0.85 AS x FROM p{k - 1} JOIN t ON p{k - 1}.id = t.src UNION ALL SELECT id, v * 0.15 FROM v) GROUP BY id)" for k in range(4, 13)).replace("AS (", "AS MATERIALIZED (")
-on_graph("gr2_pagerank_12_rounds_all", _FAR_STEPS.replace("\nt AS (", "\nt AS MATERIALIZED (") + " SELECT id, round(s, 9) AS score FROM p12 WHERE s > 0")(lambda g: G.pagerank(g, ["nation:1", "supplier:2"], rounds=12, tolerance=None).select("id", F.round("score", 9).alias("score")))
+on_graph("gr2_pagerank_3_rounds", _STEPS + " SELECT id, round(s, 9) AS score FROM p3 WHERE s > 0")(lambda g: G.pagerank(g, ["nation:1", "supplier:2"], rounds=3, tolerance=None).select("id", F.round("score", 9).alias("score")))
+_FAR_STEPS = _STEPS + "".join(f",\np{k} AS (SELECT id, sum(x) AS s FROM (SELECT dst AS id, s * p * 0.85 AS x FROM p{k - 1} JOIN t ON p{k - 1}.id = t.src UNION ALL SELECT id, v * 0.15 FROM v) GROUP BY id)" for k in range(4, 13)).replace("AS (", "AS MATERIALIZED (")
+on_graph("gr2_pagerank_12_rounds", _FAR_STEPS.replace("\nt AS (", "\nt AS MATERIALIZED (") + " SELECT id, round(s, 9) AS score FROM p12 WHERE s > 0")(lambda g: G.pagerank(g, ["nation:1", "supplier:2"], rounds=12, tolerance=None).select("id", F.round("score", 9).alias("score")))
 on_graph("gr2_pagerank")(lambda g: G.pagerank(g, ["nation:1"]).select("id", F.round("score", 6).alias("score")))
 on_graph("gr3_push_pagerank")(lambda g: G.push_pagerank(g, ["nation:1"], epsilon=1e-3).select("id", F.round("score", 6).alias("score")))
-on_graph("gr4_transitions", _STEPS + " SELECT src, dst, round(p, 9) AS p FROM t")(lambda g: G.transitions(_small(g).inner_links()).select("src", "dst", F.round("p", 9).alias("p")))
-on_graph("gr4_transitions_all", _ALL_STEPS + " SELECT src, dst, round(p, 9) AS p FROM t")(lambda g: G.transitions(g.inner_links()).select("src", "dst", F.round("p", 9).alias("p")))
+on_graph("gr4_transitions", _STEPS + " SELECT src, dst, round(p, 9) AS p FROM t")(lambda g: G.transitions(g.inner_links()).select("src", "dst", F.round("p", 9).alias("p")))
 on_graph("gr5_contradictions_for", "SELECT id FROM edges WHERE relation_type = 'CONTRADICTS' AND (source_id = 'priority:5-LOW' OR target_id = 'priority:5-LOW')")(lambda g: G.contradictions_for(g, "priority:5-LOW").select("id"))
 on_graph("gr6_browse_topic", "SELECT id, name, 'type' AS via FROM nodes WHERE type = 'REGION' ORDER BY access_count DESC, importance DESC, created_at, id LIMIT 3")(lambda g: G.browse_topic(g, "region", limit=3))
 on_graph("gr6_browse_name")(lambda g: G.browse_topic(g, "NATION_4"))
@@ -449,18 +406,15 @@ on_graph("ve3_l2", f"SELECT entity_id AS id, round(greatest(0, 1 - list_aggregat
 on_graph("ve4_signs", f"SELECT entity_id AS id, round(1 - len(list_filter(list_zip(vector, {_QSQL}), lambda p: (p[1] >= 0) <> (p[2] >= 0)))::DOUBLE / 64, 9) AS score FROM {_SEEN} ORDER BY score DESC, id LIMIT 10")(lambda g: V.knn_signs(g.seen_by("shared"), Q))
 _SEEDS = f"s AS (SELECT entity_id AS id, {_COS.format(a='vector', b=_QSQL)} AS score FROM {_SEEN} ORDER BY score DESC, id LIMIT 10), l AS (SELECT source_id, target_id, confidence_score FROM edges WHERE valid_until IS NULL AND relation_type <> 'CONTRADICTS' AND target_id IN (SELECT id FROM nodes WHERE valid_until IS NULL AND scope = 'shared'))"
 on_graph("ve5_expand", f"WITH {_SEEDS} SELECT target_id AS id, round(max(score * 0.5 * confidence_score), 9) AS score FROM s JOIN l ON l.source_id = s.id GROUP BY target_id")(lambda g: V.expand(g.seen_by("shared"), V.knn(g.seen_by("shared"), Q)).select("id", F.round("score", 9).alias("score")))
-on_graph("ve6_evidence", "SELECT n.id, CASE WHEN bool_or(e.relation_type NOT IN ('CONTRADICTS', 'SUPERSEDES')) THEN 'source_grounded' WHEN count(e.id) > 0 THEN 'inferred' ELSE 'source_grounded' END AS confidence_class FROM nodes n LEFT JOIN edges e ON e.target_id = n.id WHERE n.type IN ('PRIORITY', 'REGION', 'CUSTOMER') GROUP BY n.id UNION ALL SELECT 'nobody', 'hallucination_risk'")(
-    lambda g: V.evidence(g, g.entities.where("type in ('PRIORITY', 'REGION', 'CUSTOMER')").select("id").unionAll(g.entities.sparkSession.createDataFrame([("nobody",)], "id string")))
+on_graph("ve6_evidence", "SELECT n.id, CASE WHEN bool_or(e.relation_type NOT IN ('CONTRADICTS', 'SUPERSEDES')) THEN 'source_grounded' WHEN count(e.id) > 0 THEN 'inferred' ELSE 'source_grounded' END AS confidence_class FROM nodes n LEFT JOIN edges e ON e.target_id = n.id GROUP BY n.id UNION ALL SELECT 'nobody', 'hallucination_risk'")(
+    lambda g: V.evidence(g, g.entities.select("id").unionAll(g.entities.sparkSession.createDataFrame([("nobody",)], "id string")))
 )
 _WIDE = f"""s AS (SELECT entity_id AS id, {_COS.format(a='vector', b=_QSQL)} AS score FROM (SELECT *, {_COS.format(a='vector[1:16]', b=f'({_QSQL})[1:16]')} AS near FROM {_SEEN} ORDER BY near DESC, entity_id LIMIT 100) ORDER BY score DESC, id LIMIT 25),
 l AS (SELECT source_id, target_id, confidence_score FROM edges WHERE valid_until IS NULL AND relation_type <> 'CONTRADICTS' AND target_id IN (SELECT id FROM nodes WHERE valid_until IS NULL AND scope = 'shared')),
 top AS (SELECT id, round(max(score), 9) AS score FROM (SELECT id, score FROM s UNION ALL SELECT target_id, score * 0.5 * confidence_score FROM s JOIN l ON l.source_id = s.id) GROUP BY id ORDER BY score DESC, id LIMIT 10)"""
 _CLASS = "CASE WHEN bool_or(e.relation_type NOT IN ('CONTRADICTS', 'SUPERSEDES')) THEN 'source_grounded' WHEN count(e.id) > 0 THEN 'inferred' ELSE 'source_grounded' END"
 on_graph("ve7_search", f"WITH {_WIDE} SELECT top.id, top.score, {_CLASS} AS confidence_class FROM top LEFT JOIN edges e ON e.target_id = top.id GROUP BY top.id, top.score")(lambda g: V.search(g.seen_by("shared"), Q, 10, depth=1))
-on_graph("ve7_knn_batch", "SELECT query, id, score FROM (SELECT q.entity_id AS query, v.entity_id AS id, " + _COS.format(a="v.vector", b="(q.vector::DOUBLE[])") + " AS score, row_number() OVER (PARTITION BY q.entity_id ORDER BY " + _COS.format(a="v.vector", b="(q.vector::DOUBLE[])") + " DESC, v.entity_id) AS k FROM vectors v JOIN nodes n ON n.id = v.entity_id AND n.valid_until IS NULL, vectors q WHERE q.entity_id LIKE '%:3_') WHERE k <= 3")(
-    lambda g: V.knn_batch(g, g.embeddings.where("entity_id like '%:3_'").select(F.col("entity_id").alias("query"), "vector"), 3)
-)
-on_graph("ve7_knn_batch_all", "SELECT query, id, score FROM (SELECT q.entity_id AS query, v.entity_id AS id, " + _COS.format(a="v.vector", b="(q.vector::DOUBLE[])") + " AS score, row_number() OVER (PARTITION BY q.entity_id ORDER BY " + _COS.format(a="v.vector", b="(q.vector::DOUBLE[])") + " DESC, v.entity_id) AS k FROM vectors v JOIN nodes n ON n.id = v.entity_id AND n.valid_until IS NULL, vectors q WHERE split_part(q.entity_id, ':', 2)::BIGINT % 100 = 0) WHERE k <= 3")(
+on_graph("ve7_knn_batch", "SELECT query, id, score FROM (SELECT q.entity_id AS query, v.entity_id AS id, " + _COS.format(a="v.vector", b="(q.vector::DOUBLE[])") + " AS score, row_number() OVER (PARTITION BY q.entity_id ORDER BY " + _COS.format(a="v.vector", b="(q.vector::DOUBLE[])") + " DESC, v.entity_id) AS k FROM vectors v JOIN nodes n ON n.id = v.entity_id AND n.valid_until IS NULL, vectors q WHERE split_part(q.entity_id, ':', 2)::BIGINT % 100 = 0) WHERE k <= 3")(
     lambda g: V.knn_batch(g, g.embeddings.where("cast(substring_index(entity_id, ':', -1) as bigint) % 100 = 0").select(F.col("entity_id").alias("query"), "vector"), 3)
 )
 
@@ -492,35 +446,23 @@ on_graph("rc13_rendered", f"SELECT row_number() OVER (ORDER BY score DESC, id)::
 
 # --- ingest -----------------------------------------------------------------------------------------------
 
-_NOUNS = """s AS (SELECT doc_id, unnest(list_filter(string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS sentence, generate_subscripts(list_filter(string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> ''), 1) AS i FROM documents WHERE lang = 'en'),
+_NOUNS = """s AS (SELECT doc_id, unnest(list_filter(string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS sentence, generate_subscripts(list_filter(string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> ''), 1) AS i FROM documents),
 n AS (SELECT doc_id, i, sentence, list_filter(regexp_extract_all(sentence, '[A-Za-z][A-Za-z0-9_-]*'), lambda w: regexp_matches(w, '^[A-Z].') AND lower(w) NOT IN ('the', 'a', 'an', 'this', 'that', 'these', 'those')) AS nouns FROM s)"""
 
 
-def _english(t) -> DataFrame:
-    return t("documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"))
-
-
-on_tables("in1_extract_entities", f"WITH {_NOUNS}, w AS (SELECT doc_id, i, unnest(nouns) AS name, generate_subscripts(nouns, 1) AS j FROM n) SELECT doc_id::VARCHAR AS id, arg_min(name, i * 100000 + j) AS name FROM w GROUP BY doc_id, lower(name)")(lambda t: I.extract_entities(_english(t)).select("id", "name"))
-on_tables("in1_extract_triples", f"WITH {_NOUNS} SELECT doc_id::VARCHAR AS id, lower(nouns[1]) || '|RELATED_TO|' || lower(o) AS fingerprint, count(*) AS n FROM (SELECT doc_id, nouns, unnest(nouns[2:]) AS o FROM n WHERE len(nouns) >= 2) GROUP BY 1, 2")(
-    lambda t: I.extract_triples(_english(t)).withColumn("fingerprint", T.fingerprint(F.col("subject"), F.lit("RELATED_TO"), F.col("object"))).groupBy("id", "fingerprint").agg(F.count("*").alias("n"))
-)
-on_tables("in3_first_of_subject", f"WITH {_NOUNS}, x AS (SELECT doc_id, i, lower(nouns[1]) AS s, unnest(nouns[2:]) AS o, generate_subscripts(nouns[2:], 1) AS j FROM n WHERE len(nouns) >= 2) SELECT doc_id::VARCHAR AS id, s AS subject, arg_min(o, i * 100000 + j) AS object FROM x GROUP BY doc_id, s")(
-    lambda t: I.first_of_subject(I.extract_triples(_english(t)).withColumn("predicate", F.lit("RELATED_TO"))).select("id", F.lower("subject").alias("subject"), "object")
-)
-
-
 def _documents(t) -> DataFrame:
     return t("documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"))
 
 
-_of_all = lambda name: ORACLE_SQL[name].replace(" WHERE lang = 'en'", "")
-on_tables("in1_extract_entities_all", _of_all("in1_extract_entities"))(lambda t: I.extract_entities(_documents(t)).select("id", "name"))
-on_tables("in1_extract_triples_all", _of_all("in1_extract_triples"))(
+on_tables("in1_extract_entities", f"WITH {_NOUNS}, w AS (SELECT doc_id, i, unnest(nouns) AS name, generate_subscripts(nouns, 1) AS j FROM n) SELECT doc_id::VARCHAR AS id, arg_min(name, i * 100000 + j) AS name FROM w GROUP BY doc_id, lower(name)")(lambda t: I.extract_entities(_documents(t)).select("id", "name"))
+on_tables("in1_extract_triples", f"WITH {_NOUNS} SELECT doc_id::VARCHAR AS id, lower(nouns[1]) || '|RELATED_TO|' || lower(o) AS fingerprint, count(*) AS n FROM (SELECT doc_id, nouns, unnest(nouns[2:]) AS o FROM n WHERE len(nouns) >= 2) GROUP BY 1, 2")(
     lambda t: I.extract_triples(_documents(t)).withColumn("fingerprint", T.fingerprint(F.col("subject"), F.lit("RELATED_TO"), F.col("object"))).groupBy("id", "fingerprint").agg(F.count("*").alias("n"))
 )
-on_tables("in3_first_of_subject_all", _of_all("in3_first_of_subject"))(
+on_tables("in3_first_of_subject", f"WITH {_NOUNS}, x AS (SELECT doc_id, i, lower(nouns[1]) AS s, unnest(nouns[2:]) AS o, generate_subscripts(nouns[2:], 1) AS j FROM n WHERE len(nouns) >= 2) SELECT doc_id::VARCHAR AS id, s AS subject, arg_min(o, i * 100000 + j) AS object FROM x GROUP BY doc_id, s")(
     lambda t: I.first_of_subject(I.extract_triples(_documents(t)).withColumn("predicate", F.lit("RELATED_TO"))).select("id", F.lower("subject").alias("subject"), "object")
 )
+
+
 on_tables("in2_ingest_documents")(lambda t: _edges_of(t("documents").sparkSession, t("documents").select(F.col("text").alias("content"), F.timestamp_seconds("doc_id").cast("timestamp_ntz").alias("ts"))))
 
 
@@ -627,17 +569,8 @@ on_graph("mt1_demote", "SELECT tier, count(*) AS n FROM (SELECT CASE WHEN tier =
 on_graph("mt2_stale_audit", "SELECT 'STALE_FLAG' AS op, id AS target_id FROM nodes n WHERE tier = 'warm' AND valid_until IS NULL AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.target_id = n.id AND e.detected_at > TIMESTAMP '2024-01-02')")(lambda g: M.flag_stale(g.entities, g.edges, NOW, "r")[1].select("op", "target_id"))
 
 
-@on_graph("mt3_merge_duplicates", "WITH l AS (SELECT source_id, count(*) AS n FROM edges WHERE source_id IN ('customer:1', 'customer:2') AND relation_type = 'PLACED' GROUP BY 1) SELECT 'customer:1' AS id, sum(n)::BIGINT AS n FROM l")
-def _(g: Snapshot) -> DataFrame:
-    e = g.entities.where("id in ('customer:1', 'customer:2')").withColumn("canonical_name", F.lit("twin"))
-    first = g.embeddings.where("entity_id = 'customer:1'").select("model_name", "model_version", "dim", "vector", "created_at")
-    both = first.unionAll(first).withColumn("entity_id", F.concat(F.lit("customer:"), F.row_number().over(Window.orderBy("created_at")).cast("string")))
-    _, edges, _ = M.merge_duplicates(e, g.edges.where("relation_type = 'PLACED' and source_id in ('customer:1', 'customer:2')"), both, NOW, "r")
-    return edges.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("n"))
-
-
 @on_graph(
-    "mt3_merge_duplicates_all",
+    "mt3_merge_duplicates",
     """WITH c AS (SELECT id, scope, coalesce(owner_id, '') AS owner, substr(id, 10)::BIGINT // 10 AS twins FROM nodes WHERE type = 'CUSTOMER' AND valid_until IS NULL),
 k AS (SELECT twins, scope, owner, min(id) AS keeper FROM c GROUP BY ALL),
 m AS (SELECT c.id, k.keeper FROM c JOIN k ON c.twins = k.twins AND c.scope = k.scope AND c.owner = k.owner)
@@ -652,7 +585,7 @@ def _(g: Snapshot) -> DataFrame:
     return edges.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("n"))
 
 
-on_graph("mt4_strengths", "SELECT id AS entity_id, round(importance * exp(-ln(2) / 30 * greatest(0, (epoch(TIMESTAMP '2024-02-01') - epoch(last_accessed_at)) / 86400.0)) * (1 + 0.2 * access_count), 6) AS strength FROM nodes WHERE type = 'CUSTOMER' AND valid_until IS NULL")(lambda g: M.strengths(g.entities.where("type = 'CUSTOMER'"), NOW).select("entity_id", F.round("strength", 6).alias("strength")))
+on_graph("mt4_strengths", "SELECT id AS entity_id, round(importance * exp(-ln(2) / 30 * greatest(0, (epoch(TIMESTAMP '2024-02-01') - epoch(last_accessed_at)) / 86400.0)) * (1 + 0.2 * access_count), 6) AS strength FROM nodes WHERE valid_until IS NULL")(lambda g: M.strengths(g.entities, NOW).select("entity_id", F.round("strength", 6).alias("strength")))
 on_graph("mt5_audit", "SELECT 'DEMOTE' AS op, id AS target_id, '{\"tier\":\"warm\"}' AS before_json, '{\"tier\":\"cold\"}' AS after_json, 'consolidator' AS actor FROM nodes WHERE tier = 'warm' AND last_accessed_at < TIMESTAMP '2024-01-02'")(lambda g: M.demote(g.entities, NOW, "r")[1].select("op", "target_id", "before_json", "after_json", "actor"))
 
 
