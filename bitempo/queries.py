@@ -176,8 +176,6 @@ SELECT 'entities' AS "table", (SELECT count(*) FROM n) AS n UNION ALL SELECT 'so
 UNION ALL SELECT 'edges', (SELECT count(*) FROM edges WHERE id NOT IN (SELECT id FROM s) AND source_id IN (SELECT id FROM nodes) AND target_id IN (SELECT id FROM nodes) AND source_ref IN (SELECT id FROM sources))""",
 )(lambda g: L.merge_from(L.backup(_tables(g), "1999-01-01"), _tables(g))[1])
 on_graph("dm17_inspect", "SELECT 'entities' AS kind, type AS name, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'edges', relation_type, count(*) FROM edges GROUP BY relation_type UNION ALL SELECT 'table', 'entities', (SELECT count(*) FROM nodes) UNION ALL SELECT 'table', 'edges', (SELECT count(*) FROM edges) UNION ALL SELECT 'table', 'sources', (SELECT count(*) FROM sources) UNION ALL SELECT 'table', 'triples', (SELECT count(*) FROM triples) UNION ALL SELECT 'table', 'embeddings', (SELECT count(*) FROM vectors)")(lambda g: L.inspect(_tables(g)))
-on_graph("dm20_reembed")(lambda g: reembed(g.entities.where("type = 'NATION'"), NOW, "bow", "1", 16).select("entity_id", F.array_join(F.transform("vector", lambda x: F.round(x.cast("double"), 4).cast("string")), ",").alias("v")))
-
 # --- patterns ---------------------------------------------------------------------------------------------
 
 _CYPHER = {
@@ -363,7 +361,21 @@ on_tables("fn27_rule_counts", "SELECT conv_id, turn, " + ", ".join("(" + " + ".j
 )
 on_tables("fn28_code_names", "SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]+'), lambda w: length(w) >= 3 AND lower(w) NOT IN (" + ", ".join(f"'{w}'" for w in T.NOT_NAMES) + ")), ' ') AS names FROM conversations")(lambda t: t("conversations").select("conv_id", "turn", F.array_join(T.code_names(F.col("text")), " ").alias("names")))
 on_tables("fn26_identity", "SELECT r_regionkey, sha256('entity|' || r_name || '|') AS id FROM region")(lambda t: t("region").select("r_regionkey", identity(F.lit("entity"), F.col("r_name"), F.lit(None)).alias("id")))
-on_tables("ve8_bag_of_words")(lambda t: t("documents").select("doc_id", F.round(N.norm(bag_of_words(F.col("text"))), 4).alias("norm")))
+def _bag_sql(key: str, text: str, table: str, dim: int) -> str:
+    words = f"regexp_extract_all(lower({text}), '[a-z0-9_]+')"
+    return f"""WITH w AS (SELECT {key}, md5(unnest({words})) AS h FROM {table} WHERE {text} IS NOT NULL),
+c AS (SELECT {key}, ('0x' || substr(h, 1, 7))::BIGINT % {dim} AS slot, sum(CASE WHEN substr(h, 9, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN 1 ELSE -1 END)::DOUBLE AS n FROM w GROUP BY 1, 2),
+u AS (SELECT {key}, slot, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS x FROM c QUALIFY sum(n * n) OVER (PARTITION BY {key}) > 0)
+SELECT {key}, slot::INTEGER AS slot, round(x::FLOAT::DOUBLE, 4) AS x FROM u WHERE x <> 0 UNION ALL SELECT {key}, 0, 1.0 FROM {table} WHERE {text} IS NOT NULL AND {key} NOT IN (SELECT {key} FROM u)"""
+
+
+def _bag(df: DataFrame, key: str, vector: str) -> DataFrame:
+    return df.select(key, F.posexplode(vector).alias("slot", "x")).where("x <> 0").select(key, "slot", F.round(F.col("x").cast("double"), 4).alias("x"))
+
+
+on_tables("ve8_bag_of_words", _bag_sql("doc_id", "text", "documents", 64))(lambda t: _bag(t("documents").withColumn("v", bag_of_words(F.col("text"))), "doc_id", "v"))
+
+on_graph("dm20_reembed", _bag_sql("entity_id", "name", "(SELECT id AS entity_id, name FROM nodes WHERE valid_until IS NULL)", 16))(lambda g: _bag(reembed(g.entities, NOW, "bow", "1", 16), "entity_id", "vector"))
 
 # --- graph ------------------------------------------------------------------------------------------------
 
@@ -371,25 +383,35 @@ on_graph(
     "gr1_neighbours",
     "WITH l AS (SELECT source_id, target_id FROM edges WHERE valid_until IS NULL AND relation_type <> 'CONTRADICTS'), h1 AS (SELECT DISTINCT target_id AS id FROM l WHERE source_id = 'supplier:3'), h2 AS (SELECT DISTINCT target_id AS id FROM l WHERE source_id IN (SELECT id FROM h1) AND target_id <> 'supplier:3' AND target_id NOT IN (SELECT id FROM h1)) SELECT x.id, x.hops FROM (SELECT id, 1 AS hops FROM h1 UNION ALL SELECT id, 2 FROM h2) x JOIN nodes n ON n.id = x.id WHERE n.valid_until IS NULL AND n.scope = 'shared'",
 )(lambda g: G.neighbours(g.seen_by("shared"), "supplier:3", 2))
-_STEPS = """WITH l AS (SELECT source_id, target_id, greatest(confidence_score, 0.001) AS w FROM edges WHERE valid_until IS NULL AND relation_type <> 'CONTRADICTS' AND source_id IN (SELECT id FROM nodes WHERE valid_until IS NULL) AND target_id IN (SELECT id FROM nodes WHERE valid_until IS NULL)),
+
+
+def _walk(seeds: str, rounds: int, seen: str = "valid_until IS NULL") -> str:
+    """CTEs of a PageRank by ``rounds``: t(src, dst, p), the seeds v(id, v) that ``seeds`` selects, and p1, p2 and so on (id, s)."""
+    ends = f"(SELECT id FROM nodes WHERE {seen})"
+    step = "p{k} AS MATERIALIZED (SELECT id, sum(x) AS s FROM (SELECT dst AS id, s * p * 0.85 AS x FROM {before} f JOIN t ON f.id = t.src UNION ALL SELECT id, v * 0.15 FROM v) GROUP BY id)"
+    return f"""l AS (SELECT source_id, target_id, greatest(confidence_score, 0.001) AS w FROM edges WHERE valid_until IS NULL AND relation_type <> 'CONTRADICTS' AND source_id IN {ends} AND target_id IN {ends}),
 m AS (SELECT src, dst, sum(w) AS w FROM (SELECT source_id AS src, target_id AS dst, w FROM l UNION ALL SELECT target_id, source_id, w / 2 FROM l) GROUP BY src, dst),
-t AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM m),
-v AS (SELECT * FROM (VALUES ('nation:1', 0.5::DOUBLE), ('supplier:2', 0.5::DOUBLE)) v(id, v)),
-p1 AS (SELECT id, sum(x) AS s FROM (SELECT dst AS id, v.v * p * 0.85 AS x FROM v JOIN t ON v.id = t.src UNION ALL SELECT id, v * 0.15 FROM v) GROUP BY id),
-p2 AS (SELECT id, sum(x) AS s FROM (SELECT dst AS id, s * p * 0.85 AS x FROM p1 JOIN t ON p1.id = t.src UNION ALL SELECT id, v * 0.15 FROM v) GROUP BY id),
-p3 AS (SELECT id, sum(x) AS s FROM (SELECT dst AS id, s * p * 0.85 AS x FROM p2 JOIN t ON p2.id = t.src UNION ALL SELECT id, v * 0.15 FROM v) GROUP BY id)"""
+t AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM m),
+v AS MATERIALIZED ({seeds}),
+""" + ",\n".join(step.format(k=k, before=f"p{k - 1}" if k > 1 else "(SELECT id, v AS s FROM v)") for k in range(1, rounds + 1))
 
 
-on_graph("gr2_pagerank_3_rounds", _STEPS + " SELECT id, round(s, 9) AS score FROM p3 WHERE s > 0")(lambda g: G.pagerank(g, ["nation:1", "supplier:2"], rounds=3, tolerance=None).select("id", F.round("score", 9).alias("score")))
-_FAR_STEPS = _STEPS + "".join(f",\np{k} AS (SELECT id, sum(x) AS s FROM (SELECT dst AS id, s * p * 0.85 AS x FROM p{k - 1} JOIN t ON p{k - 1}.id = t.src UNION ALL SELECT id, v * 0.15 FROM v) GROUP BY id)" for k in range(4, 13)).replace("AS (", "AS MATERIALIZED (")
-on_graph("gr2_pagerank_12_rounds", _FAR_STEPS.replace("\nt AS (", "\nt AS MATERIALIZED (") + " SELECT id, round(s, 9) AS score FROM p12 WHERE s > 0")(lambda g: G.pagerank(g, ["nation:1", "supplier:2"], rounds=12, tolerance=None).select("id", F.round("score", 9).alias("score")))
-on_graph("gr2_pagerank")(lambda g: G.pagerank(g, ["nation:1"]).select("id", F.round("score", 6).alias("score")))
+_TWO = "SELECT * FROM (VALUES ('nation:1', 0.5::DOUBLE), ('supplier:2', 0.5::DOUBLE)) v(id, v)"
+for _rounds in (3, 12):
+    on_graph(f"gr2_pagerank_{_rounds}_rounds", f"WITH {_walk(_TWO, _rounds)} SELECT id, round(s, 9) AS score FROM p{_rounds} WHERE s > 0")(lambda g, rounds=_rounds: G.pagerank(g, ["nation:1", "supplier:2"], rounds=rounds, tolerance=None).select("id", F.round("score", 9).alias("score")))
+_ONE = "SELECT '{}' AS id, 1.0::DOUBLE AS v"
+on_graph("gr2_pagerank", f"WITH {_walk(_ONE.format('nation:1'), 30)} SELECT id, round(s, 6) AS score FROM p30 WHERE s > 0")(lambda g: G.pagerank(g, ["nation:1"]).select("id", F.round("score", 6).alias("score")))
 on_graph("gr3_push_pagerank")(lambda g: G.push_pagerank(g, ["nation:1"], epsilon=1e-3).select("id", F.round("score", 6).alias("score")))
-on_graph("gr4_transitions", _STEPS + " SELECT src, dst, round(p, 9) AS p FROM t")(lambda g: G.transitions(g.inner_links()).select("src", "dst", F.round("p", 9).alias("p")))
+on_graph("gr4_transitions", f"WITH {_walk(_TWO, 1)} SELECT src, dst, round(p, 9) AS p FROM t")(lambda g: G.transitions(g.inner_links()).select("src", "dst", F.round("p", 9).alias("p")))
 on_graph("gr5_contradictions_for", "SELECT id FROM edges WHERE relation_type = 'CONTRADICTS' AND (source_id = 'priority:5-LOW' OR target_id = 'priority:5-LOW')")(lambda g: G.contradictions_for(g, "priority:5-LOW").select("id"))
 on_graph("gr6_browse_topic", "SELECT id, name, 'type' AS via FROM nodes WHERE type = 'REGION' ORDER BY access_count DESC, importance DESC, created_at, id LIMIT 3")(lambda g: G.browse_topic(g, "region", limit=3))
-on_graph("gr6_browse_name")(lambda g: G.browse_topic(g, "NATION_4"))
-on_graph("gr7_working_context")(lambda g: G.working_context(g, "nation:NATION_4").select("part", "id", "name"))
+_NEAR = f"WITH {_walk(_ONE.format('nation:4'), 30)}, near AS (SELECT id, name FROM p30 JOIN nodes n USING (id) WHERE id <> 'nation:4' AND valid_until IS NULL ORDER BY round(s, 9) DESC, id LIMIT 20)"
+on_graph("gr6_browse_name", _NEAR + " SELECT id, name, 'pagerank' AS via FROM near")(lambda g: G.browse_topic(g, "NATION_4"))
+on_graph(
+    "gr7_working_context",
+    _NEAR + """ SELECT 'anchor' AS part, id, name FROM nodes WHERE id = 'nation:4' UNION ALL SELECT 'neighbour', id, name FROM near UNION ALL SELECT 'contradiction', id, source_id || ' ' || target_id
+FROM (SELECT * FROM edges WHERE relation_type = 'CONTRADICTS' AND valid_until IS NULL ORDER BY detected_at DESC, id LIMIT 5)""",
+)(lambda g: G.working_context(g, "nation:NATION_4").select("part", "id", "name"))
 
 # --- vectors ----------------------------------------------------------------------------------------------
 
@@ -425,17 +447,32 @@ on_graph("te2_stale_warm", "SELECT id FROM nodes WHERE tier = 'warm' AND last_ac
 _CLASS = "SELECT conv_id, turn, CASE WHEN vibe + fact + change + code = 0 THEN 'VIBE' WHEN code > 0 AND change > 0 THEN 'HYBRID' WHEN (vibe > 0)::INT + (fact > 0)::INT + (change > 0)::INT + (code > 0)::INT >= 2 AND code = 0 THEN 'HYBRID' WHEN vibe = greatest(vibe, fact, change, code) THEN 'VIBE' WHEN fact = greatest(vibe, fact, change, code) THEN 'FACT' WHEN change = greatest(vibe, fact, change, code) THEN 'CHANGE' ELSE 'CODE' END AS class FROM ("
 on_tables("rc1_classify", _CLASS + ORACLE_SQL["fn27_rule_counts"] + ")")(lambda t: R.classify(t("conversations").withColumnRenamed("text", "query")).select("conv_id", "turn", "class"))
 on_graph("rc2_vibe", f"WITH {_WIDE} SELECT id, score, 'vector' AS layer FROM top")(lambda g: R.vibe(g.seen_by("shared"), Q))
-on_graph("rc3_fact")(lambda g: R.fact(g.seen_by("shared"), Q))
-_RC4 = """WITH n AS (SELECT * FROM nodes WHERE scope = 'shared' AND valid_from <= TIMESTAMP '1997-06-01' AND (valid_until IS NULL OR valid_until > TIMESTAMP '1997-06-01')),
-l AS (SELECT * FROM edges WHERE relation_type <> 'CONTRADICTS' AND valid_from <= TIMESTAMP '1997-06-01' AND (valid_until IS NULL OR valid_until > TIMESTAMP '1997-06-01')),
-named AS (SELECT id, round(CASE WHEN lower(name) = 'customer#000000012' THEN 2 WHEN lower(name) IN ('what', 'prefer') THEN 2 ELSE 1 END / 5.0, 9) AS score, lower(name) = 'customer#000000012' AS hit FROM n),
-obj AS (SELECT l.target_id AS id, round(max(0.95 * l.confidence_score), 9) AS score FROM l JOIN named s ON s.id = l.source_id AND s.hit JOIN n ON n.id = l.target_id GROUP BY 1)
-SELECT id, max(score) AS score, 'temporal' AS layer FROM (SELECT id, score FROM named UNION ALL SELECT id, score FROM obj) GROUP BY id ORDER BY score DESC, id LIMIT 10"""
-on_graph("rc4_change", _RC4)(lambda g: R.change(g.seen_by("shared"), "what did Customer#000000012 prefer", "1997-06-01"))
+_SHARED = "valid_until IS NULL AND scope = 'shared'"
+_TOP5 = f"""s5 AS (SELECT entity_id AS id, {_COS.format(a='vector', b=_QSQL)} AS score FROM (SELECT *, {_COS.format(a='vector[1:16]', b=f'({_QSQL})[1:16]')} AS near FROM {_SEEN} ORDER BY near DESC, entity_id LIMIT 100) ORDER BY score DESC, id LIMIT 5),
+good AS (SELECT id FROM s5 WHERE score >= greatest(0.05, 0.3 * (SELECT max(score) FROM s5)) OR (SELECT max(score) FROM s5) < 0.05 AND id = (SELECT id FROM s5 ORDER BY score DESC, id DESC LIMIT 1))"""
+_FACT = f"{_TOP5}, {_walk('SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM good) AS v FROM good', 30, _SHARED)}, facts AS (SELECT id, round(s, 9) AS score, 'graph' AS layer FROM p30 WHERE s > 0 ORDER BY score DESC, id LIMIT 10)"
+on_graph("rc3_fact", f"WITH {_FACT} SELECT * FROM facts")(lambda g: R.fact(g.seen_by("shared"), Q))
+
+
+def _changes(words: list[str], name: str) -> str:
+    """CTEs up to then_hits(id, score, layer) of a question's words, of which one names an entity."""
+    other = ", ".join(f"'{w}'" for w in words if w != name)
+    then = "valid_from <= TIMESTAMP '1997-06-01' AND (valid_until IS NULL OR valid_until > TIMESTAMP '1997-06-01')"
+    return f"""then_nodes AS (SELECT * FROM nodes WHERE scope = 'shared' AND {then}),
+then_links AS (SELECT * FROM edges WHERE relation_type <> 'CONTRADICTS' AND {then}),
+named AS (SELECT id, round(CASE WHEN lower(name) = '{name}' OR lower(name) IN ({other}) THEN 2 ELSE 1 END / {len(words) + 1}.0, 9) AS score, lower(name) = '{name}' AS hit FROM then_nodes),
+obj AS (SELECT e.target_id AS id, round(max(0.95 * e.confidence_score), 9) AS score FROM then_links e JOIN named s ON s.id = e.source_id AND s.hit JOIN then_nodes n ON n.id = e.target_id GROUP BY 1),
+then_hits AS (SELECT id, max(score)::DOUBLE AS score, 'temporal' AS layer FROM (SELECT id, score FROM named UNION ALL SELECT id, score FROM obj) GROUP BY id ORDER BY score DESC, id LIMIT 10)"""
+
+
+on_graph("rc4_change", f"WITH {_changes(['what', 'did', 'customer#000000012', 'prefer'], 'customer#000000012')} SELECT * FROM then_hits")(lambda g: R.change(g.seen_by("shared"), "what did Customer#000000012 prefer", "1997-06-01"))
 on_graph("rc6_merge", f"WITH a AS (SELECT entity_id AS id, {_COS.format(a='vector', b=_QSQL)} AS score FROM {_SEEN} ORDER BY score DESC, id LIMIT 10), b AS (SELECT entity_id AS id, 0.3 AS score FROM {_SEEN} ORDER BY id LIMIT 10) SELECT id, max(score)::DOUBLE AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id ORDER BY score DESC, id LIMIT 10")(
     lambda g: R.merge(V.knn(g.seen_by("shared"), Q).withColumn("layer", F.lit("vector")), V._visible(g.seen_by("shared")).orderBy("entity_id").limit(10).select(F.col("entity_id").alias("id"), F.lit(0.3).alias("score"), F.lit("graph").alias("layer"))).select("id", "score")
 )
-on_graph("rc6_hybrid")(lambda g: R.hybrid(g.seen_by("shared"), "when did NATION_1 change", Q, "1997-06-01"))
+on_graph(
+    "rc6_hybrid",
+    f"WITH {_FACT}, {_changes(['when', 'did', 'nation_1', 'change'], 'nation_1')}, {_WIDE.replace('l AS (', 'near_links AS (').replace('JOIN l ON l.source_id', 'JOIN near_links ON near_links.source_id')}, every AS (SELECT id, score, 'vector' AS layer FROM top UNION ALL SELECT * FROM facts UNION ALL SELECT * FROM then_hits) SELECT id, score, layer FROM every QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, layer DESC) = 1 ORDER BY score DESC, id LIMIT 10",
+)(lambda g: R.hybrid(g.seen_by("shared"), "when did NATION_1 change", Q, "1997-06-01"))
 on_graph("rc7_low_confidence", f"SELECT coalesce(max(score), 0) < 0.2 AS low_confidence FROM (SELECT {_COS.format(a='vector', b=_QSQL)} AS score FROM {_SEEN} ORDER BY 1 DESC LIMIT 10)")(lambda g: R.low_confidence(V.knn(g.seen_by("shared"), Q)))
 on_graph("rc8_provenance_of_hits", f"WITH h AS (SELECT entity_id AS id, {_COS.format(a='vector', b=_QSQL)} AS score FROM {_SEEN} ORDER BY score DESC, id LIMIT 3) SELECT DISTINCT s.id FROM sources s JOIN edges e ON e.source_ref = s.id WHERE e.source_id IN (SELECT id FROM h) OR e.target_id IN (SELECT id FROM h)")(lambda g: S.provenance(g.edges, g.sources, V.knn(g.seen_by("shared"), Q, 3)).select("id"))
 on_graph("rc9_access_touch", "SELECT n.id, n.access_count + u.n AS access_count FROM nodes n JOIN usr u ON n.id = 'user:' || u.user_id")(
@@ -600,31 +637,31 @@ def _nations(g: Snapshot) -> DataFrame:
     return g.entities.where("type = 'NATION'")
 
 
-@on_graph("dm16_load_replace", "SELECT id FROM nodes WHERE type = 'NATION'")
+@on_graph("dm16_load_replace", "SELECT id FROM nodes")
 def _(g: Snapshot) -> DataFrame:
     spark = g.entities.sparkSession
     one, two = (Store(spark, _place(spark, n)) for n in ("one", "two"))
-    one.write({"entities": _nations(g)})
-    two.write({"entities": _nations(g).limit(1)})
+    one.write({"entities": g.entities})
+    two.write({"entities": _nations(g)})
     L.load_from(two, one, "replace")
     return two.read("entities").select("id")
 
 
-@on_graph("dm16_load_merge", "SELECT id FROM nodes WHERE type IN ('NATION', 'REGION')")
+@on_graph("dm16_load_merge", "SELECT id FROM nodes")
 def _(g: Snapshot) -> DataFrame:
     spark = g.entities.sparkSession
     one, two = (Store(spark, _place(spark, n)) for n in ("one", "two"))
-    one.write({"entities": g.entities.where("type in ('NATION', 'REGION')")})
+    one.write({"entities": g.entities})
     two.write({"entities": _nations(g)})
     L.load_from(two, one)
     return two.read("entities").select("id")
 
 
-@on_graph("dm18_versions", "SELECT * FROM (VALUES (1, 25::BIGINT), (2, 30)) t(version, n)")
+@on_graph("dm18_versions", "SELECT 1 AS version, count(*) FILTER (type <> 'REGION') AS n FROM nodes UNION ALL SELECT 2, count(*) FROM nodes")
 def _(g: Snapshot) -> DataFrame:
     spark = g.entities.sparkSession
     store = Store(spark, _place(spark, "db"))
-    seen = [(store.write({"entities": _nations(g)}), store.read("entities").count()), (store.append("entities", g.entities.where("type = 'REGION'")), store.read("entities").count())]
+    seen = [(store.write({"entities": g.entities.where("type <> 'REGION'")}), store.read("entities").count()), (store.append("entities", g.entities.where("type = 'REGION'")), store.read("entities").count())]
     return spark.createDataFrame(seen, "version int, n long")
 
 
@@ -632,15 +669,15 @@ def _(g: Snapshot) -> DataFrame:
 def _(g: Snapshot) -> DataFrame:
     spark = g.entities.sparkSession
     store = Store(spark, _place(spark, "db"))
-    store.write({"entities": _nations(g)})
+    store.write({"entities": g.entities})
     return spark.createDataFrame([(k, v > 0) for k, v in store.sizes().items()], "name string, some boolean")
 
 
-@on_graph("sc14_open_readonly", "SELECT count(*) AS n FROM nodes WHERE type = 'NATION'")
+@on_graph("sc14_open_readonly", "SELECT count(*) AS n FROM nodes")
 def _(g: Snapshot) -> DataFrame:
     spark = g.entities.sparkSession
     path = _place(spark, "db")
-    Store(spark, path).write({"entities": _nations(g)})
+    Store(spark, path).write({"entities": g.entities})
     return open_readonly(spark, path).read("entities").agg(F.count("*").alias("n"))
 
 

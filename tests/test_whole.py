@@ -73,7 +73,7 @@ def test_bag_of_words_takes_the_whole_text(spark, tmp_path):
     assert "substring(text" not in plan
 
 
-@pytest.mark.parametrize("name", ["jn11_diff", "dm1_new_sources", "jn14_point_in_time", "wn4_budget", "mt3_merge_duplicates", "ag4_duplicate_groups", "ag7_delta", "ag9_out_weights", "fn5_predicate", "fn8_overlap", "fn14_strength", "mt4_strengths", "ve6_evidence"])
+@pytest.mark.parametrize("name", ["jn11_diff", "dm1_new_sources", "jn14_point_in_time", "wn4_budget", "mt3_merge_duplicates", "ag4_duplicate_groups", "ag7_delta", "ag9_out_weights", "fn5_predicate", "fn8_overlap", "fn14_strength", "mt4_strengths", "ve6_evidence", "ve8_bag_of_words", "dm20_reembed", "rc3_fact", "rc6_hybrid", "gr6_browse_name", "gr7_working_context"])
 def test_whole_tables(spark, name):
     same_rows(spark, name)
 
