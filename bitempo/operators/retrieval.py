@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import QUESTION_RULES, code_names, overlap, question_class, rule_counts, word_set
 from ..model import CODE_TYPES
@@ -114,6 +116,30 @@ def recall(g: Snapshot, query: str, vector: Sequence[float], *, now: str, as_of:
     return kind, hits
 
 
+class RecallCache:
+    """Answers of the last ``size`` questions, of at most ten rows each.
+
+    A store's version is part of the key, so what was answered before a write isn't given after it; so are the
+    reader and the time of the snapshot.
+    """
+
+    def __init__(self, size: int = 256) -> None:
+        self.size = size
+        self._known: OrderedDict[tuple, tuple[str, list, StructType]] = OrderedDict()
+
+    def recall(self, g: Snapshot, version: int, query: str, vector: Sequence[float], **how) -> tuple[str, DataFrame]:
+        """As ``recall``, for a snapshot of that version."""
+        key = (version, g.scope, g.owner, g.as_of, g.axis, g.current_only, query, tuple(vector), tuple(sorted(how.items())))
+        if key not in self._known:
+            kind, hits = recall(g, query, vector, **how)
+            self._known[key] = kind, hits.collect(), hits.schema  # ten rows at most
+            while len(self._known) > self.size:
+                self._known.popitem(last=False)
+        self._known.move_to_end(key)
+        kind, rows, schema = self._known[key]
+        return kind, g.entities.sparkSession.createDataFrame(rows, schema)
+
+
 def low_confidence(hits: DataFrame) -> DataFrame:
     """One row: whether there is no hit or none scores LOW."""
     return hits.agg((F.coalesce(F.max("score"), F.lit(0.0)) < LOW).alias("low_confidence"))
