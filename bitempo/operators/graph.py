@@ -95,7 +95,7 @@ def push_pagerank(g: Snapshot, seeds: Sequence[str], *, damping: float = 0.85, e
     """
     spark = g.edges.sparkSession
     links = g.inner_links()
-    steps = cut(transitions(links))
+    steps = cut(transitions(links).withColumnRenamed("p", "step"))
     weight = cut(out_weights(links))
     first = spark.createDataFrame([(s,) for s in dict.fromkeys(seeds)], "id string").join(g.nodes().select("id"), "id", "left_semi")
     n = first.count()
@@ -103,19 +103,18 @@ def push_pagerank(g: Snapshot, seeds: Sequence[str], *, damping: float = 0.85, e
         return spark.createDataFrame([], "id string, score double")
     first = cut(first.withColumn("v", F.lit(1.0 / n)))
     state = first.select("id", F.lit(0.0).alias("p"), F.col("v").alias("r"))
-    for k in range(1, rounds + 1):
-        state = state.join(weight, "id", "left").withColumn("go", F.col("r") >= epsilon * F.coalesce("weight", F.lit(0.0)))
-        state = state.withColumn("go", F.col("go") & (F.col("r") > 1e-12))
+    due = (F.col("r") >= epsilon * F.coalesce("weight", F.lit(0.0))) & (F.col("r") > 1e-12)
+    for _ in range(rounds):
+        # Written down each round: what follows reads it four times.
+        state = cut(state.join(weight, "id", "left").withColumn("go", due))
         pushed = state.where("go")
-        spread = pushed.alias("a").join(steps.alias("s"), F.col("a.id") == F.col("s.src")).select(F.col("s.dst").alias("id"), F.lit(0.0).alias("p"), (F.col("a.r") * F.col("s.p") * damping).alias("r"))
-        lone = pushed.where("weight is null").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("m"))
-        home = first.crossJoin(lone).select("id", F.lit(0.0).alias("p"), (F.col("v") * F.col("m") * damping).alias("r"))  # one row beside the seeds
+        now = pushed.agg(F.count("*").alias("n"), F.sum(F.when(F.col("weight").isNull(), F.col("r"))).alias("lone")).first()
+        if not now.n:
+            break
+        spread = pushed.join(steps, pushed.id == steps.src).select(F.col("dst").alias("id"), F.lit(0.0).alias("p"), (F.col("r") * F.col("step") * damping).alias("r"))
+        home = first.select("id", F.lit(0.0).alias("p"), (F.col("v") * (now.lone or 0.0) * damping).alias("r"))
         kept = state.select("id", F.when(F.col("go"), F.col("p") + F.col("r") * (1 - damping)).otherwise(F.col("p")).alias("p"), F.when(F.col("go"), 0.0).otherwise(F.col("r")).alias("r"))
         state = kept.unionAll(spread).unionAll(home).groupBy("id").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
-        if k % 3 == 0:
-            state = cut(state)
-            if state.join(weight, "id", "left").where((F.col("r") >= epsilon * F.coalesce("weight", F.lit(0.0))) & (F.col("r") > 1e-12)).limit(1).count() == 0:
-                break
     return state.where("p > 0").select("id", F.col("p").alias("score"))
 
 
