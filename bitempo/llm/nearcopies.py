@@ -5,7 +5,7 @@ whose symmetric difference is at most t differ in at most t blocks: the sketches
 is a lower bound of it. Size bands bound t (a link allows sizes within the threshold of each other and a share
 of their sum to differ), so of t + 1 + e blocks at least 1 + e agree, and a join on (band, block, parity word)
 finds every link. Shingles that many documents share would fill buckets with strangers, so they all go to a
-block of their own that isn't joined on; which ones they are is estimated from a bounded sample and only moves
+block of their own that isn't joined on; they are counted over all documents, and which ones they are only moves
 work, never results. A block without shingles says nothing; e spare blocks make up for them. Documents with
 more empty blocks than that are dealt once more with all their shingles, and those with too many empty
 blocks even then meet under one key of their band.
@@ -34,8 +34,10 @@ from pyspark.sql.window import Window
 
 from .common import LOWER, Rolling, connected, discard, grams, keep, mix, prepare, release, rows, runs, slices, table, texts_of, tidily, tokens
 
-#: Bound of the sample that tells frequent shingles, the share of it that makes one frequent, and how many are told.
-SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 8000, 0.0005, 100_000
+#: Share of all documents that makes a shingle frequent, and how many are told; the rest stay in the blocks.
+FREQUENT, MOST_FREQUENT = 0.0005, 100_000
+#: Shingles that a worker holds to count them, and documents and bytes of text that make a task of it.
+HELD, TASK_DOCS, TASK_BYTES = 1 << 22, 8000, 1 << 26
 #: Rounds of comparing a bucket's members with one of them.
 ROUNDS = 1
 #: Bits of a sketch for each shingle that may differ, and members of a bucket that are compared in one go.
@@ -302,23 +304,48 @@ def _blockwise(num: int, den: int, forest: bool):
     return run
 
 
-def _counter(k: int):
+def _counter(k: int, held: int, few: int):
+    """(shingle, documents) of each chunk of about ``held`` shingles, but for those of few of its documents.
+
+    A chunk loses counts up to half of ``FREQUENT`` of its documents, the last one of a task up to ``few`` at least.
+    """
+
+    def counted(parts: list[np.ndarray], loss: int) -> pa.RecordBatch:
+        h = np.sort(np.concatenate(parts))
+        cut = runs(h)
+        n = np.diff(cut)
+        more = n > loss
+        return pa.RecordBatch.from_arrays([pa.array(h[cut[:-1]][more].view(np.int64)), pa.array(n[more], pa.int64())], ["h", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []
+        size = docs = 0
         for batch in batches:
             buf, offsets = texts_of(rows(batch, "text"))
             for i, j in slices(np.diff(offsets)):
                 h, _ = shingles(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+                parts.append(h)
+                size, docs = size + len(h), docs + j - i
+                if size >= held:
+                    yield counted(parts, int(FREQUENT / 2 * docs))
+                    parts, size, docs = [], 0, 0
+        if size:
+            yield counted(parts, max(few, int(FREQUENT / 2 * docs)))
 
     return run
 
 
 def frequent_of(src: DataFrame, k: int) -> np.ndarray:
-    """Shingles of many documents, in order: of a sample of ``SAMPLE_DOCS`` to twice as many, ``MOST_FREQUENT`` at most."""
-    every = max(1, src.count() // SAMPLE_DOCS)
-    sample = src.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    counted = sample.select("text").mapInArrow(tidily(_counter(k)), "h bigint").groupBy("h").agg(F.count("*").alias("n"))
-    often = counted.where(F.col("n") >= max(4, int(FREQUENT * SAMPLE_DOCS))).orderBy(F.desc("n"), "h").limit(MOST_FREQUENT)
+    """Shingles of many documents, in order, counted over every row of ``src``; ``MOST_FREQUENT`` at most, the most frequent first.
+
+    None is of fewer than ``least`` documents; all of ``least`` and ``FREQUENT`` of the rows more are told.
+    """
+    docs, size = src.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    least = max(4, FREQUENT * docs)
+    tasks = max(1, docs // TASK_DOCS, size // TASK_BYTES)
+    few = int(FREQUENT / 2 * docs / tasks)  # small tasks are put together: what they lose adds up
+    counted = src.select("text").coalesce(tasks).mapInArrow(tidily(_counter(k, HELD, few)), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    often = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(MOST_FREQUENT)
     out = np.array([r.h for r in often.collect()], np.int64).view(np.uint64)
     out.sort()
     return out

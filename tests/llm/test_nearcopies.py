@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from bitempo.llm import nearcopies as N
@@ -70,3 +71,27 @@ def test_distinct_keeps_one_of_each(docs):
 
 def test_empty_table(docs):
     assert N.classes(docs([])).count() == 0
+
+
+@pytest.mark.parametrize("held", [1 << 22, 3000])
+def test_frequent_shingles_are_of_all_documents(spark, monkeypatch, held):
+    monkeypatch.setattr(N, "HELD", held)
+    ids = spark.range(0, 24000, 1, 4).selectExpr("id AS doc_id", "CASE WHEN id < 20000 THEN concat('g', id % 1000, ' x y z') ELSE concat('p', id DIV 10, ' x y z') END AS text")
+    raw = [f"g{g} x y z".encode() for g in range(1000)]
+    every, _ = N.shingles(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))), 4)
+    assert N.frequent_of(ids, 4).tolist() == sorted(every.tolist())  # 20 documents each; 12 make the share, 10 do not
+
+
+@pytest.mark.parametrize("share", [0.0, 0.5, 1.0])
+def test_frequent_shingles_change_no_result(docs, monkeypatch, share):
+    def some(src, k):
+        raw = [(r.text or "").encode() for r in src.collect()]
+        h, _ = N.shingles(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))), k)
+        every = np.unique(h)
+        return np.sort(np.random.default_rng(1).choice(every, int(share * len(every)), replace=False))
+
+    monkeypatch.setattr(N, "frequent_of", some)
+    rows = corpus()
+    want = brute(rows, 4, 85, 100)
+    got = N.classes(docs(rows), 4, 85, 100).where("doc_id is not null").collect()
+    assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got)
