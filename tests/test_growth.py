@@ -44,3 +44,14 @@ def test_a_round_exchanges_no_links(spark):
     b = blocks.Blocks(g.nodes().select("id"), G._weighted(g))
     spread = plan(b.spread(b.out.withColumnRenamed("x", "z")))
     assert "CartesianProduct" in spread and "hashpartitioning" not in spread
+
+
+def test_cycle_of_many_edges_side_by_side(spark):
+    """Edges between the same entities count once before they are joined: 3,000 each way would make 9,000,000 pairs."""
+    rows = [("a", "b", "R", 0.5), ("b", "a", "R", 0.5)] * 3000
+    g = Snapshot(nodes(spark, [(x, x, "shared", None) for x in "ab"]), links(spark, rows))
+    df = cypher(g, "MATCH (x)-[:R]->(y)-[:R]->(x) RETURN x.name AS x, y.name AS y")
+    assert sorted(map(tuple, df.collect())) == [("a", "b"), ("b", "a")]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") >= 3
+    named = cypher(g, "MATCH (x)-[e:R]->(y)-[:R]->(x) WHERE e.confidence_score > 0.4 RETURN x.name AS x, e.confidence_score AS c")
+    assert sorted(map(tuple, named.collect())) == [("a", 0.5), ("b", 0.5)]
