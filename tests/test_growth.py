@@ -55,3 +55,10 @@ def test_cycle_of_many_edges_side_by_side(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") >= 3
     named = cypher(g, "MATCH (x)-[e:R]->(y)-[:R]->(x) WHERE e.confidence_score > 0.4 RETURN x.name AS x, e.confidence_score AS c")
     assert sorted(map(tuple, named.collect())) == [("a", 0.5), ("b", 0.5)]
+
+
+def test_triples_with_ids_of_one_fact(spark):
+    t = F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")
+    rows = spark.createDataFrame([("t1", "a", "P", "b"), ("t2", "a", "P", "b"), ("t2", "a", "P", "b"), ("t3", "a", "P", "c")], "id string, subject_id string, predicate string, object_id string").withColumns({"valid_from": t, "edge_id": F.col("id"), "fingerprint": F.lit("f")})
+    assert sorted(r.id for r in dml.new_triples(rows.where("id = 't3'"), rows).collect()) == ["t1", "t2"]
+    assert dml.new_triples(rows.where("id = 't3'"), rows.drop("id")).count() == 1
