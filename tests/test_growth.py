@@ -62,3 +62,23 @@ def test_triples_with_ids_of_one_fact(spark):
     rows = spark.createDataFrame([("t1", "a", "P", "b"), ("t2", "a", "P", "b"), ("t2", "a", "P", "b"), ("t3", "a", "P", "c")], "id string, subject_id string, predicate string, object_id string").withColumns({"valid_from": t, "edge_id": F.col("id"), "fingerprint": F.lit("f")})
     assert sorted(r.id for r in dml.new_triples(rows.where("id = 't3'"), rows).collect()) == ["t1", "t2"]
     assert dml.new_triples(rows.where("id = 't3'"), rows.drop("id")).count() == 1
+
+
+def test_batch_search_by_blocks(spark, monkeypatch):
+    """Ties, vectors of another length and blocks smaller than k, against every pair."""
+    ids = [f"v{i:02}" for i in range(40)]
+    vector = lambda i: [float((i * 7 + d * d) % 11 - 5) for d in range(3)] if i % 13 else [1.0, 2.0]
+    g = Snapshot(nodes(spark, [(x, x, "shared", None) for x in ids]), links(spark, [("v01", "v02", "R", 0.9)]), embeddings=spark.createDataFrame([(x, vector(i)) for i, x in enumerate(ids)], "entity_id string, vector array<float>"))
+    queries = g.embeddings.where("entity_id in ('v03', 'v05', 'v13')").withColumnRenamed("entity_id", "query")
+    df = vectors.knn_batch(g, queries, 4, block=1)
+    got = sorted((r.query, r.id, r.score) for r in df.collect())
+    want = []
+    for q in ("v03", "v05", "v13"):
+        a, scored = vector(int(q[1:])), []
+        for i, x in enumerate(ids):
+            b = vector(i)
+            scored.append((x, round(sum(m * n for m, n in zip(a, b)) / (math.dist(a, [0] * len(a)) * math.dist(b, [0] * len(b)) + 1e-12), 9) if len(a) == len(b) else None))
+        scored.sort(key=lambda s: (s[1] is None, -(s[1] or 0), s[0]))
+        want += [(q, *s) for s in scored[:4]]
+    assert got == sorted(want, key=lambda r: r[:2])
+    assert "MapInArrow" in plan(df)
