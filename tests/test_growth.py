@@ -82,3 +82,11 @@ def test_batch_search_by_blocks(spark, monkeypatch):
         want += [(q, *s) for s in scored[:4]]
     assert got == sorted(want, key=lambda r: r[:2])
     assert "MapInArrow" in plan(df)
+
+
+def test_bag_of_words_counts_a_word_once(spark):
+    """Work that grows with the words and not with words times dimensions; nulls and texts without words as ever."""
+    df = spark.createDataFrame([("b a A",), ("",), (None,), ("...",)], "t string").coalesce(1).select(bag_of_words(F.col("t"), 16).alias("v"))
+    a, empty, null, dots = (r.v for r in df.collect())
+    assert sum(x * x for x in a) == pytest.approx(1, abs=1e-6) and empty == dots == [1.0] + [0.0] * 15 and null is None
+    assert "ArrowEvalPython" in plan(df)
