@@ -39,24 +39,43 @@ def changes(facts: list[tuple]) -> dict[tuple, tuple]:
     return out
 
 
-def _supersede(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    own = list(zip(*state.get, strict=True)) if state.exists else []
-    facts = sorted(set(own).union((x.ts, x.object) for part in parts for x in part.itertuples(index=False)))
-    old, new = changes(sorted(own)), changes(facts)
-    out = [(*key, value, ts, *held) for (ts, value), held in new.items() if old.get((ts, value)) != held]
-    out += [(*key, value, ts, value, ts) for ts, value in old if (ts, value) not in new]
-    state.update(([t for t, _ in facts], [v for _, v in facts]))
-    yield pd.DataFrame(out, columns=["subject", "predicate", "object", "ts", "previous", "previous_ts"])
-
-
-def supersessions(facts: DataFrame) -> DataFrame:
+#: Groups that keys are dealt to; one holds the state of all of its keys, for a call costs more than a key's few facts.
+GROUPS = 1 << 13
+
+
+def _superseder() -> Callable:
+    def run(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for subject, predicate, ts, value in zip(*state.get, strict=True) if state.exists else ():
+            held.setdefault((subject, predicate), []).append((ts, value))
+        came: dict = {}
+        for part in parts:
+            for subject, predicate, ts, value in zip(*(part[c] for c in ("subject", "predicate", "ts", "object"))):
+                came.setdefault((subject, predicate), []).append((ts, value))
+        out = []
+        for key, facts in came.items():
+            own = held.get(key, [])
+            held[key] = facts = sorted(set(own).union(facts))
+            old, new = of(sorted(own)), of(facts)
+            out += [(*key, value, ts, *before) for (ts, value), before in new.items() if old.get((ts, value)) != before]
+            out += [(*key, value, ts, value, ts) for ts, value in old if (ts, value) not in new]
+        rows = [(*key, *fact) for key, facts in held.items() for fact in facts]
+        state.update(tuple(list(c) for c in zip(*rows)))
+        yield pd.DataFrame(out, columns=["subject", "predicate", "object", "ts", "previous", "previous_ts"])
+
+    of = changes
+    return run
+
+
+def supersessions(facts: DataFrame, groups: int = GROUPS) -> DataFrame:
     """Changes of the one value of (subject, predicate): the new object, and the one that it closes and contradicts.
 
     A late fact takes its place: it comes as a change of its own, the change after it comes again with its new
     predecessor, and a change that is none any more comes with itself as the predecessor. The last row of a (subject,
     predicate, ts, object) holds. The state keeps each key's distinct facts, since any may matter to a later one.
     """
-    return facts.groupBy("subject", "predicate").applyInPandasWithState(_supersede, CHANGES, "times array<timestamp>, objects array<string>", "append", GroupStateTimeout.NoTimeout)
+    dealt = facts.withColumn("_group", F.pmod(F.xxhash64("subject", "predicate"), F.lit(groups)))
+    return dealt.groupBy("_group").applyInPandasWithState(_superseder(), CHANGES, "subjects array<string>, predicates array<string>, times array<timestamp>, objects array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def incremental_files(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:

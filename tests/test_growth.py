@@ -90,3 +90,18 @@ def test_bag_of_words_counts_a_word_once(spark):
     a, empty, null, dots = (r.v for r in df.collect())
     assert sum(x * x for x in a) == pytest.approx(1, abs=1e-6) and empty == dots == [1.0] + [0.0] * 15 and null is None
     assert "ArrowEvalPython" in plan(df)
+
+
+def test_stream_keys_share_groups(spark, tmp_path):
+    """Many keys in one group, over two runs with a late fact, as each key alone."""
+    from bitempo.streaming import jobs
+
+    schema, src, out, ck = "subject string, predicate string, object string, ts timestamp", *(str(tmp_path / n) for n in ("in", "out", "ck"))
+    seen = {}
+    for batch in ([("a", "P", "x", 1), ("b", "P", "x", 1), ("a", "P", "y", 5), (None, "P", "x", 2)], [("a", "P", "z", 3), ("b", "Q", "x", 9), ("b", "P", "x", 4), (None, "P", "y", 3)]):
+        spark.createDataFrame(batch, "subject string, predicate string, object string, t long").selectExpr("subject", "predicate", "object", "timestamp_seconds(t) as ts").coalesce(1).write.mode("append").parquet(src)
+        before = {tuple(r) for r in spark.read.parquet(out).collect()} if seen else set()
+        jobs.drain(jobs.supersessions(jobs.incremental_files(spark, src, schema), groups=1), out, ck)
+        for r in set(map(tuple, spark.read.parquet(out).collect())) - before:
+            seen[r[:2] + (int(r[3].timestamp()), r[2])] = r[4]
+    assert {k: v for k, v in seen.items() if v != k[3]} == {("a", "P", 1, "x"): None, ("a", "P", 3, "z"): "x", ("a", "P", 5, "y"): "z", ("b", "P", 1, "x"): None, ("b", "Q", 9, "x"): None, (None, "P", 2, "x"): None, (None, "P", 3, "y"): "x"}
