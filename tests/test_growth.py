@@ -105,3 +105,9 @@ def test_stream_keys_share_groups(spark, tmp_path):
         for r in set(map(tuple, spark.read.parquet(out).collect())) - before:
             seen[r[:2] + (int(r[3].timestamp()), r[2])] = r[4]
     assert {k: v for k, v in seen.items() if v != k[3]} == {("a", "P", 1, "x"): None, ("a", "P", 3, "z"): "x", ("a", "P", 5, "y"): "z", ("b", "P", 1, "x"): None, ("b", "Q", 9, "x"): None, (None, "P", 2, "x"): None, (None, "P", 3, "y"): "x"}
+
+
+def test_transitions_take_one_exchange(spark):
+    df = G.transitions(links(spark, [("a", "b", "R", 0.8), ("a", "b", "R", 0.4), ("a", "c", "R", 0.4)]))
+    assert {(r.src, r.dst): round(r.p, 6) for r in df.collect()} == {("a", "b"): 0.75, ("a", "c"): 0.25, ("b", "a"): 1.0, ("c", "a"): 1.0}
+    assert plan(df).split("== Initial Plan ==")[-1].count("Exchange") == 1
