@@ -111,3 +111,12 @@ def test_transitions_take_one_exchange(spark):
     df = G.transitions(links(spark, [("a", "b", "R", 0.8), ("a", "b", "R", 0.4), ("a", "c", "R", 0.4)]))
     assert {(r.src, r.dst): round(r.p, 6) for r in df.collect()} == {("a", "b"): 0.75, ("a", "c"): 0.25, ("b", "a"): 1.0, ("c", "a"): 1.0}
     assert plan(df).split("== Initial Plan ==")[-1].count("Exchange") == 1
+
+
+def test_texts_are_read_once_for_an_ingest(spark):
+    from bitempo.model import SCHEMAS, empty
+    from bitempo.operators import ingest
+
+    items = spark.createDataFrame([("Kendra prefers Adidas.",)], "content string")
+    out = ingest.ingest({n: empty(spark, n) for n in SCHEMAS}, items, "2025-01-01 00:00:00", unique=ingest.UNIQUE)
+    assert out["edges"].count() == 1 and "regexp_extract_all" not in out["edges"]._jdf.queryExecution().optimizedPlan().toString()
